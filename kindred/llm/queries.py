@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import line_dedup
+from kindred.llm import line_dedup, quality, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op4_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_line_dedup": op7_line_dedup}
+    return {f.__name__: f for f in (op4_quality, op6_toxicity, op7_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
