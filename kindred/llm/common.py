@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Texts handed to one numpy step hold about so many characters at most, or are a single text.
 BATCH_CHARS = 4_000_000
@@ -58,3 +59,8 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = BATCH_CHARS) -> Iter
 
 def chunks(items: list, n: int) -> Iterable[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
+
+
+def extended(df: DataFrame, more: str) -> StructType:
+    """The schema of df with the columns of a DDL string after its own."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, written
+from kindred.llm.common import extended, slices, written
 
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
     """(id, text, kd_score, other columns of docs): kd_score is the chance that a text is toxic; null and empty texts get the bias alone."""
     at, w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((at.astype(np.int64), w.astype(np.float64), bias))
-    schema = docs.schema.add("kd_score", "double")
+    schema = extended(docs, "kd_score double")
     column = docs.columns.index(text_col)
     bits = s.bits
 
