@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import line_dedup, quality, toxicity
+from kindred.llm import licenses, line_dedup, pieces, quality, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op5_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -24,8 +28,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op8_token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op9_sentencepiece(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality, op6_toxicity, op7_line_dedup)}
+    return {f.__name__: f for f in (op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
