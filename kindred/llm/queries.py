@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import licenses, line_dedup, pieces, quality, toxicity
+from kindred.llm import licenses, line_dedup, minhash, pieces, quality, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.op1_minhash(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,8 +41,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_minhash, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": line_dedup.OP7_SQL}
+    return {"op1_minhash": minhash.OP1_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
