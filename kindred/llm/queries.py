@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import licenses, line_dedup, minhash, pieces, quality, toxicity
+from kindred.llm import decontaminate, licenses, line_dedup, minhash, pieces, quality, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.op9_sentencepiece(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op10_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_minhash, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
