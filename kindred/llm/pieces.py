@@ -295,12 +295,13 @@ class Sampler:
         """Ids of one sampled segmentation of each text."""
         split = [self.parts(t) if t else [] for t in texts]
         need = {w for own in split for w in own} - self.known.keys()
-        if len(self.known) + len(need) > MEMORY:
+        if len(self.known) + len(need) > 3 * MEMORY // 4:
             self.forget()
             need = {w for own in split for w in own}
         long = {w for w in need if len(w) > LONG}
-        if short := list(need - long - {"\n"}):
-            self.learn(short)
+        short = list(need - long - {"\n"})
+        for k in range(0, len(short), 20_000):
+            self.learn(short[k : k + 20_000])
         for word in long | (need & {"\n"}):
             self.learn_long(word)
         counts = np.array([len(own) for own in split], np.int64)
@@ -347,11 +348,13 @@ class Sampler:
         return np.split(out, cut[:-1])
 
 
-def decoder(vocab: Vocabulary) -> tuple[list[bytes], int]:
+@cache
+def spellings(vocab: Vocabulary) -> list[bytes]:
+    """What each id spells."""
     spelt = [p.replace(SPACE, " ").encode() for p in vocab.pieces]
     for b, i in enumerate(vocab.byte_ids):
         spelt[i] = bytes([b])
-    return spelt, len(spelt)
+    return spelt
 
 
 _samplers: dict[tuple[str, float], Sampler] = {}
@@ -369,7 +372,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 1, power: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _samplers.get((model, power)) or _samplers.setdefault((model, power), Sampler(vocabulary(model), power))
         for b in batches:
-            for start, part in slices(b, column):
+            for start, part in slices(b, column, 1_500_000):
                 ids = sampler.encode(part, b.column("kd_key").slice(start, len(part)).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for t in part]))
@@ -378,39 +381,48 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 1, power: floa
     return keyed.mapInArrow(run, extended(docs, "kd_ids array<int>"))
 
 
+def _spell(spelt: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(spelt.__getitem__, ids)).decode("utf-8", "surrogatepass")
+
+
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "kd_ids") -> DataFrame:
     """encoded with kd_text, the texts that the ids spell; null ids give null. Ids outside the vocabulary fail the task."""
     model = model or default_model()
     column, own = encoded.columns.index(ids_col), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt, _ = decoder(vocabulary(model))
-        get = spelt.__getitem__
+        spelt = spellings(vocabulary(model))
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                rows = b.slice(k, 500)
-                texts = [None if ids is None else b"".join(map(get, ids)).decode("utf-8", "surrogatepass") for ids in rows.column(column).to_pylist()]
+            for k in range(0, b.num_rows, 200):
+                rows = b.slice(k, 200)
+                texts = [None if ids is None else _spell(spelt, ids) for ids in rows.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*own, "kd_text"])
 
     return encoded.mapInArrow(run, extended(encoded, "kd_text string"))
 
 
-def digests(encoded: DataFrame, text_col: str = "text", ids_col: str = "kd_ids") -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, n_chars, lossless) of encoded rows, from their ids decoded again; a null text counts as lossless with no tokens."""
-    column = encoded.columns.index(ids_col)
+def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "kd_ids") -> DataFrame:
+    """(id, n_tokens, ids_crc32, n_chars, lossless) of encoded rows, from their ids decoded again: unsigned crc32 of the ids as little-endian
+    32-bit numbers, characters of the decoded text, and whether it is the text. A null text has no tokens and is lossless."""
+    model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelt = spellings(vocabulary(model))
         for b in batches:
-            ids = b.column(column)
-            crc = [zlib.crc32(np.asarray(x.values).astype("<u4").tobytes()) if x.is_valid else 0 for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(crc, pa.int64())], [*b.schema.names, "kd_crc"])
-
-    back = decode(encoded, ids_col=ids_col)
-    back = back.mapInArrow(run, extended(back, "kd_crc long"))
-    n = F.coalesce(F.size(F.col(ids_col)), F.lit(0)).cast("long")
-    return back.select(
-        "doc_id", F.greatest(n, F.lit(0)).alias("n_tokens"), F.col("kd_crc").alias("ids_crc32"), F.coalesce(F.length("kd_text"), F.lit(0)).cast("long").alias("n_chars"), F.col("kd_text").eqNullSafe(F.col(text_col)).alias("lossless")
-    )
+            rows = []
+            for text, ids in zip(b.column(1), b.column(2), strict=True):
+                if not ids.is_valid:
+                    rows.append((0, 0, 0, not text.is_valid))
+                    continue
+                values = ids.values.to_numpy()
+                back = _spell(spelt, values.tolist())
+                rows.append((len(values), zlib.crc32(values.astype("<u4").tobytes()), len(back), back == text.as_py()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_tokens", "ids_crc32", "n_chars", "lossless"])
+
+    kind = dict(encoded.dtypes)[id_col]
+    return encoded.select(id_col, text_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, n_chars long, lossless boolean")
 
 
 def op9_sentencepiece(docs: DataFrame) -> DataFrame:
