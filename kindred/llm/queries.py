@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import decontaminate, licenses, line_dedup, minhash, pieces, quality, tokens, toxicity
+from kindred.llm import decontaminate, html, licenses, line_dedup, minhash, pieces, quality, tokens, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.op3_html(table(spark, sf_dir, "pages"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_token_ids, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_minhash, op2_token_ids, op3_html, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
