@@ -401,9 +401,9 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "kd_ids"
     return encoded.mapInArrow(run, extended(encoded, "kd_text string"))
 
 
-def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "kd_ids") -> DataFrame:
+def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "kd_ids", keep_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_crc32, n_chars, lossless) of encoded rows, from their ids decoded again: unsigned crc32 of the ids as little-endian
-    32-bit numbers, characters of the decoded text, and whether it is the text. A null text has no tokens and is lossless."""
+    32-bit numbers, characters of the decoded text, and whether it is the text. A null text has no tokens and is lossless. keep_ids adds ids."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,10 +419,11 @@ def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id"
                 rows.append((len(values), zlib.crc32(values.astype("<u4").tobytes()), len(back), back == text.as_py()))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [id_col, "n_tokens", "ids_crc32", "n_chars", "lossless"])
+            made = [b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(made + [b.column(2)] * keep_ids, [id_col, "n_tokens", "ids_crc32", "n_chars", "lossless"] + ["ids"] * keep_ids)
 
     kind = dict(encoded.dtypes)[id_col]
-    return encoded.select(id_col, text_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, n_chars long, lossless boolean")
+    return encoded.select(id_col, text_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, n_chars long, lossless boolean" + ", ids array<int>" * keep_ids)
 
 
 def op9_sentencepiece(docs: DataFrame) -> DataFrame:
