@@ -65,7 +65,7 @@ def minmax(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 def zscore(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """column as distance from its group's mean in standard deviations, cut to 0..1; a constant column becomes 0, a null stays out and becomes 0."""
     z = F.try_divide(F.col(column) - F.col("kd_avg"), F.col("kd_dev"))
-    return _stats(df, column, keys).withColumn(column, F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)), F.lit(0.0))).select(*df.columns)
+    return _stats(df, column, keys).withColumn(column, F.when(z.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), z)))).select(*df.columns)
 
 
 def sigmoid(x: Column) -> Column:

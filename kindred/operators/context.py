@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import capital_pieces, matrix_tokens, spaced_words, without_stop_words
+from kindred.plans.scratch import written
 
 KEYS = ["kg", "etype"]
 
@@ -55,15 +56,15 @@ def build(properties: DataFrame, closure: DataFrame, layered: DataFrame, declare
     that a descendant has are unknown (0), the rest minus the truncated mean of the property's weights (or -1 without weight_tag). Classes that are
     declared but have no property come after, on layer 1 with zeros only. inherit_positive gives a type its ancestors' properties too, which plain use does not.
     """
-    words = property_words(properties, split_capitals)
+    words = written(property_words(properties, split_capitals), "words")  # each of these tables is read several times
     counted = token_counts(words).join(layered, KEYS, "left").withColumn("layer", F.coalesce("layer", F.lit(1)))
-    own = counted.select(*KEYS, "property", (F.col("cnt") * F.col("layer")).cast("int").alias("w"))
+    own = written(counted.select(*KEYS, "property", (F.col("cnt") * F.col("layer")).cast("int").alias("w")), "own")
     types = words.select(KEYS).distinct()
     up = closure.select("kg", F.col("node").alias("etype"), "ancestor")
     above = up.join(own.select("kg", F.col("etype").alias("ancestor"), "property", F.col("w").alias("aw")), ["kg", "ancestor"]).groupBy(*KEYS, "property").agg(F.min("aw").alias("aw"))
     how = "full" if inherit_positive else "left"
     cells = own.join(above, [*KEYS, "property"], how).select(*KEYS, "property", F.least("w", "aw").cast("int").alias("v"))
-    cells = cells.join(types, KEYS, "left_semi")
+    cells = written(cells.join(types, KEYS, "left_semi"), "cells")
     below = closure.select("kg", F.col("ancestor").alias("etype"), F.col("node").alias("descendant")).join(own.select("kg", F.col("etype").alias("descendant"), "property"), ["kg", "descendant"])
     unknown = below.select(*KEYS, "property").distinct().join(types, KEYS, "left_semi").join(cells.select(*KEYS, "property"), [*KEYS, "property"], "left_anti")
 
@@ -71,7 +72,7 @@ def build(properties: DataFrame, closure: DataFrame, layered: DataFrame, declare
     n_property = wide.join(types, KEYS, "left_semi").groupBy(KEYS).agg(F.countDistinct("word").cast("int").alias("n_property"))
     meta = types.join(layered, KEYS, "left").join(n_property, KEYS, "left").select(*KEYS, F.coalesce("layer", F.lit(1)).alias("layer"), "n_property", F.lit(False).alias("appended"))
     missing = declared.distinct().join(types, KEYS, "left_anti").select(*KEYS, F.lit(1).alias("layer"), F.lit(0).alias("n_property"), F.lit(True).alias("appended"))
-    meta = meta.unionByName(missing)
+    meta = written(meta.unionByName(missing), "meta")
 
     rows = meta.groupBy("kg").agg(F.count("*").alias("rows"))
     by = cells.groupBy("kg", "property").agg(F.count("*").alias("n"), F.avg("v").alias("mean")).join(rows, "kg")

@@ -79,7 +79,7 @@ term AS (SELECT *, CASE WHEN v1 > 0 AND v2 > 0 THEN (v1 + v2) / 2.0 WHEN v1 < 0
 raw AS (SELECT kg1, kg2, label1, label2, CAST(sum(tv) AS DOUBLE) AS raw_v, CASE WHEN count(th) = count(*) THEN sum(th) END AS raw_h, CASE WHEN count(ti) = count(*) THEN sum(ti) END AS raw_i FROM term GROUP BY ALL),
 logged AS (SELECT *, ln(1 + 0.2 * greatest(raw_v, 0)) AS lv FROM raw),
 stat AS (SELECT min(lv) AS a, max(lv) AS b, avg(raw_h) AS mh, stddev_pop(raw_h) AS dh, avg(raw_i) AS mi, stddev_pop(raw_i) AS di FROM logged),
-sims AS (SELECT kg1, kg2, label1, label2, coalesce((lv - a) / nullif(b - a, 0), 0) AS sim_v, coalesce(greatest(0, least(1, (raw_h - mh) / nullif(dh, 0))), 0) AS sim_h, coalesce(greatest(0, least(1, (raw_i - mi) / nullif(di, 0))), 0) AS sim_i FROM logged, stat)
+sims AS (SELECT kg1, kg2, label1, label2, coalesce((lv - a) / nullif(b - a, 0), 0) AS sim_v, CASE WHEN raw_h IS NULL OR dh = 0 THEN 0 ELSE greatest(0, least(1, (raw_h - mh) / nullif(dh, 0))) END AS sim_h, CASE WHEN raw_i IS NULL OR di = 0 THEN 0 ELSE greatest(0, least(1, (raw_i - mi) / nullif(di, 0))) END AS sim_i FROM logged, stat)
 """
 
 
@@ -452,19 +452,20 @@ def _raw(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFr
 
 def _raw_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(_raw(spark, sf_dir)[1].select(*scores.PAIR, f"raw_{name}"), f"raw_{name}")
+        out = _raw(spark, sf_dir)[1].select(*scores.PAIR, (F.col(f"raw_{name}") + 1e-9).alias(f"raw_{name}"))  # off the halves, where sums in another order round apart
+        return rounded(out, f"raw_{name}")
 
     run.__name__ = f"sim_{name}_raw"
-    query(_sql(_A, _CLOSURE, _FCA, _SCORES, out=f"SELECT kg1, kg2, label1, label2, round(raw_{name}, 6) + 0.0 AS raw_{name} FROM raw"))(run)
+    query(_sql(_A, _CLOSURE, _FCA, _SCORES, out=f"SELECT kg1, kg2, label1, label2, round(raw_{name} + 1e-9, 6) + 0.0 AS raw_{name} FROM raw"))(run)
 
 
 def _sim_query(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         grid, raw = _raw(spark, sf_dir)
-        return rounded(scores.similarities(grid, raw).select(*scores.PAIR, f"sim_{name}"), f"sim_{name}")
+        return rounded(scores.similarities(grid, raw).select(*scores.PAIR, (F.col(f"sim_{name}") + 1e-9).alias(f"sim_{name}")), f"sim_{name}")
 
     run.__name__ = f"sim_{name}"
-    query(_sql(_A, _CLOSURE, _FCA, _SCORES, out=f"SELECT kg1, kg2, label1, label2, round(CAST(sim_{name} AS DOUBLE), 6) + 0.0 AS sim_{name} FROM sims"))(run)
+    query(_sql(_A, _CLOSURE, _FCA, _SCORES, out=f"SELECT kg1, kg2, label1, label2, round(CAST(sim_{name} AS DOUBLE) + 1e-9, 6) + 0.0 AS sim_{name} FROM sims"))(run)
 
 
 for _name in "vhi":

@@ -1,0 +1 @@
+"""The work is in batches; there are no streaming operators."""
