@@ -71,7 +71,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     def meets(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a, b = starts(free_i, k), starts(free_d, k)
         if not len(a) or not len(b):
-            return a, b, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return a[:0], b[:0], np.zeros(0, np.int64), np.zeros(0, np.uint64)
         hi, hd = rolling(item, k)[a], rolling(doc, k)[b]
         order = np.argsort(hd, kind="stable")
         hd, b = hd[order], b[order]
@@ -92,7 +92,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
         for i, p in zip(a.tolist(), at.tolist(), strict=True):
             if not free_i[i : i + k].all():
                 continue
-            while p < len(hd) and hd[p] == hd[at[a == i][0]]:
+            same = hd[p]
+            while p < len(hd) and hd[p] == same:
                 d = int(b[p])
                 if free_d[d : d + k].all() and (doc[d : d + k] == item[i : i + k]).all():
                     free_d[d : d + k] = False
