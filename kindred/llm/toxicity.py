@@ -98,7 +98,7 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on a sample of at most s.max_rows labelled rows with crc32(id) mod 3 != 1; an id labelled both ways counts as toxic; null ids and labels are skipped.
 
-    One task sees the sample's distinct features (a bounded number of rows); weights come back sparse.
+    One task sees the sample's distinct features (a bounded number of rows); weights come back sparse. Without labelled rows every score is 0.5.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
     chosen = known.groupBy(F.col(id_col).alias("kd_id")).agg(F.max("toxic").cast("int").alias("kd_y")).orderBy(F.xxhash64("kd_id"), "kd_id").limit(s.max_rows)
@@ -117,6 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
 
     sample = written(texts.mapInArrow(hashed, "id long, y int, at binary"), "toxic-sample")
     model = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "at").select("y", "at").mapInArrow(fitted, "at long, w double").toPandas()
+    if model.empty:
+        return np.zeros(0, np.int64), np.zeros(0), 0.0
     kept = model[model["at"] >= 0]
     return kept["at"].to_numpy(), kept["w"].to_numpy(), float(model.loc[model["at"] < 0, "w"].iloc[0])
 
