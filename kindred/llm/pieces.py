@@ -377,6 +377,7 @@ def encode(docs: DataFrame, model: str | None = None, seed: int = 1, power: floa
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for t in part]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, len(part)) for c in range(len(own))), values], [*own, "kd_ids"])
+        sampler.forget()  # workers live on; what they remember would stand in later stages' way
 
     return keyed.mapInArrow(run, extended(docs, "kd_ids array<int>"))
 
