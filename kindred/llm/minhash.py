@@ -121,10 +121,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col
         for b in batches:
             for _, part in slices(b, 0):
                 sets = [x for x in shingle_sets(part, s.k) if len(x)]
-                yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "body"])
+                made = [[_fingerprint(x) for x in sets], [x.tobytes() for x in sets], [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in made], ["fp", "body", "short"])
 
-    every = texts.mapInArrow(run, "fp binary, body binary")
-    return every.join(wanted.select("fp"), "fp").groupBy("fp").agg(F.first("body").alias("body"))
+    every = texts.mapInArrow(run, "fp binary, body binary, short binary")
+    return every.join(wanted.select("fp"), "fp").dropDuplicates(["fp"])
 
 
 def _similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -150,9 +151,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 
 def _rest(cells: DataFrame, s: Settings) -> DataFrame:
-    """Exact links of what leaders have not settled: in a cell (key, i, j), each outsider (side 1) against each member (side 0) of another class.
+    """Likely links of what leaders have not settled: in a cell (key, i, j), each outsider (side 1) against each member (side 0) of another class.
 
-    A pair counts in the first of its common bands only. For each outsider and each class, one link suffices.
+    A pair counts in the first of its common bands only. For each outsider and each class, one link suffices. Sets come as the upper 32 bits of
+    their hashes, so no link is missed; full sets confirm those found.
     """
     percent = s.percent
 
@@ -160,7 +162,7 @@ def _rest(cells: DataFrame, s: Settings) -> DataFrame:
         out, side = [], cell["side"].to_numpy()
         members, outsiders = cell[side == 0], cell[side == 1]
         if len(members) and len(outsiders):
-            flat = np.concatenate([np.frombuffer(x, np.uint64) for x in members["body"]])
+            flat = np.concatenate([np.frombuffer(x, np.uint32) for x in members["body"]])
             size = members["n"].to_numpy()
             starts = np.cumsum(size) - size
             keys = np.stack(members["bands"].to_list())
@@ -172,7 +174,7 @@ def _rest(cells: DataFrame, s: Settings) -> DataFrame:
                 use &= (100 * np.minimum(size, x.n) >= percent * np.maximum(size, x.n))
                 if not use.any():
                     continue
-                own = np.frombuffer(x.body, np.uint64)
+                own = np.frombuffer(x.body, np.uint32)
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
                 hit = np.flatnonzero(use & _similar(shared, size, x.n, percent))
@@ -234,14 +236,15 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     # what no leader has joined to the rest of its bucket meets all of it
     known = classed(buckets.drop("leader"), comps)
     main = known.groupBy("band", "key", "comp").agg(F.count("*").alias("k")).groupBy("band", "key").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"))
-    open_ = known.drop("size").join(main.where("most < size and size > 2"), ["band", "key"]).join(wanted.select("fp", "bands"), "fp").join(sets, "fp")
+    open_ = known.drop("size").join(main.where("most < size and size > 2"), ["band", "key"]).join(wanted.select("fp", "bands"), "fp").join(sets.select("fp", F.col("short").alias("body")), "fp")
     chunk = lambda n: F.ceil(n / F.lit(s.block)).cast("int")
     outside = F.col("size") - F.col("most")
     part = lambda n, name: F.pmod(F.xxhash64("fp", F.lit(name)), chunk(n)).cast("int")
     base = ["band", "key", "fp", "n", "comp", "bands", "body"]
     members = open_.select(*base, F.lit(0).alias("side"), part(F.col("size"), "m").alias("i"), F.explode(F.sequence(F.lit(0), chunk(outside) - 1)).alias("j"))
     outsiders = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), chunk(F.col("size")) - 1)).alias("i"), part(outside, "o").alias("j"))
-    rest = written(_rest(members.unionByName(outsiders), s), "minhash-rest")
+    likely = _rest(members.unionByName(outsiders), s).distinct()
+    rest = written(_verified(likely, sets, s), "minhash-rest").where("linked").select("a", "b")
     comps = written(components(links.unionByName(rest)), "minhash-comps")
 
     labelled = nodes.select("fp", "one").join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
