@@ -19,10 +19,10 @@ from kindred.llm.common import chunks, shared_dir, slices, written
 
 MAGIC = b"KDHF"
 HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a checkpoint, tokens, crc32 of the code lengths, bits
-#: Words that a worker remembers at most; beyond it, it starts anew.
-MEMORY = 500_000
-#: Where a byte-level splitter may not cut just before a single space: other white space than a single space or line break between other characters.
-_ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S\n ]|\x00")
+#: Words after which a worker's memory grows old; it remembers the old ones until the next time.
+MEMORY = 200_000
+#: Letters with marks after them, which the splitter always parts.
+_STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%&#$*|;:?]+)")
 
 
 @dataclass(frozen=True)
@@ -58,29 +58,51 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, bytes] = {"\n": self.line_break}
+        self.young: dict[str, bytes] = {"\n": self.line_break}
+        self.old: dict[str, bytes] = {}
+
+    def _find(self, word: str) -> bytes | None:
+        found = self.young.get(word)
+        if found is None and (found := self.old.get(word)) is not None:
+            self.young[word] = found
+        return found
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words in runs with line breaks between them, which costs the library less than one call a word; a line break's id parts them again."""
+        """Encodes new words in runs with line breaks between them, which costs the library less than one call a word; a line break's id parts them again."""
         width, mark = self.kind.itemsize, np.frombuffer(self.line_break, self.kind)
         assert len(mark) == 1
         runs = list(chunks(words, 200))
         for run, raw in zip(runs, self._encoded(["\n".join(r) for r in runs]), strict=True):
             cut = np.flatnonzero(np.frombuffer(raw, self.kind) == mark[0])
             first, last = np.append(0, cut + 1) * width, np.append(cut, len(raw) // width) * width
-            self.known.update(zip(run, [raw[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)], strict=True))
+            self.young.update(zip(run, [raw[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or _ODD.search(t) else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
-        need = set().union(*(own for own in split if own)) - self.known.keys()
-        if len(self.known) + len(need) > MEMORY:
-            self.forget()
-            need = set().union(*(own for own in split if own)) - {"\n"}
+        split = [None if not t or "\0" in t else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
+        if len(self.young) > MEMORY:
+            self.young, self.old = {"\n": self.line_break}, self.young
+        table: dict[str, bytes] = {}
+        need: set[str] = set()
+        pairs: dict[str, tuple[str, ...]] = {}
+        odd: set[str] = set()  # of texts with other white space, which may not be cut there
+        for word in set().union(*(own for own in split if own)):
+            if (found := self._find(word)) is not None:
+                table[word] = found
+                continue
+            if not word or word.split() != [word[1:] if word[0] == " " else word]:
+                odd.add(word)
+                continue
+            m = _STEM.fullmatch(word)
+            pairs[word] = m.groups() if m else (word,)
+            need.update(p for p in pairs[word] if self._find(p) is None)
+        if odd:
+            split = [own if own and odd.isdisjoint(own) else None for own in split]
         self.learn(list(need))
-        get = self.known.__getitem__
+        table.update((word, b"".join(map(self.young.__getitem__, parts))) for word, parts in pairs.items())
+        get = table.__getitem__
         return [b"".join(map(get, own)) if own else (self._encoded([t])[0] if t else b"") for t, own in zip(texts, split, strict=True)]
 
 
@@ -113,7 +135,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, s: Settings, id_col: str, text
 
         for b in batches:
             kind = b.column(0).type
-            for first, texts in slices(b, 1):
+            for first, texts in slices(b, 1, 2_000_000):
                 for k, body in enumerate(encoder.encode(texts)):
                     ids.append(b.column(0)[first + k].as_py())
                     bodies.append(body + end)
