@@ -145,6 +145,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, s: Settings, id_col: str, text
                         start, number, count, ids, bodies = start + count, number + 1, 0, [], []
         if bodies:
             yield block()
+        encoder.forget()  # workers live on; what they remember would stand in later stages' way
 
     kind = dict(docs.dtypes)[id_col]
     return ordered.mapInArrow(run, f"part long, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, ids binary, width int")
