@@ -21,8 +21,8 @@ MAGIC = b"KDHF"
 HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a checkpoint, tokens, crc32 of the code lengths, bits
 #: Words after which a worker's memory grows old; it remembers the old ones until the next time.
 MEMORY = 200_000
-#: Letters with marks after them, which the splitter always parts.
-_STEM = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%&#$*|;:?]+)")
+#: A word without other white space; letters and the marks after them are parted, as the splitter always does.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%&#$*|;:?]+)| ?\S+")
 
 
 @dataclass(frozen=True)
@@ -61,12 +61,6 @@ class Encoder:
         self.young: dict[str, bytes] = {"\n": self.line_break}
         self.old: dict[str, bytes] = {}
 
-    def _find(self, word: str) -> bytes | None:
-        found = self.young.get(word)
-        if found is None and (found := self.old.get(word)) is not None:
-            self.young[word] = found
-        return found
-
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -84,25 +78,18 @@ class Encoder:
         split = [None if not t or "\0" in t else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
         if len(self.young) > MEMORY:
             self.young, self.old = {"\n": self.line_break}, self.young
-        table: dict[str, bytes] = {}
-        need: set[str] = set()
-        pairs: dict[str, tuple[str, ...]] = {}
-        odd: set[str] = set()  # of texts with other white space, which may not be cut there
-        for word in set().union(*(own for own in split if own)):
-            if (found := self._find(word)) is not None:
-                table[word] = found
-                continue
-            if not word or word.split() != [word[1:] if word[0] == " " else word]:
-                odd.add(word)
-                continue
-            m = _STEM.fullmatch(word)
-            pairs[word] = m.groups() if m else (word,)
-            need.update(p for p in pairs[word] if self._find(p) is None)
-        if odd:
+        young, old = self.young, self.old
+        fresh = set().union(*(own for own in split if own)) - young.keys()
+        young.update((w, old[w]) for w in fresh & old.keys())
+        matches = [(w, _WORD.fullmatch(w)) for w in fresh - old.keys()]
+        if odd := {w for w, m in matches if not m}:  # of texts with other white space, which may not be cut there
             split = [own if own and odd.isdisjoint(own) else None for own in split]
-        self.learn(list(need))
-        table.update((word, b"".join(map(self.young.__getitem__, parts))) for word, parts in pairs.items())
-        get = table.__getitem__
+        pairs = [(w, m[1], m[2]) for w, m in matches if m and m[2]]
+        need = {w for w, m in matches if m and not m[2]} | {x for _, *parts in pairs for x in parts}
+        young.update((w, old[w]) for w in need & old.keys())
+        self.learn(list(need - young.keys()))
+        young.update([(w, young[a] + young[b]) for w, a, b in pairs])
+        get = young.__getitem__
         return [b"".join(map(get, own)) if own else (self._encoded([t])[0] if t else b"") for t, own in zip(texts, split, strict=True)]
 
 
