@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import formal_label
@@ -34,8 +34,6 @@ def sample(negatives: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     lower = bins.alias("a").join(bins.alias("b"), (F.col("a.kg1") == F.col("b.kg1")) & (F.col("a.kg2") == F.col("b.kg2")) & (F.col("b.kd_bin") < F.col("a.kd_bin")), "left")
     before = lower.groupBy("a.kg1", "a.kg2", "a.kd_bin").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
     total = bins.groupBy("kg1", "kg2").agg(F.sum("c").alias("have"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("kg1", "kg2", "kd_bin").orderBy("kd_h", "label1", "label2"))
     asked = sizes.join(total, ["kg1", "kg2"], "left")
     checked = asked.withColumn("k", F.when(F.col("k") <= F.coalesce("have", F.lit(0)), F.col("k")).otherwise(F.raise_error(F.lit("sample larger than population")).cast("long")))
