@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,6 +83,16 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, dup, repeat
 
 
+_UPPER, _ASCII = string.ascii_uppercase.encode(), re.compile(r"[\x00-\x7f]+")
+
+
+def upper_letters(line: str) -> int:
+    """Upper-case letters of the whole line; those of ASCII are counted as bytes, others one by one."""
+    plain = line.encode("ascii", "ignore")
+    n = len(plain) - len(plain.translate(None, _UPPER))
+    return n if len(plain) == len(line) else n + sum(map(str.isupper, _ASCII.sub("", line)))
+
+
 def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(features of each line as 0 and 1, words of each line)."""
     measures = np.zeros((len(lines), len(EDGES)))
@@ -90,9 +102,8 @@ def line_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = line.split()
         n = len(words) or 1
         size = len(line) or 1
-        upper = sum(map(str.isupper, line)) if size < 200 else sum(map(str.isupper, line[::7])) * 7
         measures[i] = (
-            len(words), sum(map(line.count, SYMBOLS)) / n, line.count("|") / n, line.count("!") / n, upper / size, 1 - len(set(words)) / n,
+            len(words), sum(map(line.count, SYMBOLS)) / n, line.count("|") / n, line.count("!") / n, upper_letters(line) / size, 1 - len(set(words)) / n,
             (size - n + 1) / n, (sum(map(line.count, "0123456789")) if not line.isalpha() else 0) / size, line.count("http") + line.count("@"),
         )
         flags[i] = line.rstrip()[-1:] in (".", "?", "…"), line in seen, i == 0, i == len(lines) - 1

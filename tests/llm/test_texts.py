@@ -120,6 +120,20 @@ def test_viterbi_equals_all_paths_and_fit_separates():
     assert quality.viterbi(model, good).tolist() == [1, 1, 1] and quality.viterbi(model, bad).tolist() == [0, 0, 0]
 
 
+@pytest.mark.parametrize("size", [199, 200, 201, 1400, 20_003])
+def test_upper_case_letters_are_counted_in_the_whole_line(size):
+    r = random.Random(size)
+    lines = ["".join(("A" if k % 7 == shift else "b") for k in range(size)) for shift in range(7)]  # every 7th character alone says all or none
+    lines += ["".join(r.choice("aB éÉßЖжǅ中\ud800") for _ in range(size))]
+    at = list(quality.EDGES).index("upper-case letters a letter")
+    edges, first = quality.EDGES["upper-case letters a letter"], quality._OFFSETS[at]
+    for line in lines:
+        whole = sum(c.isupper() for c in line)
+        assert quality.upper_letters(line) == whole
+        got = quality.line_features([line])[0][0, first : quality._OFFSETS[at + 1]]
+        assert got.tolist() == [int(k == np.searchsorted(edges, whole / size)) for k in range(len(edges) + 1)]
+
+
 def test_quality_query(spark, odd_docs):
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 0), (6, None, None)], "doc_id long, quality int, toxic int")
     rows = quality.op4_quality(odd_docs, labels).collect()
