@@ -23,8 +23,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies, and all others."""
-    return minhash.drop_near_copies(docs)
+    """The document of the smallest id of each group of near copies (0.8 alike or more on shingles of five words), and all others."""
+    return minhash.drop_near_copies(docs, minhash.FIVE_WORDS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

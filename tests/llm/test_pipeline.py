@@ -3,6 +3,7 @@
 import corpus_pipeline
 from kindred.llm.common import table, written
 
+from .conftest import prose
 from .test_dedup import brute_components, brute_lines
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,38 @@ def test_stages(spark):
 
 def test_run_gives_what_the_stages_give(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100 and corpus_pipeline.ORACLE_SQL is None
+
+
+def five_word_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_takes_five_words_at_four_fifths(spark):
+    """An added passage (0.82 on five words, below 0.85 on three) makes a copy; scattered edits (0.85 or more on three, below 0.8 on five) don't; nor does 0.79."""
+    base = prose(70, 500).split()
+    longer, too_long = [*base, *prose(71, 109).split()], [*base, *prose(72, 131).split()]
+    other = prose(73, 500).split()
+    edited = [f"edit{i}" if i % 38 == 19 else w for i, w in enumerate(other)]
+    third = prose(74, 500).split()
+    docs = {1: base, 2: longer, 3: other, 4: edited, 5: third, 6: [*third, *prose(75, 131).split()], 7: too_long[500:]}
+    docs = {i: " ".join(w) for i, w in docs.items()}
+    assert 0.8 <= five_word_similarity(docs[1], docs[2]) < 0.85 and 0.75 < five_word_similarity(docs[3], docs[4]) < 0.8 and 0.78 < five_word_similarity(docs[5], docs[6]) < 0.8
+    assert brute_components(docs) == {i: 3 if i == 4 else i for i in docs}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()} == {1, 3, 4, 5, 6, 7}
+
+
+def test_near_dedup_of_a_table_equals_five_word_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {i for i, r in root.items() if i == r}
