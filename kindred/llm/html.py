@@ -7,6 +7,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -130,7 +131,7 @@ def expression(node: Node) -> dict:
             if isinstance(c, str):
                 pieces.append(c)
                 linked += len(c) if link else 0
-            elif c.name in INLINE and not BAD_NAMES.search(c.label.partition(".")[2]):
+            elif _absorbed(c):
                 inline(c, link or c.name == "a")
             else:
                 flush()
@@ -189,58 +190,110 @@ def merge(a: dict, b: dict) -> dict:
     return out | {"c": children}
 
 
+@lru_cache(1 << 16)
+def ill_named(label: str) -> bool:
+    """Whether classes, id or role name what is not an article."""
+    return bool(BAD_NAMES.search(label.partition(".")[2]))
+
+
+@lru_cache(1 << 16)
 def _bad(label: str) -> bool:
-    name, _, more = label.partition(".")
-    return name in NEVER or bool(more and BAD_NAMES.search(more))
+    name = label.partition(".")[0]
+    return name in NEVER or ill_named(label)
 
 
-def decide(wrapper: dict) -> dict:
-    """Marks each node of a wrapper with "k", whether its own text slots are the article's.
+def _article(label: str) -> bool:
+    return label.partition(".")[0] == "article" or label.endswith((" article", ".article"))
 
-    The article is the outermost article elements, else main elements, else elements with a name of content, else the page without
-    slots that say the same on all of three pages or more or that are mostly links; never what stands within menus, notices, forms and the like.
-    """
 
-    def find(node: dict, test) -> list[dict]:
-        if node["l"] != "#page" and _bad(node["l"]):
-            return []
-        if test(node["l"]):
-            return [node]
-        return [x for c in node["c"] for x in find(c, test)]
-
-    def chars(node: dict) -> int:
-        return node.get("s", 0) + sum(map(chars, node["c"]))
-
-    tests = (
-        lambda s: s.partition(".")[0] == "article" or s.endswith(" article") or s.endswith(".article"),
-        lambda s: s.partition(".")[0] == "main" or s.endswith((".main", " main")),
-        lambda s: bool(GOOD_NAMES.search(s.partition(".")[2])),
-    )
-    roots, open_page = [], False
-    for test in tests:
-        roots = [r for r in find(wrapper, test) if chars(r)]
-        if roots:
-            break
-    else:
-        roots, open_page = [wrapper], True
+def _main(label: str) -> bool:
+    return label.partition(".")[0] == "main" or label.endswith((".main", " main"))
+
+
+#: Where the article is, the first that a page has.
+PLACES = (
+    _article,
+    _main,
+    lambda s: bool(GOOD_NAMES.search(s.partition(".")[2])),
+)
+OPEN, WHOLE = 3, 4
+
+
+def _absorbed(n: Node) -> bool:
+    """Whether an inline element is part of the text around it."""
+    return n.name in INLINE and not ill_named(n.label)
+
+
+def _blocks(node: Node) -> list[Node]:
+    out: list[Node] = []
+    for c in node.children:
+        if isinstance(c, Node):
+            out += _blocks(c) if _absorbed(c) else [c]
+    return out
 
-    def mark(node: dict, inside: bool) -> None:
-        inside = (inside or any(node is r for r in roots)) and (node["l"] in ("#page", "#text") or not _bad(node["l"]))
-        if node["l"] == "#text" and open_page and inside:
-            inside = not (node["n"] >= 3 and node["h"] is not None and not node["r"]) and 2 * node["a"] <= node["s"]
-        node["k"] = inside
+
+def _find(node, place: int, label, children) -> list:
+    """Outermost nodes that a test of PLACES takes."""
+    own = label(node)
+    name = own.partition(".")[0]
+    if own not in ("#page", "#text") and _bad(own):
+        return []
+    if name not in ("#page", "#text") and PLACES[place](own):
+        return [node]
+    return [x for c in children(node) for x in _find(c, place, label, children)]
+
+
+def _size(node: Node) -> int:
+    """Characters of text outside of menus, notices, forms and the like."""
+    return sum(len(c.strip()) if isinstance(c, str) else _size(c) if not _bad(c.label) else 0 for c in node.children)
+
+
+def place_of(page: Node) -> int:
+    """The article's place on a page: article elements, else main elements, else elements with a name of content, else all of the page (OPEN)."""
+    for place in range(OPEN):
+        if sum(map(_size, _find(page, place, lambda n: n.label, _blocks))):
+            return place
+    return OPEN
+
+
+def decide(wrapper: dict) -> dict:
+    """Marks each node of a wrapper with "k", a bit for each place of an article: whether the node's own text slots are the article's on pages with that place.
+
+    Pages of a host may differ in their places. Never the article's is what stands within menus, notices, forms and the like. On open pages
+    neither is a slot that is mostly links, nor (but in the bit WHOLE) one that says the same on all of three pages or more.
+    """
+    roots: dict[int, int] = {id(wrapper): 1 << OPEN | 1 << WHOLE}
+    for place in range(OPEN):
+        for r in _find(wrapper, place, lambda n: n["l"], lambda n: n["c"]):
+            roots[id(r)] = roots.get(id(r), 0) | 1 << place
+
+    def mark(node: dict, bits: int) -> None:
+        if node["l"] not in ("#page", "#text") and _bad(node["l"]):
+            bits = 0
+        bits |= roots.get(id(node), 0)
+        if node["l"] == "#text":
+            if node["n"] >= 3 and node["h"] is not None and not node["r"]:
+                bits &= ~(1 << OPEN)
+            if 2 * node["a"] > node["s"]:
+                bits &= ~(1 << OPEN | 1 << WHOLE)
+        node["k"] = bits
         for c in node["c"]:
-            mark(c, inside)
+            mark(c, bits)
 
-    mark(wrapper, False)
+    mark(wrapper, 0)
     return wrapper
 
 
 def extract(page: Node, wrapper: dict) -> str:
-    """Text of a page's tokens that the wrapper's article slots take, blocks joined by line breaks."""
-    blocks: list[str] = []
+    """Text of a page's tokens that the wrapper's article slots take, blocks joined by line breaks.
+
+    If nearly all of an open page is the same on the host's pages, they are copies, and what is the same is not left out.
+    """
+    place = place_of(page)
+    bit = 1 << (WHOLE if place == OPEN else place)
+    blocks: list[tuple[str, bool]] = []  # text, whether it differs between pages
 
-    def take(node: Node, guide: dict, keep: bool) -> None:
+    def take(node: Node, guide: dict, keep: int) -> None:
         items: list[tuple[str, object]] = []  # block-level children and runs of text with inline elements
         pieces: list[str] = []
 
@@ -255,7 +308,7 @@ def extract(page: Node, wrapper: dict) -> str:
                     pieces.append(c)
                 elif c.name == "br":
                     pieces.append("\n")
-                elif c.name in INLINE and not BAD_NAMES.search(c.label.partition(".")[2]):
+                elif _absorbed(c):
                     if c.name in ("td", "th"):
                         pieces.append(" ")
                     inline(c)
@@ -279,17 +332,21 @@ def extract(page: Node, wrapper: dict) -> str:
             j = to.get(i, -1)
             if j < 0:
                 j = next((x for x, c in enumerate(own) if c["l"] == folded[i]), -1)
-            next_guide = own[j] if j >= 0 else {"c": [], "k": keep and not _bad(folded[i])}
+            next_guide = own[j] if j >= 0 else {"c": [], "k": 0 if _bad(folded[i]) else keep}
             for item in group:
                 if isinstance(item, Node):
                     take(item, next_guide, next_guide["k"])
-                elif next_guide["k"]:
+                elif next_guide["k"] & bit:
                     block = " ".join(entities.unescape(item).split())
                     if block:
-                        blocks.append(block)
+                        blocks.append((block, bool(next_guide["k"] & 1 << OPEN)))
 
     take(page, wrapper, wrapper["k"])
-    return "\n".join(blocks)
+    if place == OPEN:
+        own = [b for b in blocks if b[1]]
+        if 10 * len(own) > len(blocks) or 10 * sum(len(b) for b, _ in own) > sum(len(b) for b, _ in blocks):
+            blocks = own
+    return "\n".join(b for b, _ in blocks)
 
 
 def host_of(url):

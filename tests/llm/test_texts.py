@@ -80,6 +80,30 @@ def test_articles_of_several_shapes():
         assert [html.extract(p, wrapper) for p in pages] == [want[bodies.index(b)] for b in group]
 
 
+def extracted(bodies):
+    """Texts of pages of one host."""
+    pages = [html.parse(b) for b in bodies]
+    wrapper = html.expression(pages[0])
+    for p in pages[1:]:
+        wrapper = html.merge(wrapper, html.expression(p))
+    html.decide(wrapper)
+    return [html.extract(p, wrapper) for p in pages]
+
+
+def test_a_host_of_mixed_templates():
+    shapes = ["<article><h1>A{0}</h1><p>one {0}</p></article>", "<main><h1>M{0}</h1><p>two {0}</p></main>", "<div class='content'><h1>C{0}</h1><p>three {0}</p></div>", "<h1>P{0}</h1><p>four {0}</p>", "<article> </article><main><p>five {0}</p></main>"]
+    want = ["A{0}\none {0}", "M{0}\ntwo {0}", "C{0}\nthree {0}", "P{0}\nfour {0}", "five {0}"]
+    bodies = [PAGE.format(i=i, body=x.format(i)) for i in range(3) for x in shapes]
+    assert extracted(bodies) == [x.format(i) for i in range(3) for x in want]
+
+
+def test_a_host_of_copies():
+    copy = PAGE.format(i=0, body="<h1>T</h1><p>one</p><div>two<p>three</p></div>")
+    assert extracted([copy] * 4) == ["T\none\ntwo\nthree"] * 4
+    varied = [PAGE.format(i=i, body=f"<h1>Site name</h1><div>text of its own {i}</div>") for i in range(4)]
+    assert extracted(varied) == [f"text of its own {i}" for i in range(4)]
+
+
 def test_wrappers_don_t_depend_on_partitions(spark):
     rows = [(i, f"http://h{i % 3}.org/p{i}", PAGE.format(i=i, body=f"<article><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + "<table><tr><td>a<td>b</table>" * (i % 2) + "</article>")) for i in range(24)]
     rows += [(100, None, None), (101, "no host", ""), (102, "http://h0.org/", "<<<p>broken <article"), (103, "http://h9.org", "<p>" * 3000 + "deep")]
