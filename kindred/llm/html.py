@@ -30,6 +30,11 @@ BAD_NAMES = re.compile(
 )
 GOOD_NAMES = re.compile(r"(?:^|[-_ ])(?:article\w*|post|posts?-(?:body|content|text)|entry(?:-content|-body)?|content|main(?:-content)?|story\w*|text|body)(?:$|[-_ ])", re.IGNORECASE)
 
+#: Elements that no name rules out.
+STRUCTURE = frozenset(("html", "body", "main", "article"))
+STATES = re.compile(r"(?:has|with|without|no)-", re.IGNORECASE)
+POST_NAMES = frozenset(("post", "hentry", "type-post"))
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 #: Children of a wrapper node; beyond it, equal ones become one repeated group, so a wrapper stays small however pages vary.
@@ -192,14 +197,17 @@ def merge(a: dict, b: dict) -> dict:
 
 @lru_cache(1 << 16)
 def ill_named(label: str) -> bool:
-    """Whether classes, id or role name what is not an article."""
-    return bool(BAD_NAMES.search(label.partition(".")[2]))
+    """Whether classes, id or role name what is not an article. States of a layout (has-sidebar, no-comments) and the tags of a post don't."""
+    words = [w for w in label.partition(".")[2].split() if not STATES.match(w)]
+    if not POST_NAMES.isdisjoint(words):
+        words = [w for w in words if not w.startswith(("tag-", "category-"))]
+    return bool(BAD_NAMES.search(" ".join(words)))
 
 
 @lru_cache(1 << 16)
 def _bad(label: str) -> bool:
     name = label.partition(".")[0]
-    return name in NEVER or ill_named(label)
+    return name in NEVER or name not in STRUCTURE and ill_named(label)
 
 
 def _article(label: str) -> bool:
@@ -210,13 +218,15 @@ def _main(label: str) -> bool:
     return label.partition(".")[0] == "main" or label.endswith((".main", " main"))
 
 
-#: Where the article is, the first that a page has.
+#: Where the article is, the first that a page has. Names of whole pages say nothing of the article's place.
 PLACES = (
-    _article,
+    lambda s: _article(s) and not ill_named(s),
     _main,
+    _article,
     lambda s: bool(GOOD_NAMES.search(s.partition(".")[2])),
+    lambda s: _main(s) or _article(s) and not ill_named(s),  # within containers with other names
 )
-OPEN, WHOLE = 3, 4
+CLEAN, NAMED, LOOSE, OPEN, WHOLE = 0, 3, 4, 5, 6
 
 
 def _absorbed(n: Node) -> bool:
@@ -236,9 +246,9 @@ def _find(node, place: int, label, children) -> list:
     """Outermost nodes that a test of PLACES takes."""
     own = label(node)
     name = own.partition(".")[0]
-    if own not in ("#page", "#text") and _bad(own):
+    if own not in ("#page", "#text") and (name in NEVER if place == LOOSE else _bad(own)):
         return []
-    if name not in ("#page", "#text") and PLACES[place](own):
+    if name not in ("#page", "#text", "html", "body") and PLACES[place](own):
         return [node]
     return [x for c in children(node) for x in _find(c, place, label, children)]
 
@@ -249,11 +259,18 @@ def _size(node: Node) -> int:
 
 
 def place_of(page: Node) -> int:
-    """The article's place on a page: article elements, else main elements, else elements with a name of content, else all of the page (OPEN)."""
-    for place in range(OPEN):
-        if sum(map(_size, _find(page, place, lambda n: n.label, _blocks))):
-            return place
-    return OPEN
+    """The article's place on a page: article elements, else main elements, else articles with other names, else elements with a name of content,
+    else all of the page (OPEN). Articles within containers with other names count if they hold more text than the last two."""
+    size = 0
+    for place in range(LOOSE):
+        size = sum(map(_size, _find(page, place, lambda n: n.label, _blocks)))
+        if size:
+            break
+    else:
+        place, size = OPEN, _size(page)
+    if place < NAMED:
+        return place
+    return LOOSE if sum(map(_size, _find(page, LOOSE, lambda n: n.label, _blocks))) > size else place
 
 
 def decide(wrapper: dict) -> dict:
@@ -268,8 +285,11 @@ def decide(wrapper: dict) -> dict:
             roots[id(r)] = roots.get(id(r), 0) | 1 << place
 
     def mark(node: dict, bits: int) -> None:
-        if node["l"] not in ("#page", "#text") and _bad(node["l"]):
-            bits = 0
+        if node["l"] not in ("#page", "#text"):
+            if _bad(node["l"]):
+                bits = 0
+            elif ill_named(node["l"]) and node["l"].partition(".")[0] == "article":
+                bits &= ~(1 << CLEAN)  # comments and teasers within an article
         bits |= roots.get(id(node), 0)
         if node["l"] == "#text":
             if node["n"] >= 3 and node["h"] is not None and not node["r"]:

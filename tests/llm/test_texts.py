@@ -104,6 +104,30 @@ def test_a_host_of_copies():
     assert extracted(varied) == [f"text of its own {i}" for i in range(4)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-js menu'><body class='home has-sidebar'><nav>n</nav><article><p>text {i}</p></article></body>",
+        "<body class='single single-post has-sidebar tag-news'><nav>n</nav><div class='content'><p>text {i}</p></div></body>",
+        "<body class='has-sidebar'><p>text {i}</p></body>",
+        "<body><article class='post hentry tag-news'><p>text {i}</p><div class='share'>s</div><article class='comment'>c</article></article><aside>a</aside></body>",
+        "<body><div class='post hentry tag-news'><p>text {i}</p></div></body>",
+        "<body><article class='related-story'><p>text {i}</p></article></body>",
+        "<body><main class='content-with-sidebar menu'><p>text {i}</p></main></body>",
+        "<body><div class='content with-sidebar'><p>text {i}</p></div><div class='sidebar content'>s</div></body>",
+        "<body><div class='sidebar-layout'><article><p>text {i}</p></article><aside>a</aside></div><p>x</p></body>",
+        "<body><main><p>text {i}</p></main><article class='related-card'>r</article></body>",
+    ],
+)
+def test_names_of_pages_and_articles_rule_nothing_out(page):
+    assert extracted([page.format(i=i) for i in range(4)]) == [f"text {i}" for i in range(4)]
+
+
+def test_menus_and_comments_stay_out():
+    page = "<body><div id='comments'><article class='comment'>long comment {i}, longer than the text</article></div><div class='tag-cloud'>t{i}</div><p>text {i}</p></body>"
+    assert extracted([page.format(i=i) for i in range(4)]) == [f"text {i}" for i in range(4)]
+
+
 def test_wrappers_don_t_depend_on_partitions(spark):
     rows = [(i, f"http://h{i % 3}.org/p{i}", PAGE.format(i=i, body=f"<article><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + "<table><tr><td>a<td>b</table>" * (i % 2) + "</article>")) for i in range(24)]
     rows += [(100, None, None), (101, "no host", ""), (102, "http://h0.org/", "<<<p>broken <article"), (103, "http://h9.org", "<p>" * 3000 + "deep")]
