@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from kindred.llm.common import extended, slices
 
@@ -108,7 +110,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
 def blocks(benchmark: DataFrame, s: Settings, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The benchmark's (item, text) rows in blocks of bounded size, streamed to the driver a partition at a time."""
     block, size = [], 0
-    for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).orderBy(item_col, text_col).toLocalIterator():
+    for row in benchmark.select(item_col, text_col).where(F.col(text_col).isNotNull()).orderBy(item_col, text_col).toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1])
         if size >= s.block_chars:
@@ -130,6 +132,8 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
         order = np.argsort(keys, kind="stable")
         by_length[k] = keys[order], who[order]
     shared = docs.sparkSession.sparkContext.broadcast((items, by_length))
+    schema = StructType.fromDDL(f"id {dict(docs.dtypes)[id_col]}, item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>")
+    item_type = to_arrow_type(schema["item"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, by_length = shared.value
@@ -166,17 +170,16 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
                     spans = pa.list_(pa.struct([("doc", pa.int64()), ("item", pa.int64()), ("length", pa.int64())]))
                     c = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], ids.type), pa.array(c[1]), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], spans)], ["id", "item", "covered", "words", "spans"]
+                        [pa.array(c[0], ids.type), pa.array(c[1], item_type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], spans)], ["id", "item", "covered", "words", "spans"]
                     )
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item, covered, words, spans) for each document and item with a common tile: words of the item that tiles cover, and the tiles.
 
-    Documents are read once a block of items; nothing is shuffled. Null texts and texts without words match nothing; so do items without words.
+    Documents are read once a block of items; nothing is shuffled. Null texts and texts without words match nothing; so do items without words. Items with a null id match by their texts like others, and stand under a null item.
     """
     kind = dict(benchmark.dtypes)[item_col]
     out = None
@@ -190,10 +193,10 @@ def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, item, covered, words, items) of documents that hold s.percent percent of an item's words or more: the item of largest share, then of least id, and how many there are."""
+    """(id, item, covered, words, items) of documents that hold s.percent percent of an item's words or more: the item of largest share, then of least id, and how many there are (those with a null id, which comes first, count as one)."""
     found = tilings(docs, benchmark, s, id_col, text_col, item_col).where(100 * F.col("covered") >= s.percent * F.col("words"))
     best = F.min(F.struct((-F.col("covered") / F.col("words")).alias("o"), "item", "covered", "words"))
-    return found.groupBy("id").agg(best.alias("b"), F.countDistinct("item").alias("items")).select("id", "b.item", "b.covered", "b.words", "items")
+    return found.groupBy("id").agg(best.alias("b"), (F.countDistinct("item") + F.max(F.col("item").isNull().cast("long"))).alias("items")).select("id", "b.item", "b.covered", "b.words", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

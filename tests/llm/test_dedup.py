@@ -156,6 +156,16 @@ def test_decontamination(spark, odd_docs):
     assert decontaminate.op10_decontaminate(df, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.drop_contaminated(df, bench).columns == df.columns
 
 
+def test_items_with_a_null_id_convict(spark):
+    items, own = [(None, prose(52, 40)), (None, prose(53, 40)), (7, prose(52, 40) + " more")], prose(54, 80)
+    df = spark.createDataFrame([(1, f"x {items[0][1]} y"), (2, f"{items[1][1]} {own}"), (3, own)], "doc_id long, text string")
+    for kind, name in (("long", 7), ("string", "7")):
+        bench = spark.createDataFrame([(i and name, t) for i, t in items], f"item_id {kind}, text string")
+        got = {r.doc_id: (r.item_id, r.n_items, r.contaminated, r.kept) for r in decontaminate.op10_decontaminate(df, bench).collect()}
+        assert got == {1: (None, 2, True, False), 2: (None, 1, True, False), 3: (None, 0, False, True)}
+        assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench.where("item_id is null")).collect()] == [3]
+
+
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_rolling_hashes(k):
     h = np.array([5, 9, 5, 9, 5, 9, 1], np.uint64)
