@@ -154,11 +154,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _rest(cells: DataFrame, s: Settings) -> DataFrame:
+def _rest(cells: DataFrame, s: Settings, every: bool = False) -> DataFrame:
     """Likely links of what leaders have not settled: in a cell (key, i, j), each outsider (side 1) against each member (side 0) of another class.
 
-    A pair counts in the first of its common bands only. For each outsider and each class, one link suffices. Sets come as the upper 32 bits of
-    their hashes, so no link is missed; full sets confirm those found.
+    A pair counts in the first of its common bands only. For each outsider and each class, one link suffices (with `every`, all are given). Sets
+    come as the upper 32 bits of their hashes, which share no less than the full ones; full sets confirm those found.
     """
     percent = s.percent
 
@@ -184,13 +184,25 @@ def _rest(cells: DataFrame, s: Settings) -> DataFrame:
                 hit = np.flatnonzero(use & _similar(shared, size, x.n, percent))
                 seen: dict = {}
                 for k in hit:
-                    seen.setdefault(classes[k], names[k])
+                    seen.setdefault(k if every else classes[k], names[k])
                 out += [(x.fp, y) for y in seen.values()]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return cells.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
 
 
+def _rest_links(members: DataFrame, outsiders: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) of outsiders a with members b. Outsiders with a likely link that full sets don't confirm meet all their likely partners, so no class is missed."""
+    likely = _rest(members.unionByName(outsiders), s).distinct()
+    tried = written(_verified(likely, sets, s), "minhash-rest")
+    failed = tried.where("not linked").select(F.col("a").alias("fp")).distinct()
+    if failed.isEmpty():
+        return tried.where("linked").select("a", "b")
+    again = _rest(members.unionByName(outsiders.join(failed, "fp", "left_semi")), s, every=True).distinct()
+    more = written(_verified(again, sets, s), "minhash-rest-again")
+    return tried.unionByName(more).where("linked").select("a", "b").distinct()
+
+
 def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component) for each row: set size, and the smallest id that links reach.
 
@@ -247,8 +259,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     base = ["band", "key", "fp", "n", "comp", "bands", "body"]
     members = open_.select(*base, F.lit(0).alias("side"), part(F.col("size"), "m").alias("i"), F.explode(F.sequence(F.lit(0), chunk(outside) - 1)).alias("j"))
     outsiders = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), chunk(F.col("size")) - 1)).alias("i"), part(outside, "o").alias("j"))
-    likely = _rest(members.unionByName(outsiders), s).distinct()
-    rest = written(_verified(likely, sets, s), "minhash-rest").where("linked").select("a", "b")
+    rest = _rest_links(members, outsiders, sets, s)
     comps = written(components(links.unionByName(rest)), "minhash-comps")
 
     labelled = nodes.select("fp", "one").join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))

@@ -66,6 +66,21 @@ def test_near_groups_of_odd_rows(spark, odd_docs):
     assert minhash.near_groups(odd_docs.limit(0)).count() == 0 and minhash.drop_near_copies(odd_docs).columns == odd_docs.columns
 
 
+def test_rest_survives_chance_matches_of_half_hashes(spark):
+    """A member just below the threshold is lifted over it by a hash equal in its upper half only; the next member of its class is a true link, that of another class is not."""
+    high = (np.arange(1, 201, dtype=np.uint64) << np.uint64(32)) + np.uint64(7)
+    own = high[:100]
+    low = np.sort(np.concatenate([own[:91], own[91:92] + np.uint64(1), high[100:108]]))  # 91 of 109 in full, 92 of 108 in halves
+    true, far = np.sort(np.concatenate([own[:95], high[110:115]])), np.sort(np.concatenate([own[:91], own[91:92] + np.uint64(1), high[120:128]]))
+    rows = [(n, x.tobytes(), (x >> np.uint64(32)).astype(np.uint32).tobytes(), len(x), c) for n, x, c in ((b"x", own, b"c0"), (b"a", low, b"c1"), (b"b", true, b"c1"), (b"f", far, b"c2"))]
+    sets = spark.createDataFrame([r[:2] for r in rows], "fp binary, body binary")
+    cells = lambda rows, side: spark.createDataFrame([(0, 5, n, size, c, [5], short, side, 0, 0) for n, _, short, size, c in rows], "band int, key long, fp binary, n long, comp binary, bands array<long>, body binary, side int, i int, j int").coalesce(1)
+    got = minhash._rest_links(cells(rows[1:], 0), cells(rows[:1], 1), sets, minhash.Settings()).collect()
+    assert {(bytes(r.a), bytes(r.b)) for r in got} == {(b"x", b"b")}
+    likely = minhash._rest(cells(rows[1:], 0).unionByName(cells(rows[:1], 1)), minhash.Settings()).collect()
+    assert (b"x", b"a") in {(bytes(r.a), bytes(r.b)) for r in likely}  # what one try alone would confirm in vain
+
+
 def test_signatures_estimate_and_end_early():
     a, b = np.arange(1, 501, dtype=np.uint64), np.arange(101, 601, dtype=np.uint64)
     x, y = minhash.super_minhash([minhash.mixed(a), minhash.mixed(b)], 256)
