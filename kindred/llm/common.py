@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -52,11 +53,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and later readers of it survive lost executors."""
+    """df as a table in the shared folder: cuts lineage, and later readers of it survive lost executors. It stays until `discard`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kindred_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `written` made. Nothing that is read later may stand on them."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t._kindred_path)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _release() -> None:
+    """Gives freed memory back to the system: Python workers live on, and what they hold would stand in later stages' way."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run) on workers that have this package, which free their memory at a task's end."""
+    ship(df.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return df.mapInArrow(task, schema)
 
 
 def slices(batch: pa.RecordBatch, column: int, chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str | None]]]:
@@ -79,6 +109,19 @@ def chunks(items: list, n: int) -> Iterable[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores after it while a column of the frames has it, in whatever case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, more: str) -> DataFrame:
+    """df without columns of the names that a DDL string is about to add: what an operator adds replaces a column of that name."""
+    return df.drop(*(f.name for f in StructType.fromDDL(more).fields))
+
+
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of df with the columns of a DDL string after its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -5,34 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import written
+from kindred.llm.common import discard, written
 
+#: Nodes of more edges than this, and than a HUBS-th of all (each counted at both ends), are hubs. So there are HUBS at most, and their least neighbours go out by broadcast.
+HUB_EDGES, HUBS = 10_000, 50_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """edges (a, b) with m of their a, from least (a, m, k). Edges of hubs (k > hub) stay where they are, so none gathers in one task."""
+    if hub is None:
+        return edges.join(least.select("a", "m"), "a")
+    hubs = F.broadcast(least.where(F.col("k") > hub).select("a", F.col("m").alias("hub")))
+    both = edges.join(hubs, "a", "left")
+    rest = both.where("hub is null").select("a", "b").join(least.where(F.col("k") <= hub).select("a", "m"), "a")
+    return both.where("hub is not null").select("a", "b", F.col("hub").alias("m")).unionByName(rest)
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
     """Each node's larger neighbours point to the least of it and its neighbours."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    both = _both_ways(edges)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("k"))
+    return _with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point to the least of them."""
+    """Each node and its smaller neighbours point to the least of them. After a large star, a node has few smaller neighbours."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) of all nodes with an edge: comp is the least node of the component. edges: (a, b), repeats and loops allowed.
+def components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
+    """(node, comp) of all nodes with an edge: comp is the least node of the component. edges: (a, b), repeats and loops allowed. A table of `written`.
 
     Ends when edges stay the same: then each component is a star around its least node. Rounds grow with the logarithm of a component's size.
     """
     now = written(edges.where("a != b").distinct(), "star")
     mark = None
     while True:
-        now = written(_small_star(_large_star(now)), "star")
-        row = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if tuple(row) == mark or not row[0]:
+        degrees = _both_ways(now).groupBy("a").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("a", "b")).alias("d"))
+        n, most, digest = degrees.agg(F.sum("k"), F.max("k"), F.bit_xor("d")).first()
+        if not n or (n, digest) == mark:
             break
-        mark = tuple(row)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+        mark, hub = (n, digest), max(hub_edges, n // HUBS)
+        old, now = now, written(_small_star(_large_star(now, hub if most > hub else None)), "star")
+        discard(old)
+    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+    discard(now)
+    return out

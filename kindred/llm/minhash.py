@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import slices, written
+from kindred.llm.common import discard, fresh, mapped, slices, written
 from kindred.llm.graph import components
 from kindred.llm.pieces import _mixed as mixed
 
@@ -77,21 +76,27 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Settings:
-    """k: words a shingle. percent: least similarity. bands x rows: signature places; early: bands of the first round. block: most sets a side of one exact block.
+    """k: words a shingle. percent: least similarity. bands x rows: signature places. least: equal places of a likely pair. meets: others that a set of an open bucket
+    would meet, on average, for which leaders are sought once more.
+    block: sets a side of one exact block, about; tile: numbers of its sets, about, or one set.
 
-    A pair of similarity 0.85 shares no band with a chance of (1 - 0.85 ** 5) ** 26, about 2e-7.
+    A pair of similarity 0.85 shares no band with a chance of (1 - 0.85 ** 5) ** 26, about 2e-7, and has 110 equal places of 130, give or take 4, so 86
+    are six deviations below.
     """
 
     k: int = 3
     percent: int = 85
     bands: int = 26
     rows: int = 5
-    early: int = 4
+    least: int = 86
+    meets: int = 64
     block: int = 512
+    tile: int = 4_000_000
 
 
-#: Of all near-dedup but op1_minhash, whose contract Settings() holds. A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 26, about 3e-5.
-FIVE_WORDS = Settings(k=5, percent=80)
+#: Of all near-dedup but op1_minhash, whose contract Settings() holds. A pair of similarity 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 26,
+#: about 3e-5, and has 104 equal places, give or take 4.6.
+FIVE_WORDS = Settings(k=5, percent=80, least=77)
 
 
 def _fingerprint(s: np.ndarray) -> bytes:
@@ -99,195 +104,308 @@ def _fingerprint(s: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, fp, bands) of each row: set size, the set's fingerprint (null if empty), and a hash for each band (null if empty)."""
+    """(id, n, fp, sig) of each row: set size, the set's fingerprint, and 16 bits of each place of its signature (both null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, part in slices(b, 1):
+            for start, part in slices(b, 1, 1_000_000):
                 sets = shingle_sets(part, s.k)
-                sig = super_minhash(sets, s.bands * s.rows).reshape(len(part), s.bands, s.rows).view(np.uint64)
-                keys = np.full((len(part), s.bands), 0, np.uint64) + np.arange(s.bands, dtype=np.uint64)
-                for j in range(s.rows):
-                    keys = mixed((keys ^ sig[:, :, j]) * _A + _B)
-                lists = [k.tolist() if len(x) else None for k, x in zip(keys.view(np.int64), sets, strict=True)]
-                out = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if len(x) else None for x in sets], pa.binary()), pa.array(lists, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *out], ["id", "n", "fp", "bands"])
+                sig = (mixed(super_minhash(sets, s.bands * s.rows).view(np.uint64)) >> np.uint64(48)).astype("<u2")
+                some = [len(x) > 0 for x in sets]
+                out = [
+                    pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) if y else None for x, y in zip(sets, some, strict=True)], pa.binary()),
+                    pa.array([x.tobytes() if y else None for x, y in zip(sig, some, strict=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(part)), *out], ["id", "n", "fp", "sig"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {kind}, n long, fp binary, bands array<long>")
+    return mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), run, f"id {kind}, n long, fp binary, sig binary")
+
+
+def _keys(s: Settings) -> list[Column]:
+    """A hash of each band of a signature, apart from those of other bands."""
+    width = 2 * s.rows
+    return [F.xxhash64(F.substring("sig", j * width + 1, width), F.lit(j)) for j in range(s.bands)]
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(fp, n, body) of the sets in wanted (one, fp): the texts of ids `one` are shingled again; body is the set as 64-bit numbers."""
+    """(fp, body) of the sets in wanted (one, fp): the texts of ids `one` are shingled again; body is the set as 64-bit numbers."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select(F.col("one").alias("id")).distinct(), "id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, part in slices(b, 0):
+            for _, part in slices(b, 0, 1_000_000):
                 sets = [x for x in shingle_sets(part, s.k) if len(x)]
-                made = [[_fingerprint(x) for x in sets], [x.tobytes() for x in sets], [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in made], ["fp", "body", "short"])
+                made = [[_fingerprint(x) for x in sets], [x.tobytes() for x in sets]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in made], ["fp", "body"])
+
+    # ids may repeat with other texts, so sets are asked for by fingerprint too
+    return mapped(texts, run, "fp binary, body binary").join(wanted.select("fp"), "fp").dropDuplicates(["fp"])
+
+
+def _numbers(column: pa.Array, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
-    every = texts.mapInArrow(run, "fp binary, body binary, short binary")
-    return every.join(wanted.select("fp"), "fp").dropDuplicates(["fp"])
 
+def _likely(pairs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
+    """Pairs of node numbers (v, u) as (a, b) of fingerprints where sizes allow a link and signatures make it likely."""
+    side = lambda end, name: wanted.select(F.col("v").alias(end), F.col("fp").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    sized = pairs.select("v", "u").join(side("v", "a"), "v").join(side("u", "b"), "u").where(100 * F.least("n_a", "n_b") >= s.percent * F.greatest("n_a", "n_b"))
 
-def _similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * shared >= percent * (a + b - shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [int((x == y).sum()) >= s.least for x, y in zip(_numbers(batch.column("sig_a"), "<u2"), _numbers(batch.column("sig_b"), "<u2"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return mapped(sized.select("a", "b", "sig_a", "sig_b"), run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """(a, b, linked) of candidate pairs (a, b): similarity of full sets. Each row holds two sets, so a hub's rows need not meet in a task."""
-    left = sets.select(F.col("fp").alias("a"), F.col("body").alias("x"))
-    right = sets.select(F.col("fp").alias("b"), F.col("body").alias("y"))
+    asked = pairs.select("a", "b")
+    left = asked.join(sets.select(F.col("fp").alias("a"), F.col("body").alias("x")), "a")
+    right = asked.join(sets.select(F.col("fp").alias("b"), F.col("body").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            for p, q in zip(_numbers(batch.column("x"), "<u8"), _numbers(batch.column("y"), "<u8"), strict=True):
                 both = np.sort(np.concatenate([p, q]), kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 linked.append(100 * shared >= s.percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+    return mapped(left.join(right, ["a", "b"]).select("a", "b", "x", "y"), run, "a binary, b binary, linked boolean")
+
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, linked boolean")
+def _fixed(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    """The rows of a binary column whose values all have one length."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind).reshape(-1, width)
 
 
-def _rest(cells: DataFrame, s: Settings, every: bool = False) -> DataFrame:
-    """Likely links of what leaders have not settled: in a cell (key, i, j), each outsider (side 1) against each member (side 0) of another class.
+def _by_cell(rows: DataFrame, cell: list[str], handle: Callable[[pa.RecordBatch, int, int], list[tuple[bytes, bytes]]]) -> DataFrame:
+    """Pairs (a, b) that `handle` finds in each cell, given rows in order of cell and side and the cell's bounds. A task holds one cell and one batch."""
 
-    A pair counts in the first of its common bands only. For each outsider and each class, one link suffices (with `every`, all are given). Sets
-    come as the upper 32 bits of their hashes, which share no less than the full ones; full sets confirm those found.
+    def found(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.concat_batches(rows)
+        of = np.stack([whole.column(c).to_numpy() for c in cell])
+        cut = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1
+        pairs = [p for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), whole.num_rows], strict=True) for p in handle(whole, lo, hi)]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in range(2)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last cell, which may go on
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = np.stack([b.column(c).to_numpy() for c in cell])
+            cut = np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1
+            start = int(cut[-1]) if len(cut) else 0
+            if held and (start or (of[:, 0] != last).any()):
+                yield found([*held, b.slice(0, start)])
+                held = []
+            elif start:
+                yield found([b.slice(0, start)])
+            held.append(b.slice(start))
+            last = of[:, -1]
+        if held:
+            yield found(held)
+
+    return mapped(rows.repartition(*cell).sortWithinPartitions(*cell, "side"), run, "a binary, b binary")
+
+
+class _Union:
+    """Union-find over small numbers; `joined` keeps the pairs that joined two classes."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+        self.joined: list[tuple[int, int]] = []
+
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.root(x), self.root(y)
+        if p != q:
+            self.up[max(p, q)] = min(p, q)
+            self.joined.append((x, y))
+
+
+def _spans(cells: DataFrame, s: Settings) -> DataFrame:
+    """Pairs that span all likely pairs of what leaders have not settled: in a cell (key, i, j), each outsider (side 1) meets each member (side 0) of another class.
+
+    A pair counts in the first of its common bands only.
     """
-    percent = s.percent
-
-    def run(cell: pd.DataFrame) -> pd.DataFrame:
-        out, side = [], cell["side"].to_numpy()
-        members, outsiders = cell[side == 0], cell[side == 1]
-        if len(members) and len(outsiders):
-            flat = np.concatenate([np.frombuffer(x, np.uint32) for x in members["body"]])
-            size = members["n"].to_numpy()
-            starts = np.cumsum(size) - size
-            keys = np.stack(members["bands"].to_list())
-            names, classes = members["fp"].to_numpy(), members["comp"].to_numpy()
-            band = int(cell["band"].iloc[0])
-            for x in outsiders.itertuples():
-                same = keys == np.asarray(x.bands)[None]
-                use = (same.argmax(1) == band) & (classes != x.comp)
-                use &= (100 * np.minimum(size, x.n) >= percent * np.maximum(size, x.n))
-                if not use.any():
-                    continue
-                own = np.frombuffer(x.body, np.uint32)
-                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                shared = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
-                hit = np.flatnonzero(use & _similar(shared, size, x.n, percent))
-                seen: dict = {}
-                for k in hit:
-                    seen.setdefault(k if every else classes[k], names[k])
-                out += [(x.fp, y) for y in seen.values()]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    return cells.groupBy("key", "i", "j").applyInPandas(run, "a binary, b binary")
-
-
-def _rest_links(members: DataFrame, outsiders: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Links (a, b) of outsiders a with members b. Outsiders with a likely link that full sets don't confirm meet all their likely partners, so no class is missed."""
-    likely = _rest(members.unionByName(outsiders), s).distinct()
-    tried = written(_verified(likely, sets, s), "minhash-rest")
-    failed = tried.where("not linked").select(F.col("a").alias("fp")).distinct()
-    if failed.isEmpty():
-        return tried.where("linked").select("a", "b")
-    again = _rest(members.unionByName(outsiders.join(failed, "fp", "left_semi")), s, every=True).distinct()
-    more = written(_verified(again, sets, s), "minhash-rest-again")
-    return tried.unionByName(more).where("linked").select("a", "b").distinct()
+
+    def handle(rows: pa.RecordBatch, lo: int, hi: int) -> list[tuple[bytes, bytes]]:
+        rows = rows.slice(lo, hi - lo)
+        side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+        mid, size = int(np.searchsorted(side, 1)), len(side)
+        if mid in (0, size):
+            return []
+        sig, comp, band = _fixed(rows.column("sig"), "<u2", s.bands * s.rows), _fixed(rows.column("comp"), "<u8", 2), rows.column("band")[0].as_py()
+        union = _Union(size)
+        step = max(1, 2_000_000 // (mid * sig.shape[1]))
+        for at in range(mid, size, step):
+            end = min(size, at + step)
+            a, b = n[at:end, None], n[None, :mid]
+            x, y = np.nonzero((comp[at:end, None] != comp[None, :mid]).any(2) & (100 * np.minimum(a, b) >= s.percent * np.maximum(a, b)))
+            equal = sig[at + x] == sig[y]
+            near = np.flatnonzero(equal.sum(1) >= s.least)
+            near = near[equal[near].reshape(len(near), s.bands, s.rows).all(2).argmax(1) == band]
+            for i, j in zip((at + x[near]).tolist(), y[near].tolist(), strict=True):
+                union.join(i, j)
+        fp = rows.column("fp")
+        return [(fp[i].as_py(), fp[j].as_py()) for i, j in union.joined]
+
+    return _by_cell(cells.select("key", "i", "j", "side", "band", "n", "fp", "comp", "sig"), ["key", "i", "j"], handle)
+
+
+def _links_of(tiles: DataFrame, s: Settings) -> DataFrame:
+    """Links that join the classes of a tile (kin, i, j) as far as any can: likely pairs of sets of its two sides (i < j), or of all its sets (i = j), are confirmed on full
+    sets unless their classes are joined already."""
+
+    def handle(rows: pa.RecordBatch, lo: int, hi: int) -> list[tuple[bytes, bytes]]:
+        rows = rows.slice(lo, hi - lo)
+        side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
+        sig, sets = _fixed(rows.column("sig"), "<u2", s.bands * s.rows), _numbers(rows.column("body"), "<u8")
+        classes = np.unique(_fixed(rows.column("comp"), "<u8", 2), axis=0, return_inverse=True)[1].ravel()
+        union, found = _Union(int(classes.max()) + 1), []
+        kin = classes.tolist()
+        two_sides = side[0] != side[-1]
+        for i in range(len(side)):
+            others = np.arange(i) if not two_sides else np.flatnonzero(side[:i] != side[i])
+            others = others[(classes[others] != classes[i]) & (100 * np.minimum(n[others], n[i]) >= s.percent * np.maximum(n[others], n[i]))]
+            same = (sig[others] == sig[i]).sum(1)
+            for j in others[np.argsort(-same, kind="stable")][: int((same >= s.least).sum())].tolist():
+                if union.root(kin[i]) != union.root(kin[j]):
+                    both = np.sort(np.concatenate([sets[i], sets[j]]), kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= s.percent * (len(both) - shared):
+                        union.join(kin[i], kin[j])
+                        found.append((rows.column("fp")[i].as_py(), rows.column("fp")[j].as_py()))
+        return found
+
+    return _by_cell(tiles.select("kin", "i", "j", "side", "n", "fp", "comp", "sig", "body"), ["kin", "i", "j"], handle)
+
+
+def _rest_links(open_: DataFrame, wanted: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join what is still open, from rows (key, fp, n, sig, comp, main, size, most) of buckets of several classes. A table of `written`.
+
+    Signatures alone meet in blocks a bucket; what likely pairs span is a kin. The sets of a kin then meet once, in tiles, however many bands they share.
+    """
+    chunk = lambda n: F.ceil(n / F.lit(s.block)).cast("int")
+    others = F.col("size") - F.col("most")
+    part = lambda n, name: F.pmod(F.xxhash64("fp", F.lit(name)), n).cast("int")
+    base = ["key", (F.array_position(F.array(*_keys(s)), F.col("key")) - 1).alias("band"), "fp", "n", "comp", "sig"]
+    members = open_.select(*base, F.lit(0).alias("side"), part(chunk(F.col("size")), "m").alias("i"), F.explode(F.sequence(F.lit(0), chunk(others) - 1)).alias("j"))
+    outsiders = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), chunk(F.col("size")) - 1)).alias("i"), part(chunk(others), "o").alias("j"))
+    spans = written(_spans(members.unionByName(outsiders), s), "minhash-spans")
+    kins = components(spans)
+    nodes = kins.select(F.col("node").alias("fp"), F.xxhash64("comp").alias("kin")).join(wanted.select("fp", "n", "sig"), "fp").join(open_.select("fp", "comp").distinct(), "fp").join(sets, "fp")
+    sizes = kins.join(wanted.select(F.col("fp").alias("node"), "n"), "node").groupBy(F.xxhash64("comp").alias("kin")).agg(
+        F.greatest(chunk(F.count("*")), F.ceil(F.sum("n") / F.lit(s.tile)).cast("int")).alias("parts")
+    )
+    dealt = nodes.join(sizes, "kin").withColumn("own", part(F.col("parts"), "t")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    found = written(_links_of(tiles, s), "minhash-rest")
+    discard(spans, kins)
+    return found
+
+
+def _classed(buckets: DataFrame, wanted: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(key, v, fp, comp) of bucket rows: the class of a set without a link is itself."""
+    nodes = wanted.select("v", "fp")
+    if comps is None:
+        return buckets.join(nodes.withColumn("comp", F.col("fp")), "v")
+    return buckets.join(nodes.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "v")
+
+
+def _mains(known: DataFrame, turn: int) -> DataFrame:
+    """(key, main, leader, size, most) of buckets of several classes: their largest class, a member of it by the hash of this turn, and how many they and it are."""
+    by_class = known.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("v"))).alias("lead"))
+    out = by_class.groupBy("key").agg(F.max(F.struct("k", "comp", "lead.v")).alias("top"), F.sum("k").alias("size"), F.max("k").alias("most")).where("most < size")
+    return out.select("key", F.col("top.comp").alias("main"), F.col("top.v").alias("u"), "size", "most")
 
 
 def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, component) for each row: set size, and the smallest id that links reach.
 
-    Two rows link if their shingle sets are `s.percent` percent alike or more, found through common bands and confirmed on full sets.
-    Empty sets link with nothing; rows with a null id link with nothing and have a null component. Rows of one id are one document
-    for what they reach; equal sets are one node of the graph.
+    Two rows link if their shingle sets are `s.percent` percent alike or more, found through common bands and confirmed on full sets; so do rows of one id,
+    whatever their texts. Empty sets (null, empty and blank texts) link with nothing else; rows with a null id link with nothing and have a null component.
+    Equal sets are one node of the graph, so copies cost nothing. Long texts are shingled whole. Ties go to the smaller hash; the result hangs on no order. An
+    empty table gives no rows. Columns other than the two named are not read.
 
-    A bucket of many sets is not expanded into pairs: its sets meet a few leaders (one by hash for each early band, then the member with the
-    most links), and only those that no leader joins to the rest meet all others, in blocks of bounded size.
+    A bucket of many sets is not expanded into pairs. In each round, its sets outside its largest class meet one leader of that class; each set tries the leader
+    with which it shares most buckets. Rounds go on while they join a tenth of those tried and much is left. What is then still outside meets all others, in blocks
+    of bounded size that hold signatures alone; full sets travel where likely pairs are only.
     """
     rows = written(signatures(docs, s, id_col, text_col), "minhash-rows")
-    nodes = written(
-        rows.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("one"), F.min("n").alias("n"), F.min("bands").alias("bands")), "minhash-nodes"
-    )
-    each = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    often = each.groupBy("band", "key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("fp", "key").alias("h"), F.col("fp").alias("fp")))["fp"].alias("leader")).where("size > 1")
-    buckets = written(each.join(often, ["band", "key"]), "minhash-buckets")
-    wanted = written(nodes.join(buckets.select("fp").distinct(), "fp").select("fp", "one", "n", "bands"), "minhash-wanted")
+    nodes = rows.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("one"), F.min("n").alias("n"), F.min("sig").alias("sig")).withColumn("v", F.xxhash64("fp"))
+    nodes = written(nodes, "minhash-nodes")
+    each = nodes.select("v", F.explode(F.array(*_keys(s))).alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = written(each.join(often, "key"), "minhash-buckets")
+    wanted = written(nodes.join(buckets.select("v").distinct(), "v"), "minhash-wanted")
     sets = written(_sets(docs, wanted, s, id_col, text_col), "minhash-sets")
 
-    def against(leaders: DataFrame) -> DataFrame:
-        """Distinct pairs of bucket rows (fp, leader) whose sizes allow a link."""
-        sized = leaders.where("fp != leader").select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-        n = wanted.select(F.col("fp"), F.col("n"))
-        sized = sized.join(n.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
-
-    first = written(_verified(against(buckets.where(F.col("band") < s.early)), sets, s), "minhash-first")
-    links = first.where("linked").select("a", "b")
-    comps = written(components(links), "minhash-comps")
-
-    def classed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-        out = buckets.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left")
-        return out.withColumn("comp", F.coalesce("comp", "fp"))
-
-    # the member with the most links leads next; only buckets of several classes go on
-    ends = links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp")))
-    degree = ends.groupBy("fp").agg(F.count("*").alias("links"))
-    known = classed(buckets.drop("leader"), comps).join(degree, "fp", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    split = known.groupBy("band", "key").agg(
-        F.max(F.struct("links", "fp", "comp")).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    ).where("lo != hi").select("band", "key", F.col("top.fp").alias("leader"), F.col("top.comp").alias("main"))
-    second = written(_verified(against(known.join(split, ["band", "key"]).where("comp != main")), sets, s), "minhash-second")
-    links = links.unionByName(second.where("linked").select("a", "b"))
-    comps = written(components(links), "minhash-comps")
+    # rows of one id with several sets
+    twice = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k"), F.min("fp").alias("a"), F.max("fp").alias("z")).where("k > 1")
+    twice = written(twice.select("id", "a", "z"), "minhash-twice")
+    of_one = rows.join(twice.where("a != z"), "id").where("fp != a").select("a", F.col("fp").alias("b"))
+    links = written(of_one.distinct(), "minhash-links")
+    known, turn = written(_classed(buckets, wanted, None), "minhash-known"), 0
+    while True:
+        pairs = known.join(_mains(known, turn), "key").where("comp != main and v != u").groupBy("v", "u").agg(F.count("*").alias("c"))
+        likely = written(_likely(pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")), wanted, s), "minhash-likely")
+        found = written(_verified(likely, sets, s).where("linked").select("a", "b"), "minhash-found")
+        tables = [known, likely, found, links]
+        links = written(links.unionByName(found), "minhash-links")
+        comps = components(links)
+        known = written(_classed(buckets, wanted, comps), "minhash-known")
+        joined, asked, turn = found.count(), likely.count(), turn + 1
+        discard(*tables, comps)
+        rows_left, meets = _mains(known, turn).agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
+        if not rows_left or meets <= s.meets * rows_left or 10 * joined < asked:
+            break
 
     # what no leader has joined to the rest of its bucket meets all of it
-    known = classed(buckets.drop("leader"), comps)
-    main = known.groupBy("band", "key", "comp").agg(F.count("*").alias("k")).groupBy("band", "key").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.sum("k").alias("size"), F.max("k").alias("most"))
-    open_ = known.drop("size").join(main.where("most < size and size > 2"), ["band", "key"]).join(wanted.select("fp", "bands"), "fp").join(sets.select("fp", F.col("short").alias("body")), "fp")
-    chunk = lambda n: F.ceil(n / F.lit(s.block)).cast("int")
-    outside = F.col("size") - F.col("most")
-    part = lambda n, name: F.pmod(F.xxhash64("fp", F.lit(name)), chunk(n)).cast("int")
-    base = ["band", "key", "fp", "n", "comp", "bands", "body"]
-    members = open_.select(*base, F.lit(0).alias("side"), part(F.col("size"), "m").alias("i"), F.explode(F.sequence(F.lit(0), chunk(outside) - 1)).alias("j"))
-    outsiders = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), chunk(F.col("size")) - 1)).alias("i"), part(outside, "o").alias("j"))
-    rest = _rest_links(members, outsiders, sets, s)
-    comps = written(components(links.unionByName(rest)), "minhash-comps")
-
-    labelled = nodes.select("fp", "one").join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    open_ = known.join(_mains(known, turn).select("key", "main", "size", "most"), "key").join(wanted.select("v", "fp", "n", "sig"), ["v", "fp"])
+    rest = _rest_links(open_, wanted, sets, s)
+    final = components(links.unionByName(rest))
+    discard(buckets, wanted, sets, known, links, rest)
+
+    labelled = nodes.select("fp", "one").join(final.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     least = labelled.groupBy("comp").agg(F.min("one").alias("component"))
     labelled = labelled.join(least, "comp").select("fp", "component")
-    # rows of one id share what any of them reaches
-    return rows.join(labelled, "fp", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    # rows without words share what other rows of their id reach
+    by_id = twice.where("a is not null").select("id", F.col("a").alias("fp")).join(labelled, "fp").select("id", F.col("component").alias("other"))
+    return rows.join(labelled, "fp", "left").join(by_id, "id", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "other", "id")).alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, s: Settings = FIVE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that link to a smaller id; rows with a null id or without words stay, and so does each row of a kept id."""
-    gone = near_groups(docs, s, id_col, text_col).where("component < id").select(F.col("id").alias("kd_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["kd_gone"], "left_anti")
+    """docs without those that link to a smaller id; rows with a null id or without words stay, and so does each row of a kept id. Other columns pass through."""
+    name = fresh("kd_gone", docs)
+    gone = near_groups(docs, s, id_col, text_col).where("component < id").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op1_minhash(docs: DataFrame) -> DataFrame:
+    """The contract's digest of `near_groups`, which states nulls, empty and long texts, ties, repeated ids, empty tables and other columns. A null id is its own and kept."""
     return near_groups(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 OP1_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS words FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')) END) AS sh FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 85 * (x.n + y.n - k)),
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT DISTINCT row, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i+2], ' ')) END) AS sh FROM w),
+n AS (SELECT row, count(*) AS n FROM s GROUP BY row),
+p AS (SELECT a.row AS a, b.row AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.row < b.row GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.row JOIN n y ON b = y.row WHERE 100 * k >= 85 * (x.n + y.n - k) UNION ALL SELECT a.row, b.row FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.row < b.row),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-r AS (SELECT doc_id AS node, doc_id AS spot FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.spot = e.a),
-c AS (SELECT node, min(spot) AS c FROM r GROUP BY node)
-SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, w.doc_id = c.c AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id
+r AS (SELECT row AS node, row AS spot FROM w UNION SELECT r.node, e.b FROM r JOIN e ON r.spot = e.a),
+c AS (SELECT node, min(w.doc_id) AS c FROM r JOIN w ON w.row = r.spot GROUP BY node)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, w.doc_id = c.c AS kept FROM w LEFT JOIN n USING (row) JOIN c ON c.node = w.row
 """

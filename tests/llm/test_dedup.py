@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -66,19 +67,53 @@ def test_near_groups_of_odd_rows(spark, odd_docs):
     assert minhash.near_groups(odd_docs.limit(0)).count() == 0 and minhash.drop_near_copies(odd_docs).columns == odd_docs.columns
 
 
-def test_rest_survives_chance_matches_of_half_hashes(spark):
-    """A member just below the threshold is lifted over it by a hash equal in its upper half only; the next member of its class is a true link, that of another class is not."""
-    high = (np.arange(1, 201, dtype=np.uint64) << np.uint64(32)) + np.uint64(7)
-    own = high[:100]
-    low = np.sort(np.concatenate([own[:91], own[91:92] + np.uint64(1), high[100:108]]))  # 91 of 109 in full, 92 of 108 in halves
-    true, far = np.sort(np.concatenate([own[:95], high[110:115]])), np.sort(np.concatenate([own[:91], own[91:92] + np.uint64(1), high[120:128]]))
-    rows = [(n, x.tobytes(), (x >> np.uint64(32)).astype(np.uint32).tobytes(), len(x), c) for n, x, c in ((b"x", own, b"c0"), (b"a", low, b"c1"), (b"b", true, b"c1"), (b"f", far, b"c2"))]
-    sets = spark.createDataFrame([r[:2] for r in rows], "fp binary, body binary")
-    cells = lambda rows, side: spark.createDataFrame([(0, 5, n, size, c, [5], short, side, 0, 0) for n, _, short, size, c in rows], "band int, key long, fp binary, n long, comp binary, bands array<long>, body binary, side int, i int, j int").coalesce(1)
-    got = minhash._rest_links(cells(rows[1:], 0), cells(rows[:1], 1), sets, minhash.Settings()).collect()
-    assert {(bytes(r.a), bytes(r.b)) for r in got} == {(b"x", b"b")}
-    likely = minhash._rest(cells(rows[1:], 0).unionByName(cells(rows[:1], 1)), minhash.Settings()).collect()
-    assert (b"x", b"a") in {(bytes(r.a), bytes(r.b)) for r in likely}  # what one try alone would confirm in vain
+def near_border(count, n, edits, seed):
+    """Texts of n words that differ from one another in a few places each, so similarities lie around the threshold."""
+    r, base = random.Random(seed), prose(seed, n).split()
+    out = []
+    for _ in range(count):
+        words = list(base)
+        for _ in range(r.randrange(edits)):
+            words[r.randrange(n)] = f"e{r.randrange(10**6)}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_what_leaders_leave_open_meets_all_others(spark):
+    """One leader round, then small blocks and tiles; and rounds as long as they join anything."""
+    docs = dict(enumerate([*near_border(60, 150, 9, 21), *near_border(40, 80, 5, 22), prose(23, 50)]))
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    want = brute_components(docs)
+    assert 1 < sum(want[i] == i for i in docs) < 60
+    for s in (minhash.Settings(block=4, meets=1000), minhash.Settings(tile=3000, meets=0)):
+        assert {r.id: r.component for r in minhash.near_groups(df, s).collect()} == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Each text of an id carries on what the other links to; the docstring's rule."""
+    a, b = prose(31, 60), prose(32, 60)
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, ""), (9, None), (11, None), (11, b), (None, prose(33, 60))]
+    got = sorted(((r.id, r.n, r.component) for r in minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(3, 58, 3), (5, 58, 3), (5, 58, 3), (7, 58, 3), (9, 0, 9), (9, 0, 9), (11, 0, 3), (11, 58, 3), (None, 58, None)], key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows[:-1])
+    assert sorted(con.execute(f"SELECT doc_id, n_shingles, component_id FROM ({minhash.OP1_SQL})").fetchall(), key=str) == [g for g in got if g[0] is not None]
+
+
+def test_ids_may_be_strings(spark):
+    docs = {f"d{i}": t for i, t in near_copies().items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id string, text string").repartition(3)
+    assert {r.id: r.component for r in minhash.near_groups(df).collect()} == brute_components(docs)
+
+
+def test_components_of_a_hub(spark):
+    """A node of more edges than `hub_edges` hands out its label by broadcast; the others join."""
+    r = random.Random(3)
+    edges = [("m", f"{i:03}") for i in range(300)] + [(f"x{r.randrange(40)}", f"x{r.randrange(40)}") for _ in range(30)]
+    want = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(edges, "a string, b string"), hub_edges=5).collect()}
+    assert got == want and got["m"] == "000" and len({got[f"{i:03}"] for i in range(300)}) == 1
 
 
 def test_signatures_estimate_and_end_early():
