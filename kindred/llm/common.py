@@ -11,6 +11,7 @@ import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -105,6 +106,16 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = BATCH_CHARS) -> Iter
         yield start, out
 
 
+def byte_slices(column: pa.StringArray, size: int) -> Iterator[tuple[int, pa.StringArray]]:
+    """(first row, rows) of consecutive rows of a column of strings, of about `size` bytes at most or a single row."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + size, "right")) - 1)
+        yield at, column.slice(at, to - at)
+        at = to
+
+
 def chunks(items: list, n: int) -> Iterable[list]:
     return (items[i : i + n] for i in range(0, len(items), n))
 

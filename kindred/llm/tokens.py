@@ -6,6 +6,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,14 +16,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import chunks, shared_dir, slices, written
+from kindred.llm.common import byte_slices, chunks, discard, mapped, shared_dir, written
 
 MAGIC = b"KDHF"
 HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a checkpoint, tokens, crc32 of the code lengths, bits
-#: Words after which a worker's memory grows old; it remembers the old ones until the next time.
-MEMORY = 200_000
-#: A word without other white space; letters and the marks after them are parted, as the splitter always does.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!%&#$*|;:?]+)| ?\S+")
+#: Pieces, and bytes of them and their ids, that a worker remembers at most; beyond it, it starts anew. Longer pieces than LONG bytes are not remembered.
+MEMORY, MEMORY_BYTES, LONG = 400_000, 40_000_000, 256
+#: Bytes of text cut in one step, about, or one text.
+STEP = 4_000_000
+
+# Classes of bytes: letters, digits, marks and the apostrophe of ASCII; space; other white space of ASCII; what a splitter may see in another way; bytes of other characters.
+_LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK, _ODD, _OTHER = range(1, 9)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[:33], _CLASS[127] = _ODD, _ODD
+_CLASS[33:127] = [_LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _MARK for c in range(33, 127)]
+_CLASS[ord("'")], _CLASS[32], _CLASS[9:14] = _QUOTE, _SPACE, _BREAK
+_IS_SPACE = np.isin(np.arange(9), (_SPACE, _BREAK))
+_MAY_BE_SPACE = _IS_SPACE | (np.arange(9) == _ODD)
+_KIND = np.array([0, 1, 2, 3, 3, 0, 0, 0, 0], np.uint8)
+#: White space beyond ASCII, in UTF-8.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def cuts(data: np.ndarray, starts: np.ndarray, whole: re.Pattern | None = None) -> np.ndarray:
+    """Places in UTF-8 bytes, in order, where a byte-level splitter always ends a match: each text's start, changes between ASCII letters, digits and marks (but
+    not from an apostrophe to a letter), and, in white space, before a run, before its last character, and after that unless it is a space, which goes with what follows.
+    What `whole` matches stays whole, and so does white space before it."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    c = np.empty(n + 1, np.uint8)
+    c[:n], c[n] = _CLASS[data], _ODD
+    for odd in (_WIDE_SPACE, whole) if whole else (_WIDE_SPACE,):
+        for m in odd.finditer(data):
+            c[m.start() : m.end()] = _ODD
+    first = np.zeros(n + 1, bool)
+    first[starts] = True
+    first[n] = True
+    kind, space, maybe = _KIND[c], _IS_SPACE[c], _MAY_BE_SPACE[c]
+    before, now = c[: n - 1], c[1:n]
+    cut = (kind[: n - 1] != kind[1:n]) & (kind[: n - 1] > 0) & (kind[1:n] > 0) & ~((before == _QUOTE) & (now == _LETTER))
+    cut |= space[1:n] & (~maybe[: n - 1] | (~maybe[2:] & ~first[2:]))
+    cut |= (before == _BREAK) & ~maybe[1:n]
+    first[1:n] |= cut
+    first[0] = True
+    return np.flatnonzero(first[:n])
 
 
 @dataclass(frozen=True)
@@ -44,8 +82,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
-    Its splitter cuts before every single space and around every single line break between other characters, so texts with no other white space are
-    cut there, the library encodes each distinct piece, and ids are put together; texts with other white space go to the library whole.
+    Texts are cut where the library's splitter always cuts, equal pieces are found by Arrow's dictionary encoding, the library encodes each piece that is new, and
+    ids are gathered. Texts are cut a step at a time, and what is remembered is bounded in pieces and bytes.
     """
 
     def __init__(self, path: str):
@@ -53,44 +91,85 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-
+        added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self.line_break = self._encoded(["\n"])[0]
         self.forget()
 
     def forget(self) -> None:
-        self.young: dict[str, bytes] = {"\n": self.line_break}
-        self.old: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words in runs with line breaks between them, which costs the library less than one call a word; a line break's id parts them again."""
-        width, mark = self.kind.itemsize, np.frombuffer(self.line_break, self.kind)
-        assert len(mark) == 1
-        runs = list(chunks(words, 200))
-        for run, raw in zip(runs, self._encoded(["\n".join(r) for r in runs]), strict=True):
-            cut = np.flatnonzero(np.frombuffer(raw, self.kind) == mark[0])
-            first, last = np.append(0, cut + 1) * width, np.append(cut, len(raw) // width) * width
-            self.young.update(zip(run, [raw[i:j] for i, j in zip(first.tolist(), last.tolist(), strict=True)], strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if not t or "\0" in t else t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") for t in texts]
-        if len(self.young) > MEMORY:
-            self.young, self.old = {"\n": self.line_break}, self.young
-        young, old = self.young, self.old
-        fresh = set().union(*(own for own in split if own)) - young.keys()
-        young.update((w, old[w]) for w in fresh & old.keys())
-        matches = [(w, _WORD.fullmatch(w)) for w in fresh - old.keys()]
-        if odd := {w for w, m in matches if not m}:  # of texts with other white space, which may not be cut there
-            split = [own if own and odd.isdisjoint(own) else None for own in split]
-        pairs = [(w, m[1], m[2]) for w, m in matches if m and m[2]]
-        need = {w for w, m in matches if m and not m[2]} | {x for _, *parts in pairs for x in parts}
-        young.update((w, old[w]) for w in need & old.keys())
-        self.learn(list(need - young.keys()))
-        young.update([(w, young[a] + young[b]) for w, a, b in pairs])
-        get = young.__getitem__
-        return [b"".join(map(get, own)) if own else (self._encoded([t])[0] if t else b"") for t, own in zip(texts, split, strict=True)]
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
+        self.first, self.size, self.ids = array("q"), array("q"), array("H" if self.kind.itemsize == 2 else "I")  # by number of a piece: its ids' place and count; ids
+
+    def _encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        end = np.cumsum(size) + len(self.ids)
+        number = range(len(self.first), len(self.first) + len(pieces))
+        self.first.frombytes((end - size).tobytes())
+        self.size.frombytes(size.tobytes())
+        self.ids.frombytes(ids.astype(self.kind).tobytes())
+        self.known.update(zip(pieces, number, strict=True))
+        self.bytes += sum(map(len, pieces)) + 2 * ids.nbytes
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces: those of one word in runs with line breaks between them, which costs the library less than one call a word."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        start = np.cumsum(size) - size
+        blank = _MAY_BE_SPACE[_CLASS[data]]
+        blank[start[data[start] == 32]] = False
+        for odd in (_WIDE_SPACE, self.added) if self.added else (_WIDE_SPACE,):
+            for m in odd.finditer(data):
+                blank[m.start() : m.end()] = True
+        plain = (np.add.reduceat(blank, start, dtype=np.int64) == 0) & (size > (data[start] == 32)) & (size < 64)
+        rest = [pieces[k] for k in np.flatnonzero(~plain)]
+        runs = list(chunks([pieces[k] for k in np.flatnonzero(plain)], 256))
+        for run, ids in zip(runs, self._encoded([b"\n".join(run).decode() for run in runs]), strict=True):
+            found = np.array(ids, np.int64)
+            cut = np.flatnonzero(found == self.line_break[0])
+            if len(self.line_break) == 1 and len(cut) == len(run) - 1:
+                self._keep(run, np.delete(found, cut), np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
+            else:
+                rest += run
+        for group in chunks(rest, 256):
+            ids = self._encoded([p.decode() for p in group])
+            self._keep(group, np.array([i for own in ids for i in own], np.int64), np.array([len(own) for own in ids], np.int64))
+
+    def numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces, which are learnt first if they are new."""
+        get = self.known.get
+        number = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            self._learn(own := [pieces[k] for k in fresh])
+            number[fresh] = [self.known[p] for p in own]
+            for p in own:
+                if len(p) > LONG:
+                    del self.known[p]
+        return number
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); a null text has none."""
+        if len(self.known) > MEMORY or self.bytes > MEMORY_BYTES:
+            self.forget()
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        body = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+        ends -= ends[0]
+        if not len(body):
+            return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
+        cut = cuts(body, ends[:-1], self.added)
+        places = np.append(cut, len(body)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(places), pa.py_buffer(body)]).dictionary_encode()
+        number = self.numbers(pieces.dictionary.to_pylist())
+        first, size, ids = np.frombuffer(self.first, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.ids, self.kind)
+        which = pieces.indices.to_numpy()
+        size, first = size[number].astype(np.int32)[which], first[number].astype(np.int32)[which]
+        end = np.cumsum(size, dtype=np.int32)
+        out = ids[np.repeat(first - (end - size), size) + np.arange(int(end[-1]), dtype=np.int32)]
+        return out, np.concatenate([[0], end])[np.searchsorted(cut, ends[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -115,27 +194,28 @@ def token_blocks(docs: DataFrame, tokenizer: str, s: Settings, id_col: str, text
         def block() -> pa.RecordBatch:
             sizes = [len(x) // width for x in bodies]
             one = [[part], [number], [start], [count]]
-            values = np.frombuffer(b"".join(bodies), encoder.kind).astype("<u4") if width != 4 else np.frombuffer(b"".join(bodies), "<u4")
-            raw = values.astype("<u2").tobytes() if width == 2 else values.tobytes()
-            arrays = [*(pa.array(x, pa.int64()) for x in one), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([raw], pa.binary()), pa.array([width], pa.int32())]
+            arrays = [*(pa.array(x, pa.int64()) for x in one), pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(bodies)], pa.binary()), pa.array([width], pa.int32())]
             return pa.RecordBatch.from_arrays(arrays, ["part", "block", "start", "n", "doc_ids", "sizes", "ids", "width"])
 
         for b in batches:
             kind = b.column(0).type
-            for first, texts in slices(b, 1, 2_000_000):
-                for k, body in enumerate(encoder.encode(texts)):
-                    ids.append(b.column(0)[first + k].as_py())
-                    bodies.append(body + end)
+            names = b.column(0).to_pylist()
+            for first, rows in byte_slices(b.column(1), STEP):
+                found, ends = encoder.encode(rows)
+                at = 0
+                for k, to in enumerate(ends.tolist()):
+                    ids.append(names[first + k])
+                    bodies.append(found[at:to].tobytes() + end)
+                    at = to
                     count += len(bodies[-1]) // width
                     if count >= s.block:
                         yield block()
                         start, number, count, ids, bodies = start + count, number + 1, 0, [], []
         if bodies:
             yield block()
-        encoder.forget()  # workers live on; what they remember would stand in later stages' way
 
     kind = dict(docs.dtypes)[id_col]
-    return ordered.mapInArrow(run, f"part long, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, ids binary, width int")
+    return mapped(ordered, run, f"part long, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, ids binary, width int")
 
 
 def raw_ids(body: bytes, width: int) -> np.ndarray:
@@ -156,7 +236,7 @@ def counts(blocks: DataFrame) -> dict[int, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    rows = blocks.select("ids", "width").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = mapped(blocks.select("ids", "width"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     return dict(zip(rows["id"].tolist(), rows["n"].tolist(), strict=True))
 
 
@@ -282,7 +362,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, s: Settings
     """Encodes docs and writes `path`/blocks (part, block, start, n, doc_ids, sizes, body: a packed block) and `path`/codebook (lengths).
 
     Parquet holds the blocks, so Spark commits and reads them on any store; `start` counts ids of all documents before.
-    A null text is an empty one; each document ends with s.end_id.
+    A null text is an empty one; each document ends with s.end_id. Documents stand in order of id, null ids first, equal ids in order of their texts' hash; rows that
+    repeat are written as often. A text longer than a block is a block. An empty table gives no blocks. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     blocks = written(token_blocks(docs, tokenizer or default_tokenizer(), s, id_col, text_col), "tokens")
@@ -306,8 +387,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, s: Settings
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    blocks.mapInArrow(run, f"part long, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    mapped(blocks, run, f"part long, block long, start long, n long, doc_ids array<{kind}>, sizes array<long>, body binary").write.option("compression", "none").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
+    discard(blocks)
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -332,10 +414,11 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([rows.column("doc_ids")[i].values, pa.array(first), pa.array(sizes), pa.array(tail, kind)], ["doc_id", "start", "n_tokens", last.split()[0]])
 
     id_kind = dict(blocks.dtypes)["doc_ids"][len("array<") : -1]
-    return blocks.select("start", "doc_ids", "sizes", "body").mapInArrow(run, f"doc_id {id_kind}, start long, n_tokens long, {last}")
+    return mapped(blocks.select("start", "doc_ids", "sizes", "body"), run, f"doc_id {id_kind}, start long, n_tokens long, {last}")
 
 
 def op2_token_ids(docs: DataFrame) -> DataFrame:
+    """The contract's digest of the files that `write`, which states all odd cases, makes of docs."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/kindred/token-files-{uuid.uuid4().hex}"
     write(docs, path)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kindred.llm import html, licenses, pieces, quality, tokens, toxicity
@@ -18,11 +19,20 @@ ODD = ["", " ", " a", "a  b", "a \nb\n\nc", "x\ty z", "it's 12 a", "é b,,. c!d"
 # ---- token files
 
 
+def encoded(e, texts):
+    ids, ends = e.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+
+
 def test_encoder_equals_the_library():
     e = tokens.Encoder(tokens.default_tokenizer())
-    texts = [*ODD, *(prose(i, 80) for i in range(5))] * 2
-    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)] == want and e.encode([None]) == [b""]
+    r = random.Random(3)
+    parts = ["a", " ", "  ", "\n", "\t", "\u00a0", "\u2028", "\u3000", "\x1c", "\x85", "'s", "'", "x", "12", ",", ".", "!'", "é", "…", "日", "<|endoftext|>", "<|", "\r\n", "THE"]
+    texts = [*ODD, *("".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(3000)), *(prose(i, 80) for i in range(5)), "x" * 5000, None]
+    want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encoded(e, texts) == want and encoded(e, texts[::-1]) == want[::-1]
+    assert e.encode(pa.array(texts).slice(5, 20))[0].tolist() == [i for ids in want[5:25] for i in ids]
+    assert encoded(e, [None, ""]) == [[], []] and max(map(len, e.known)) <= tokens.LONG
 
 
 @pytest.mark.parametrize("longest", [4, 7, 20])
