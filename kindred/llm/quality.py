@@ -125,6 +125,9 @@ class Crf:
     first: np.ndarray
 
 
+EMPTY = Crf(np.zeros((N_FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
+
+
 def fit(runs: list[tuple[np.ndarray, np.ndarray]], s: Settings) -> Crf:
     """Maximum likelihood by Adam over all runs of (features, labels) at once; forward and backward sums are padded to the longest run."""
     size = np.array([len(y) for _, y in runs])
