@@ -203,6 +203,43 @@ def test_quality_query(spark, odd_docs):
     assert sum(r.kept == (r.quality == 1 and not r.base_failed) for r in held) >= 0.97 * len(held)
 
 
+def test_quality_labels_lines(spark):
+    """Lines of one text get both labels: those that many texts share stand apart from the text's own."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.judge(docs, quality.train(docs, labels)).join(labels, "doc_id").where(toxicity.held_out()).select("text", "kd_labels", "quality", "kd_kept", "kd_failed").collect()
+    assert sum(r.kd_kept == (r.quality == 1 and not r.kd_failed) for r in rows) >= 0.97 * len(rows)
+    often = {x for x, n in Counter(x for r in rows for x in set(r.text.split("\n"))).items() if n >= 20}
+    mixed = [r for r in rows if r.quality == 1 and 0 < sum(x in often for x in r.text.split("\n")) < r.text.count("\n") // 2]
+    assert len(mixed) > 20 and sum(set(r.kd_labels) == {"0", "1"} for r in mixed) >= 0.8 * len(mixed)
+
+
+def test_fit_follows_the_gradient_of_the_likelihood():
+    r = np.random.default_rng(2)
+    xs = [r.integers(0, 2, (n, quality.N_FEATURES)) for n in (1, 2, 4, 4)]
+    ys = [r.integers(0, 2, len(x)) for x in xs]
+    theta = [r.normal(size=(quality.N_FEATURES, 2)), r.normal(size=(2, 2)), r.normal(size=2)]
+
+    def plain(theta):
+        emit, step, first = theta
+        cost = lambda x, p: first[p[0]] + sum(x[i] @ emit[:, s] for i, s in enumerate(p)) + sum(step[a, b] for a, b in zip(p, p[1:], strict=False))
+        every = lambda n: ([k >> i & 1 for i in range(n)] for k in range(1 << n))
+        return sum(cost(x, y.tolist()) - np.log(sum(np.exp(cost(x, p)) for p in every(len(y)))) for x, y in zip(xs, ys, strict=True))
+
+    value, grads = quality.gradient(quality._batches(xs, 6), ys, theta)
+    assert value == pytest.approx(plain(theta))
+    for i, at in ((0, (3, 1)), (0, (7, 0)), (1, (0, 1)), (2, (1,))):
+        moved = [t.copy() for t in theta]
+        moved[i][at] += 1e-5
+        assert (plain(moved) - value) / 1e-5 == pytest.approx(-grads[i][at], abs=1e-3)
+
+
+def test_string_ids(spark):
+    rows = [(f"d{i}", prose(i, 60) if i % 2 else "A | B | C | D !!! " * 30, "x") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, kd_score string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 1 - i % 2) for i in range(12)], "doc_id string, quality int, toxic int")
+    assert quality.op4_quality(docs, labels).count() == 12 and toxicity.op6_toxicity(docs, labels).count() == 12
+
+
 # ---- licenses
 
 
