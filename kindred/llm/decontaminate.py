@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from kindred.llm.common import extended, slices
+from kindred.llm.common import extended, fresh, mapped, slices
 
 _BASE = 0x9E3779B97F4A7C15
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -107,6 +107,15 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
+def reach(doc: np.ndarray, item: np.ndarray, k: int) -> int:
+    """Words of the item in runs of k words that the document holds too: tiles of k words or more cover no others."""
+    held = np.isin(rolling(item, k), rolling(doc, k))
+    covered = np.zeros(len(item), bool)
+    for j in range(k):
+        covered[j : len(item) - k + 1 + j] |= held
+    return int(covered.sum())
+
+
 def blocks(benchmark: DataFrame, s: Settings, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """The benchmark's (item, text) rows in blocks of bounded size, streamed to the driver a partition at a time."""
     block, size = [], 0
@@ -120,14 +129,29 @@ def blocks(benchmark: DataFrame, s: Settings, item_col: str, text_col: str) -> I
         yield block
 
 
-def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(row's id, item, covered, words, spans) of document and item pairs that share a tile."""
+def rare_seeds(seeds: list[np.ndarray], words: list[int], k: int, percent: int) -> list[np.ndarray]:
+    """Of each item's seeds (hashes of its runs of k words) those that must meet: a document that covers `percent` percent of the words holds so many
+    seeds that it misses at most those left over, so all but the most frequent of them, one fewer than it must hold, suffice."""
+    names, where, often = np.unique(np.concatenate(seeds), return_inverse=True, return_counts=True)
+    out, at = [], 0
+    for own, n in zip(seeds, words, strict=True):
+        count = often[where[at : at + len(own)]]
+        at += len(own)
+        must = -(-(-(-percent * n // 100)) // k)
+        out.append(own[np.argsort(count, kind="stable")][: max(1, len(own) - max(0, must - 1))])
+    return out
+
+
+def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(row's id, item, covered, words, spans) of document and item pairs that share a tile; with `percent`, only pairs that may reach it are tiled, and others may be missing."""
     hashes, counts = words_of([t for _, t in block])
     items = [(name, x) for (name, _), x in zip(block, np.split(hashes, np.cumsum(counts)[:-1]), strict=True) if len(x)]
     # seeds: all runs of s.seed words of an item; of an item of fewer words, all of it, by its length
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for k in sorted({min(s.seed, len(x)) for _, x in items}):
         own = [(j, rolling(x, k)) for j, (_, x) in enumerate(items) if min(s.seed, len(x)) == k]
+        if percent:
+            own = list(zip([j for j, _ in own], rare_seeds([r for _, r in own], [len(items[j][1]) for j, _ in own], k, percent), strict=True))
         keys, who = np.concatenate([r for _, r in own]), np.concatenate([np.full(len(r), j) for j, r in own])
         order = np.argsort(keys, kind="stable")
         by_length[k] = keys[order], who[order]
@@ -161,8 +185,10 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
                         meet.update((x, int(j)) for j in who[a:z])
                 out: list[tuple] = []
                 for x, j in sorted(meet):
-                    name, item = items[j]
-                    found = tiles(h[ends[x] - counts[x] : ends[x]], item, min(s.tile, len(item)))
+                    (name, item), doc = items[j], h[ends[x] - counts[x] : ends[x]]
+                    if percent and 100 * reach(doc, item, min(s.seed, len(item))) < percent * len(item):
+                        continue
+                    found = tiles(doc, item, min(s.tile, len(item)))
                     covered = sum(t[2] for t in found)
                     if covered:
                         out.append((ids[start + x].as_py(), name, covered, len(item), [{"doc": d, "item": i, "length": n} for d, i, n in found]))
@@ -173,18 +199,20 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
                         [pa.array(c[0], ids.type), pa.array(c[1], item_type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], spans)], ["id", "item", "covered", "words", "spans"]
                     )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)
 
 
-def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 0) -> DataFrame:
     """(id, item, covered, words, spans) for each document and item with a common tile: words of the item that tiles cover, and the tiles.
 
-    Documents are read once a block of items; nothing is shuffled. Null texts and texts without words match nothing; so do items without words. Items with a null id match by their texts like others, and stand under a null item.
+    Documents are read once a block of items; nothing is shuffled. Null texts and texts without words match nothing; so do items without words. Items with a null id match by their texts like others, and stand under a null item. Long texts are tiled whole; ties go to
+    the first place; rows and items that repeat give a row each; empty tables give none. Columns other than those named are not read. With `percent`, pairs that can't cover so
+    much of the item are left out early: by the item's rarer seeds, so that a phrase of many items brings few together, then by the words that common runs reach.
     """
     kind = dict(benchmark.dtypes)[item_col]
     out = None
     for block in blocks(benchmark, s, item_col, text_col):
-        found = _against(docs, block, kind, s, id_col, text_col)
+        found = _against(docs, block, kind, s, id_col, text_col, percent)
         out = found if out is None else out.unionByName(found)
     if out is None:
         empty = docs.sparkSession.createDataFrame([], extended(docs.select(F.col(id_col).alias("id")), f"item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>"))
@@ -194,15 +222,16 @@ def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(id, item, covered, words, items) of documents that hold s.percent percent of an item's words or more: the item of largest share, then of least id, and how many there are (those with a null id, which comes first, count as one)."""
-    found = tilings(docs, benchmark, s, id_col, text_col, item_col).where(100 * F.col("covered") >= s.percent * F.col("words"))
+    found = tilings(docs, benchmark, s, id_col, text_col, item_col, s.percent).where(100 * F.col("covered") >= s.percent * F.col("words"))
     best = F.min(F.struct((-F.col("covered") / F.col("words")).alias("o"), "item", "covered", "words"))
     return found.groupBy("id").agg(best.alias("b"), (F.countDistinct("item") + F.max(F.col("item").isNull().cast("long"))).alias("items")).select("id", "b.item", "b.covered", "b.words", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that `contaminated` names; all rows of such an id go; rows with a null id go only by their own text, which can't be told, so they stay."""
-    gone = contaminated(docs, benchmark, s, id_col, text_col).select(F.col("id").alias("kd_gone"))
-    return docs.join(gone, docs[id_col] == gone["kd_gone"], "left_anti")
+    name = fresh("kd_gone", docs)
+    gone = contaminated(docs, benchmark, s, id_col, text_col).select(F.col("id").alias(name))
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
 
 
 def op10_decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kindred.llm.common import fresh, without
+
 #: A line counts in windows if it has a word, a run of characters other than these.
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
@@ -38,21 +40,27 @@ def dedup_lines(docs: DataFrame, window: int = 3, id_col: str = "doc_id", text_c
     A window is `window` consecutive lines that have a word (lines without one are skipped and always stay). The first occurrence, by
     id (null first), then the text's hash, then line, stays; the lines of all others are merged and removed, even those that
     overlap the first one. Texts of fewer lines have no window and stay as they are. A null text stays null with no lines;
-    an empty text is one line. Rows that repeat a document (same id, same text) count once and get the same result. Other columns pass through.
+    an empty text is one line. Rows that repeat a document (same id, same text) count once and get the same result.
+    An empty table gives no rows. Columns of docs pass through, but those named kd_lines and kd_removed are replaced.
     """
-    covered = repeated_windows(docs, window, id_col, text_col).select(F.col("id").alias("kd_id"), F.col("mark").alias("kd_mark"), F.col("covered").alias("kd_covered"))
-    marked = docs.withColumn("kd_key", F.xxhash64(text_col))
-    both = marked.join(covered, F.col(id_col).eqNullSafe(F.col("kd_id")) & (F.col("kd_key") == F.col("kd_mark")), "left")
-    lines, n = _lines(F.col(text_col)), F.when(F.col(text_col).isNotNull(), F.size(_lines(F.col(text_col)))).otherwise(0)
-    stays = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "kd_covered"), lambda i: F.get(lines, i)), "\n")
+    docs = without(docs, "kd_lines long, kd_removed long")
+    key, of, mark, gone = (fresh(n, docs) for n in ("kd_key", "kd_id", "kd_mark", "kd_covered"))
+    covered = repeated_windows(docs, window, id_col, text_col).select(F.col("id").alias(of), F.col("mark").alias(mark), F.col("covered").alias(gone))
+    marked = docs.withColumn(key, F.xxhash64(text_col))
+    both = marked.join(covered, F.col(id_col).eqNullSafe(F.col(of)) & (F.col(key) == F.col(mark)), "left")
+    # the split text is bound once, as the element of a list; else each kept line would split it again
+    kept = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)), "\n")
+    stays = F.get(F.transform(F.array(_lines(F.col(text_col))), kept), F.lit(0))
+    n = F.when(F.col(text_col).isNotNull(), F.size(_lines(F.col(text_col)))).otherwise(0)
     return both.select(
-        *(F.when(F.col("kd_covered").isNull(), F.col(text_col)).otherwise(stays).alias(text_col) if c == text_col else F.col(c) for c in docs.columns),
+        *(F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(stays).alias(text_col) if c == text_col else F.col(c) for c in docs.columns),
         n.cast("long").alias("kd_lines"),
-        F.coalesce(F.size("kd_covered"), F.lit(0)).cast("long").alias("kd_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("kd_removed"),
     )
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, line counts and text of `dedup_lines`, which states all odd cases."""
     return dedup_lines(docs).select("doc_id", F.col("kd_lines").alias("n_lines"), F.col("kd_removed").alias("n_removed"), "text")
 
 

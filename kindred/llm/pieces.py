@@ -17,12 +17,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import extended, slices
+from kindred.llm.common import extended, fresh, mapped, slices, without
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
-#: Words that a worker remembers at most; beyond it, it starts anew.
-MEMORY = 400_000
+#: Words and characters of them that a worker remembers at most; beyond it, it starts anew.
+MEMORY, MEMORY_CHARS = 400_000, 16_000_000
 #: Longer words have their lattice built one by one; shorter ones can't leave the range of a double.
 LONG = 48
 GROWTH = 64.0
@@ -75,6 +75,7 @@ class Counter:
         self.single = {p for p in vocab.pieces if len(p) == 1}
         self.unk = min(vocab.scores) - UNK_PENALTY
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def words(self, words: list[str]) -> list[int]:
         """Piece counts of words, in one pass of the automaton over all of them."""
@@ -120,10 +121,11 @@ class Counter:
     def counts(self, texts: list[str | None]) -> list[int]:
         split = [self.parts(t) if t else ([], 0) for t in texts]
         need = {w for own, _ in split for w in own} - self.known.keys() - {""}
-        if len(self.known) + len(need) > 2 * MEMORY:
-            self.known = {}
+        if len(self.known) + len(need) > 2 * MEMORY or self.chars > MEMORY_CHARS:
+            self.known, self.chars = {}, 0
             need = {w for own, _ in split for w in own} - {""}
         order = list(need)
+        self.chars += sum(map(len, order))
         self.known.update(zip(order, self.words(order) if order else [], strict=True))
         self.known[""] = 0
         get = self.known.__getitem__
@@ -134,8 +136,13 @@ _counters: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with kd_tokens, the pieces of each text; null and empty texts have none. model: a SentencePiece file that workers can open."""
+    """docs with kd_tokens, the pieces of each text; null and empty texts have none. model: a SentencePiece file that workers can open.
+
+    Long texts are counted whole, a word without spaces in one pass. Among equal sums the longest last piece wins. Rows that repeat get the same count, an empty table gives none. Columns
+    of docs pass through, but one named kd_tokens is replaced.
+    """
     model = model or default_model()
+    docs = without(docs, "kd_tokens long")
     column, own = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +153,11 @@ def count_tokens(docs: DataFrame, model: str | None = None, text_col: str = "tex
                 out += counter.counts(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*own, "kd_tokens"])
 
-    return docs.mapInArrow(run, extended(docs, "kd_tokens long"))
+    return mapped(docs, run, extended(docs, "kd_tokens long"))
 
 
 def op8_token_counts(docs: DataFrame) -> DataFrame:
+    """doc_id and n_tokens, the count of `count_tokens`, which states all odd cases."""
     return count_tokens(docs.select("doc_id", "text")).select("doc_id", F.col("kd_tokens").alias("n_tokens"))
 
 
@@ -295,7 +303,7 @@ class Sampler:
         """Ids of one sampled segmentation of each text."""
         split = [self.parts(t) if t else [] for t in texts]
         need = {w for own in split for w in own} - self.known.keys()
-        if len(self.known) + len(need) > 3 * MEMORY // 4:
+        if len(self.known) + len(need) > 3 * MEMORY // 4 or self.nodes > MEMORY_CHARS // 8:
             self.forget()
             need = {w for own in split for w in own}
         long = {w for w in need if len(w) > LONG}
@@ -363,23 +371,26 @@ _samplers: dict[tuple[str, float], Sampler] = {}
 def encode(docs: DataFrame, model: str | None = None, seed: int = 1, power: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with kd_ids, a segmentation of each text sampled with the row's key and `seed`; a null text has null ids, an empty one none.
 
-    Rows of equal key and text get equal ids. A higher power keeps closer to frequent pieces.
+    Rows of equal key and text get equal ids, and so do null keys. A higher power keeps closer to frequent pieces. Long texts are encoded whole; memory grows with a step's text and the
+    longest run without spaces. An empty table gives no rows. Columns of docs pass through, but one named kd_ids is replaced.
     """
     model = model or default_model()
-    keyed = docs.withColumn("kd_key", F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
+    docs = without(docs, "kd_ids array<int>")
+    key = fresh("kd_key", docs)
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)))
     column, own = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = _samplers.get((model, power)) or _samplers.setdefault((model, power), Sampler(vocabulary(model), power))
         for b in batches:
             for start, part in slices(b, column, 1_500_000):
-                ids = sampler.encode(part, b.column("kd_key").slice(start, len(part)).to_pylist())
+                ids = sampler.encode(part, b.column(key).slice(start, len(part)).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)), mask=pa.array([t is None for t in part]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(start, len(part)) for c in range(len(own))), values], [*own, "kd_ids"])
         sampler.forget()  # workers live on; what they remember would stand in later stages' way
 
-    return keyed.mapInArrow(run, extended(docs, "kd_ids array<int>"))
+    return mapped(keyed, run, extended(docs, "kd_ids array<int>"))
 
 
 def _spell(spelt: list[bytes], ids: list[int]) -> str:
@@ -387,8 +398,9 @@ def _spell(spelt: list[bytes], ids: list[int]) -> str:
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "kd_ids") -> DataFrame:
-    """encoded with kd_text, the texts that the ids spell; null ids give null. Ids outside the vocabulary fail the task."""
+    """encoded with kd_text, the texts that the ids spell; null ids give null. Ids outside the vocabulary fail the task. A column named kd_text is replaced."""
     model = model or default_model()
+    encoded = without(encoded, "kd_text string")
     column, own = encoded.columns.index(ids_col), encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +411,7 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "kd_ids"
                 texts = [None if ids is None else _spell(spelt, ids) for ids in rows.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], [*own, "kd_text"])
 
-    return encoded.mapInArrow(run, extended(encoded, "kd_text string"))
+    return mapped(encoded, run, extended(encoded, "kd_text string"))
 
 
 def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "kd_ids", keep_ids: bool = False) -> DataFrame:
@@ -424,8 +436,9 @@ def digests(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(made + [b.column(2)] * keep_ids, [id_col, "n_tokens", "ids_crc32", "n_chars", "lossless"] + ["ids"] * keep_ids)
 
     kind = dict(encoded.dtypes)[id_col]
-    return encoded.select(id_col, text_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, n_chars long, lossless boolean" + ", ids array<int>" * keep_ids)
+    return mapped(encoded.select(id_col, text_col, ids_col), run, f"`{id_col}` {kind}, n_tokens long, ids_crc32 long, n_chars long, lossless boolean" + ", ids array<int>" * keep_ids)
 
 
 def op9_sentencepiece(docs: DataFrame) -> DataFrame:
+    """The `digests` of sampled segmentations of all texts; `encode` states all odd cases."""
     return digests(encode(docs.select("doc_id", "text")))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import extended, slices, written
+from kindred.llm.common import discard, extended, mapped, slices, without, written
 
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,8 +98,9 @@ def held_out(id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on a sample of at most s.max_rows labelled rows with crc32(id) mod 3 != 1; an id labelled both ways counts as toxic; null ids and labels are skipped.
 
-    One task sees the sample's distinct features (a bounded number of rows); weights come back sparse. Without labelled rows every score is 0.5.
+    One task sees the sample's distinct features (a bounded number of rows); weights come back sparse. Without labelled rows every score is 0.5. Ids may be of any type.
     """
+    kind = dict(docs.dtypes)[id_col]
     known = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(id_col))
     chosen = known.groupBy(F.col(id_col).alias("kd_id")).agg(F.max("toxic").cast("int").alias("kd_y")).orderBy(F.xxhash64("kd_id"), "kd_id").limit(s.max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).join(F.broadcast(chosen), F.col("id") == F.col("kd_id")).select("id", "kd_y", "body")
@@ -115,8 +116,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
         at, w, bias = fit(rows, s)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int64()), pa.array([bias, *w.tolist()], pa.float64())], ["at", "w"])
 
-    sample = written(texts.mapInArrow(hashed, "id long, y int, at binary"), "toxic-sample")
-    model = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "at").select("y", "at").mapInArrow(fitted, "at long, w double").toPandas()
+    sample = written(mapped(texts, hashed, f"id {kind}, y int, at binary"), "toxic-sample")
+    model = mapped(sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "at").select("y", "at"), fitted, "at long, w double").toPandas()
+    discard(sample)
     if model.empty:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
     kept = model[model["at"] >= 0]
@@ -124,7 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), id_col:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, kd_score, other columns of docs): kd_score is the chance that a text is toxic; null and empty texts get the bias alone."""
+    """docs with kd_score, the chance that a text is toxic; null and empty texts get the bias alone.
+
+    Long texts are read whole; a feature counts once a text, however often it stands there. Rows that repeat get the same score, an empty table gives none. Columns of
+    docs pass through, but one named kd_score is replaced.
+    """
+    docs = without(docs, "kd_score double")
     at, w, bias = model
     shared = docs.sparkSession.sparkContext.broadcast((at.astype(np.int64), w.astype(np.float64), bias))
     schema = extended(docs, "kd_score double")
@@ -145,11 +152,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], s: Setti
                 out[start : start + len(part)] = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "kd_score"])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """One row a document; a null id is not held out."""
+    """The contract's columns of `score`, which states all odd cases; one row a row of docs. A null id is not held out."""
     model = train(docs, labels, s)
     scored = score(docs.select("doc_id", "text"), model, s)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("kd_score").alias("score"), (F.col("kd_score") >= s.threshold).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Near-dedup, line dedup and decontamination against brute force."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -162,6 +163,25 @@ def test_line_dedup_of_odd_rows(odd_docs):
     assert line_dedup.dedup_lines(odd_docs.limit(0)).count() == 0
 
 
+def test_line_dedup_is_linear_in_lines(spark):
+    """Two texts of 50,000 lines that share their last ones."""
+    docs = {i: "\n".join([f"{i} {k}" for k in range(50_000)] + ["a", "b", "c", "d"]) for i in (1, 2)}
+    df, began = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), time.time()
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: docs[1], 2: docs[2].removesuffix("\na\nb\nc\nd")} and time.time() - began < 60
+
+
+def test_clashing_columns(clashing):
+    lines = line_dedup.dedup_lines(clashing)
+    assert lines.columns == [c for c in clashing.columns if c not in ("kd_lines", "kd_removed")] + ["kd_lines", "kd_removed"]
+    assert {tuple(r)[2:-2] for r in lines.collect()} == {("x",) * (len(clashing.columns) - 4)} and lines.where("kd_lines = 2").count() == 6
+    kept = minhash.drop_near_copies(clashing)
+    assert kept.columns == clashing.columns and sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+    bench = clashing.sparkSession.createDataFrame([(1, prose(1, 70))], "item_id long, text string")
+    rest = decontaminate.drop_contaminated(clashing, bench)
+    assert rest.columns == clashing.columns and sorted(r.doc_id for r in rest.collect()) == [0, 2, 3, 5]
+
+
 def brute_tiles(doc, item, least):
     md, mi, total = [False] * len(doc), [False] * len(item), 0
     while True:
@@ -216,6 +236,20 @@ def test_items_with_a_null_id_convict(spark):
         assert [r.doc_id for r in decontaminate.drop_contaminated(df, bench.where("item_id is null")).collect()] == [3]
 
 
+def test_early_bounds_lose_nothing(spark):
+    """Items that share a frequent phrase: rare seeds and reach leave out pairs that can't convict, and no others."""
+    r, phrase = random.Random(8), "answer the following question about the text below now"
+    items = [(i, f"{phrase} {prose(200 + i, r.randrange(3, 30))}" if i % 3 else phrase) for i in range(30)]
+    docs = [(i, " ".join([phrase, prose(300 + i, 10), *(" ".join(t.split()[r.randrange(9) :]) for _, t in r.sample(items, 2))])) for i in range(40)]
+    bench, df, s = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(3), decontaminate.Settings()
+    want = {(x.id, x.item): x.covered for x in decontaminate.tilings(df, bench).collect() if 100 * x.covered >= s.percent * x.words}
+    some = decontaminate.tilings(df, bench, s, percent=s.percent)
+    assert {(x.id, x.item): x.covered for x in some.collect() if 100 * x.covered >= s.percent * x.words} == want and len(want) > 50
+    words = {i: t.lower().split() for i, t in [*docs, *((1000 + i, t) for i, t in items)]}
+    brute = {(d, i): brute_tiles(words[d], words[1000 + i], 5) for d in range(6) for i in range(30)}
+    assert {k: v for k, v in brute.items() if 100 * v >= 50 * len(words[1000 + k[1]])} == {k: v for k, v in want.items() if k[0] < 6}
+
+
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_rolling_hashes(k):
     h = np.array([5, 9, 5, 9, 5, 9, 1], np.uint64)

@@ -1,5 +1,6 @@
 """Token files, HTML, quality, licenses, toxicity and piece lattices against brute force, libraries and round trips."""
 
+import math
 import random
 import re
 import zlib
@@ -340,6 +341,49 @@ def test_toxicity_learns_and_holds_out(spark, odd_docs):
     assert len(none) == 10 and len({r.score for r in none}) == 1 and zlib.crc32(b"1") % 3 in (0, 1, 2)
 
 
+def plain_ftrl(rows, s):
+    """FTRL-proximal a feature at a time, with dictionaries."""
+    seen = Counter(i for at, _ in rows for i in at)
+    rows = [([i for i in at if seen[i] >= s.min_rows], y) for at, y in rows]
+    positive, z, n = sum(y for _, y in rows), {}, {}
+    start = bias = math.log((positive + 1) / (len(rows) - positive + 1))
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= s.l1 else -(z[i] - math.copysign(s.l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+    bz = bn = 0.0
+    for _ in range(s.epochs):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + bias))) - y
+            for i in at:
+                old = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / s.alpha * w[i]
+                n[i] = old + g * g
+            bz, bn = bz + g, bn + g * g
+            bias = start - bz * s.alpha / (s.beta + math.sqrt(bn)) / 4
+    return {i: w for i in z if (w := weight(i))}, bias
+
+
+def test_fit_and_score_equal_a_plain_version(spark):
+    r, s = random.Random(9), toxicity.Settings(l1=0.3, min_rows=2, epochs=3)
+    texts = [" ".join(r.choice(["good", "fine", "bad", "awful", "a", "the"][(k % 2) * 2 :]) for _ in range(12)) for k in range(40)]
+    rows = [(x, k % 2) for k, x in enumerate(toxicity.distinct_features(texts, s.bits))]
+    at, w, bias = toxicity.fit(rows, s)
+    want, start = plain_ftrl([(x.tolist(), y) for x, y in rows], s)
+    assert dict(zip(at.tolist(), w.tolist(), strict=True)) == pytest.approx(want) and bias == pytest.approx(start) and 0 < len(want) < 1000
+    df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.kd_score for x in toxicity.score(df, (at, w, bias), s).collect()}
+    for k, (x, _) in enumerate([*rows, (np.zeros(0, int), 0)]):
+        assert got[k if k < 40 else 99] == pytest.approx(1 / (1 + math.exp(-(sum(want.get(i, 0) for i in x.tolist()) + start))), abs=1e-5)
+
+
+def test_clashing_columns_of_text_operators(clashing):
+    for made, more in (
+        (pieces.count_tokens(clashing), ["kd_tokens"]), (pieces.decode(pieces.encode(clashing)), ["kd_ids", "kd_text"]), (toxicity.score(clashing, (np.zeros(0), np.zeros(0), 0.0)), ["kd_score"]),
+        (licenses.scan(clashing).select("*"), ["kd_words", "kd_base", "kd_first", "kd_last", "kd_base_labels", "kd_labels", "kd_score", "kd_spans"]),
+        (quality.judge(clashing, quality.EMPTY), ["kd_words", "kd_word_chars", "kd_symbols", "kd_dup_lines", "kd_repeat_words", "kd_failed", "kd_share", "kd_kept", "kd_labels"]),
+    ):
+        assert made.columns == [c for c in clashing.columns if c.lower() not in more] + more and {r.KD_KEY for r in made.collect()} == {"x"} and made.count() == 6
+
+
 def test_toxicity_features():
     row, feature = toxicity.features(["A b, c", None, "a"], 22)
     assert Counter(row.tolist()) == {0: 6, 2: 1} and feature[0] == feature[3] and feature.max() < 1 << 22
