@@ -11,10 +11,8 @@ from kindred.llm.common import discard, written
 HUB_EDGES, HUBS = 10_000, 50_000
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
     """edges (a, b) with m of their a, from least (a, m, k). Edges of hubs (k > hub) stay where they are, so none gathers in one task."""
-    if hub is None:
-        return edges.join(least.select("a", "m"), "a")
     hubs = F.broadcast(least.where(F.col("k") > hub).select("a", F.col("m").alias("hub")))
     both = edges.join(hubs, "a", "left")
     rest = both.where("hub is null").select("a", "b").join(least.where(F.col("k") <= hub).select("a", "m"), "a")
@@ -26,15 +24,18 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, hub: int | None) -> DataFrame:
-    """Each node's larger neighbours point to the least of it and its neighbours."""
+    """Each node's larger neighbours point to the least of it and its neighbours. Without hubs (hub is None), one shuffle brings a node's edges together."""
     both = _both_ways(edges)
+    both = both if hub else both.repartition("a")
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("k"))
-    return _with_least(both.where("b > a"), least, hub).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    larger = both.where("b > a")
+    found = _with_least(larger, least, hub) if hub else larger.join(least.select("a", "m"), "a")
+    return found.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours point to the least of them. After a large star, a node has few smaller neighbours."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    """Each node and its smaller neighbours point to the least of them. After a large star, a node has few smaller neighbours, so they come together in one shuffle."""
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("a")
     least = down.groupBy("a").agg(F.min("b").alias("m"))
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
@@ -47,13 +48,13 @@ def components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
     now = written(edges.where("a != b").distinct(), "star")
     mark = None
     while True:
-        degrees = _both_ways(now).groupBy("a").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("a", "b")).alias("d"))
-        n, most, digest = degrees.agg(F.sum("k"), F.max("k"), F.bit_xor("d")).first()
+        n, digest = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
         if not n or (n, digest) == mark:
             break
-        mark, hub = (n, digest), max(hub_edges, n // HUBS)
+        mark, hub = (n, digest), max(hub_edges, 2 * n // HUBS)
+        most = _both_ways(now).groupBy("a").count().agg(F.max("count")).first()[0] if n > hub else 0
         old, now = now, written(_small_star(_large_star(now, hub if most > hub else None)), "star")
         discard(old)
-    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "components")
+    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp"))), "components")
     discard(now)
     return out

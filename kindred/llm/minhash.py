@@ -129,8 +129,9 @@ def _keys(s: Settings) -> list[Column]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(fp, body) of the sets in wanted (one, fp): the texts of ids `one` are shingled again; body is the set as 64-bit numbers."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select(F.col("one").alias("id")).distinct(), "id").select("text")
+    """(fp, body) of the sets in wanted (one, fp): the texts of ids `one` are shingled again; body is the set as 64-bit numbers. Ids grow with the corpus, so they
+    are merged at every size, never broadcast at some."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select(F.col("one").alias("id")).distinct().hint("merge"), "id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -246,13 +247,13 @@ def _spans(cells: DataFrame, s: Settings) -> DataFrame:
         mid, size = int(np.searchsorted(side, 1)), len(side)
         if mid in (0, size):
             return []
-        sig, comp, band = _fixed(rows.column("sig"), "<u2", s.bands * s.rows), _fixed(rows.column("comp"), "<u8", 2), rows.column("band")[0].as_py()
+        sig, comp, band = _fixed(rows.column("sig"), "<u2", s.bands * s.rows), rows.column("comp").to_numpy(), rows.column("band")[0].as_py()
         union = _Union(size)
         step = max(1, 2_000_000 // (mid * sig.shape[1]))
         for at in range(mid, size, step):
             end = min(size, at + step)
             a, b = n[at:end, None], n[None, :mid]
-            x, y = np.nonzero((comp[at:end, None] != comp[None, :mid]).any(2) & (100 * np.minimum(a, b) >= s.percent * np.maximum(a, b)))
+            x, y = np.nonzero((comp[at:end, None] != comp[None, :mid]) & (100 * np.minimum(a, b) >= s.percent * np.maximum(a, b)))
             equal = sig[at + x] == sig[y]
             near = np.flatnonzero(equal.sum(1) >= s.least)
             near = near[equal[near].reshape(len(near), s.bands, s.rows).all(2).argmax(1) == band]
@@ -272,7 +273,7 @@ def _links_of(tiles: DataFrame, s: Settings) -> DataFrame:
         rows = rows.slice(lo, hi - lo)
         side, n = rows.column("side").to_numpy(), rows.column("n").to_numpy()
         sig, sets = _fixed(rows.column("sig"), "<u2", s.bands * s.rows), _numbers(rows.column("body"), "<u8")
-        classes = np.unique(_fixed(rows.column("comp"), "<u8", 2), axis=0, return_inverse=True)[1].ravel()
+        classes = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1]
         union, found = _Union(int(classes.max()) + 1), []
         kin = classes.tolist()
         two_sides = side[0] != side[-1]
@@ -316,16 +317,14 @@ def _rest_links(open_: DataFrame, wanted: DataFrame, sets: DataFrame, s: Setting
     return found
 
 
-def _classed(buckets: DataFrame, wanted: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """(key, v, fp, comp) of bucket rows: the class of a set without a link is itself."""
-    nodes = wanted.select("v", "fp")
-    if comps is None:
-        return buckets.join(nodes.withColumn("comp", F.col("fp")), "v")
-    return buckets.join(nodes.join(comps.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "v")
+def _classed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, v, comp) of bucket rows: the class of a set, as a number; one without a link is its own."""
+    classes = comps.select(F.xxhash64("node").alias("v"), F.xxhash64("comp").alias("comp"))
+    return buckets.join(classes, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
 
 
 def _mains(known: DataFrame, turn: int) -> DataFrame:
-    """(key, main, leader, size, most) of buckets of several classes: their largest class, a member of it by the hash of this turn, and how many they and it are."""
+    """(key, main, u, size, most) of buckets of several classes: their largest class, a member of it by the hash of this turn, and how many they and it are."""
     by_class = known.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("h"), F.col("v").alias("v"))).alias("lead"))
     out = by_class.groupBy("key").agg(F.max(F.struct("k", "comp", "lead.v")).alias("top"), F.sum("k").alias("size"), F.max("k").alias("most")).where("most < size")
     return out.select("key", F.col("top.comp").alias("main"), F.col("top.v").alias("u"), "size", "most")
@@ -347,7 +346,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     nodes = rows.where("fp is not null and id is not null").groupBy("fp").agg(F.min("id").alias("one"), F.min("n").alias("n"), F.min("sig").alias("sig")).withColumn("v", F.xxhash64("fp"))
     nodes = written(nodes, "minhash-nodes")
     each = nodes.select("v", F.explode(F.array(*_keys(s))).alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    often = each.groupBy("key").agg(F.count("*").alias("size"), F.max("v").alias("u")).where("size > 1").select("key", "u")
     buckets = written(each.join(often, "key"), "minhash-buckets")
     wanted = written(nodes.join(buckets.select("v").distinct(), "v"), "minhash-wanted")
     sets = written(_sets(docs, wanted, s, id_col, text_col), "minhash-sets")
@@ -357,30 +356,33 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     twice = written(twice.select("id", "a", "z"), "minhash-twice")
     of_one = rows.join(twice.where("a != z"), "id").where("fp != a").select("a", F.col("fp").alias("b"))
     links = written(of_one.distinct(), "minhash-links")
-    known, turn = written(_classed(buckets, wanted, None), "minhash-known"), 0
+    asked, turn, spent = buckets.where("v != u"), 0, []
     while True:
-        pairs = known.join(_mains(known, turn), "key").where("comp != main and v != u").groupBy("v", "u").agg(F.count("*").alias("c"))
-        likely = written(_likely(pairs.groupBy("v").agg(F.max_by("u", F.struct("c", "u")).alias("u")), wanted, s), "minhash-likely")
+        # a set stands in s.bands buckets at most, so its leaders are few
+        pairs = asked.groupBy("v").agg(F.mode("u", True).alias("u"))
+        likely = written(_likely(pairs, wanted, s), "minhash-likely")
         found = written(_verified(likely, sets, s).where("linked").select("a", "b"), "minhash-found")
-        tables = [known, likely, found, links]
-        links = written(links.unionByName(found), "minhash-links")
-        comps = components(links)
-        known = written(_classed(buckets, wanted, comps), "minhash-known")
-        joined, asked, turn = found.count(), likely.count(), turn + 1
-        discard(*tables, comps)
-        rows_left, meets = _mains(known, turn).agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
-        if not rows_left or meets <= s.meets * rows_left or 10 * joined < asked:
+        links, old = written(links.unionByName(found), "minhash-links"), links
+        comps, turn = components(links), turn + 1
+        known = written(_classed(buckets, comps), "minhash-known")
+        mains = written(_mains(known, turn), "minhash-mains")
+        enough = 10 * found.count() < likely.count()
+        discard(old, likely, found, comps, *spent)
+        rows_left, meets = mains.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
+        spent = [known, mains]
+        if not rows_left or enough or meets <= s.meets * rows_left:
             break
+        asked = known.join(mains, "key").where("comp != main")
 
     # what no leader has joined to the rest of its bucket meets all of it
-    open_ = known.join(_mains(known, turn).select("key", "main", "size", "most"), "key").join(wanted.select("v", "fp", "n", "sig"), ["v", "fp"])
+    open_ = known.join(mains.drop("u"), "key").join(wanted.drop("one"), "v")
     rest = _rest_links(open_, wanted, sets, s)
     final = components(links.unionByName(rest))
-    discard(buckets, wanted, sets, known, links, rest)
+    discard(buckets, sets, wanted, links, rest, *spent)
 
-    labelled = nodes.select("fp", "one").join(final.select(F.col("node").alias("fp"), "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    least = labelled.groupBy("comp").agg(F.min("one").alias("component"))
-    labelled = labelled.join(least, "comp").select("fp", "component")
+    joined = final.select(F.col("node").alias("fp"), "comp").join(nodes.select("fp", "one"), "fp")
+    joined = joined.join(joined.groupBy("comp").agg(F.min("one").alias("least")), "comp").select("fp", "least")
+    labelled = nodes.select("fp", "one").join(joined, "fp", "left").select("fp", F.coalesce("least", "one").alias("component"))
     # rows without words share what other rows of their id reach
     by_id = twice.where("a is not null").select("id", F.col("a").alias("fp")).join(labelled, "fp").select("id", F.col("component").alias("other"))
     return rows.join(labelled, "fp", "left").join(by_id, "id", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "other", "id")).alias("component"))
