@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import extended, written
+from kindred.llm.common import extended, fresh, mapped, without, written
 
 # Elements by their part in a page.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby s samp small span strike strong sub sup td th time tt u var wbr br svg path".split())
@@ -37,8 +37,8 @@ POST_NAMES = frozenset(("post", "hentry", "type-post"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
-#: Children of a wrapper node; beyond it, equal ones become one repeated group, so a wrapper stays small however pages vary.
-WIDEST = 48
+#: Open elements at most. Deeper ones keep their texts, which go to the deepest open element (or one with a name that rules it out), as browsers do.
+DEEPEST = 200
 
 
 class Node:
@@ -57,6 +57,7 @@ def parse(text: str | None) -> Node:
     text = text or ""
     root = Node("#page", "#page")
     stack, at, n = [root], 0, len(text)
+    flat: dict[str, int] = {}  # elements that are open but not on the stack, by name
     while at < n:
         m = _TOKEN.search(text, at)
         if not m:
@@ -69,6 +70,9 @@ def parse(text: str | None) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
+            if flat.get(name):
+                flat[name] -= 1
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     del stack[k:]
@@ -96,6 +100,10 @@ def parse(text: str | None) -> Node:
             label = f"{name}.{' '.join(v for k, v in sorted(found.items()) if k in ('class', 'id', 'role', 'hidden') or v == 'true')}" if found else name
             label = re.sub(r"\d+", "", label).rstrip(".")
         node = Node(label, name)
+        if len(stack) >= DEEPEST and name not in VOID and name not in RAW and (_bad(stack[-1].label) or not _bad(label)):
+            flat[name] = flat.get(name, 0) + 1
+            stack[-1].children.append(" ")
+            continue
         stack[-1].children.append(node)
         if name in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(text, at)
@@ -105,7 +113,7 @@ def parse(text: str | None) -> Node:
     return root
 
 
-# ---- wrappers: {"l": label, "o": 1 if optional, "r": 1 if repeated, "c": children, and for a text slot "n", "s", "h": pages with it, characters, hash or None}
+# ---- wrappers: {"l": label, "o": 1 if optional, "r": 1 if repeated, "n": times seen, "c": children, and for a text slot "s", "a", "h": characters, those in links, hash or None}
 
 
 def _slot(pieces: list[str], linked: int) -> dict:
@@ -118,7 +126,7 @@ def hash_of(text: str) -> int:
 
 
 def expression(node: Node) -> dict:
-    """The expression of one page: inline elements are part of their text, texts are slots, runs of equal children are repeated groups."""
+    """The expression of one page: inline elements are part of their text, texts are slots, and children are grouped as `grouped` says."""
     out: list[dict] = []
     pieces: list[str] = []
     linked = 0
@@ -126,7 +134,7 @@ def expression(node: Node) -> dict:
     def flush() -> None:
         nonlocal linked
         if any(p.strip() for p in pieces):
-            _append(out, _slot(pieces, linked))
+            out.append(_slot(pieces, linked))
         pieces.clear()
         linked = 0
 
@@ -140,59 +148,101 @@ def expression(node: Node) -> dict:
                 inline(c, link or c.name == "a")
             else:
                 flush()
-                _append(out, expression(c))
+                out.append(expression(c))
 
     inline(node, False)
     flush()
-    return {"l": node.label, "o": 0, "r": 0, "c": out}
-
-
-def _append(children: list[dict], one: dict) -> None:
-    if children and children[-1]["l"] == one["l"]:
-        children[-1] = merge(children[-1], one) | {"r": 1}
-    else:
-        children.append(one)
+    return {"l": node.label, "o": 0, "r": 0, "n": 1, "c": _folded(out)}
+
+
+def grouped(labels: list[str]) -> tuple[list[int], list[bool]]:
+    """(place of each label in the shorter list of groups, whether a group is of optional ones): equal neighbours share a place. A label that comes back twice or
+    more after others makes all from its first to its last one repeated group of optional labels, (a? b? ...)+, each with one place in it."""
+    runs: list[int] = []
+    for i, label in enumerate(labels):
+        if not i or label != labels[i - 1]:
+            runs.append(i)
+    spots: dict[str, list[int]] = {}
+    for k, i in enumerate(runs):
+        spots.setdefault(labels[i], []).append(k)
+    until = list(range(len(runs)))  # last run of a group that starts here
+    for own in spots.values():
+        if len(own) > 2:
+            until[own[0]] = own[-1]
+    place, optional, k = [], [], 0
+    of_run: list[int] = []
+    while k < len(runs):
+        end, j = until[k], k
+        while j <= end:
+            end = max(end, until[j])
+            j += 1
+        if end == k:
+            of_run.append(len(optional))
+            optional.append(False)
+        else:
+            own: dict[str, int] = {}
+            for r in range(k, end + 1):
+                label = labels[runs[r]]
+                if label not in own:
+                    own[label] = len(optional)
+                    optional.append(True)
+                of_run.append(own[label])
+        k = end + 1
+    for r, i in enumerate(runs):
+        place += [of_run[r]] * ((runs[r + 1] if r + 1 < len(runs) else len(labels)) - i)
+    return place, optional
+
+
+def _folded(children: list[dict]) -> list[dict]:
+    place, optional = grouped([c["l"] for c in children])
+    out: list[dict | None] = [None] * len(optional)
+    for c, k in zip(children, place, strict=True):
+        out[k] = c if out[k] is None else merge(out[k], c) | {"r": 1}
+    return [c | {"r": 1, "o": 1} if more else c for c, more in zip(out, optional, strict=True)]
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of equal labels in a longest common sequence; -1 stands for none."""
-    n, m = len(a), len(b)
-    k = 0
+    """Pairs of equal labels in a longest common sequence; -1 stands for none. A row of the table of lengths is a number whose bits are its steps."""
+    n, m, k = len(a), len(b), 0
     while k < min(n, m) and a[k] == b[k]:
         k += 1
-    best = [[0] * (m - k + 1) for _ in range(n - k + 1)]
-    for i in range(n - k - 1, -1, -1):
-        for j in range(m - k - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[k + i] == b[k + j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [(x, x) for x in range(k)], 0, 0
-    while i < n - k or j < m - k:
-        if i < n - k and j < m - k and a[k + i] == b[k + j]:
-            out.append((k + i, k + j))
-            i, j = i + 1, j + 1
-        elif j >= m - k or i < n - k and best[i + 1][j] >= best[i][j + 1]:
-            out.append((k + i, -1))
-            i += 1
+    while n > k and m > k and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    masks: dict[str, int] = {}
+    for j in range(k, m):
+        masks[b[j]] = masks.get(b[j], 0) | 1 << j - k
+    full = (1 << m - k) - 1
+    rows = [full]
+    for i in range(k, n):
+        v = rows[-1]
+        u = v & masks.get(a[i], 0)
+        rows.append(((v + u) | (v - u)) & full)
+    back, i, j = [], n - k, m - k
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+            back.append((-1, k + j))
         else:
-            out.append((-1, k + j))
-            j += 1
-    return out
+            i -= 1
+            if i and not rows[i] >> (j - 1) & 1:
+                back.append((k + i, -1))
+            else:
+                j -= 1
+                back.append((k + i, k + j))
+    back += [(-1, k + x) for x in range(j - 1, -1, -1)] + [(k + x, -1) for x in range(i - 1, -1, -1)]
+    return [(x, x) for x in range(k)] + back[::-1] + [(n + x, m + x) for x in range(len(a) - n)]
 
 
 def merge(a: dict, b: dict) -> dict:
-    """The expression that covers both: children are aligned, mismatches become optional, texts that differ make an open slot."""
-    out = {"l": a["l"], "o": a["o"] | b["o"], "r": a["r"] | b["r"]}
+    """The expression that covers both: children are aligned, mismatches become optional, what then comes back is grouped, texts that differ make an open slot."""
+    out = {"l": a["l"], "o": a["o"] | b["o"], "r": a["r"] | b["r"], "n": a["n"] + b["n"]}
     if a["l"] == "#text":
-        return out | {"c": [], "n": a["n"] + b["n"], "s": a["s"] + b["s"], "a": a["a"] + b["a"], "h": a["h"] if a["h"] == b["h"] else None}
+        return out | {"c": [], "s": a["s"] + b["s"], "a": a["a"] + b["a"], "h": a["h"] if a["h"] == b["h"] else None}
     x, y = a["c"], b["c"]
     children = []
     for i, j in align([c["l"] for c in x], [c["l"] for c in y]):
         children.append(merge(x[i], y[j]) if i >= 0 and j >= 0 else (x[i] if i >= 0 else y[j]) | {"o": 1})
-    if len(children) > WIDEST:
-        groups: dict[str, dict] = {}
-        for c in children:
-            groups[c["l"]] = merge(groups[c["l"]], c) | {"r": 1, "o": 1} if c["l"] in groups else c
-        children = list(groups.values())
-    return out | {"c": children}
+    return out | {"c": _folded(children)}
 
 
 @lru_cache(1 << 16)
@@ -218,7 +268,7 @@ def _main(label: str) -> bool:
     return label.partition(".")[0] == "main" or label.endswith((".main", " main"))
 
 
-#: Where the article is, the first that a page has. Names of whole pages say nothing of the article's place.
+#: Where an article may be. Names of whole pages say nothing of the article's place.
 PLACES = (
     lambda s: _article(s) and not ill_named(s),
     _main,
@@ -226,6 +276,8 @@ PLACES = (
     lambda s: bool(GOOD_NAMES.search(s.partition(".")[2])),
     lambda s: _main(s) or _article(s) and not ill_named(s),  # within containers with other names
 )
+#: By how much a character counts more in a place than in the page as a whole, the last. A host's texts outweigh names where they differ by more.
+PRIOR = (8.0, 6.0, 2.5, 3.0, 1.2, 1.0)
 CLEAN, NAMED, LOOSE, OPEN, WHOLE = 0, 3, 4, 5, 6
 
 
@@ -258,19 +310,41 @@ def _size(node: Node) -> int:
     return sum(len(c.strip()) if isinstance(c, str) else _size(c) if not _bad(c.label) else 0 for c in node.children)
 
 
-def place_of(page: Node) -> int:
-    """The article's place on a page: article elements, else main elements, else articles with other names, else elements with a name of content,
-    else all of the page (OPEN). Articles within containers with other names count if they hold more text than the last two."""
-    size = 0
-    for place in range(LOOSE):
-        size = sum(map(_size, _find(page, place, lambda n: n.label, _blocks)))
-        if size:
-            break
-    else:
-        place, size = OPEN, _size(page)
-    if place < NAMED:
-        return place
-    return LOOSE if sum(map(_size, _find(page, LOOSE, lambda n: n.label, _blocks))) > size else place
+def place_of(page: Node, wrapper: dict) -> int:
+    """The article's place on a page, of those that have text there: the one whose elements hold most text of their own on the host's pages, on average, by PRIOR.
+
+    Text of its own varies from page to page and stands outside of links, menus, notices, forms and the like.
+    """
+    best, most = OPEN, PRIOR[OPEN] * wrapper["w"].get((OPEN, "#page"), 0.0)
+    for place in range(OPEN):
+        roots = _find(page, place, lambda n: n.label, _blocks)
+        if sum(map(_size, roots)):
+            own = PRIOR[place] * max(1e-9, sum(wrapper["w"].get((place, r.label), 0.0) for r in roots))
+            if own > most:
+                best, most = place, own
+    return best
+
+
+def _weigh(wrapper: dict) -> None:
+    """Sets "w" of a host's wrapper: characters of their own, on average, of each (place, label of its elements)."""
+
+    def mass(node: dict, varying: bool, top: bool) -> int:
+        if not top and node["l"] != "#text" and _bad(node["l"]):
+            return 0
+        if node["l"] == "#text":
+            same = node["n"] >= 3 and node["h"] is not None and not node["r"]
+            return 0 if varying and same else max(0, node["s"] - node["a"])
+        return sum(mass(c, varying, False) for c in node["c"])
+
+    # pages that are nearly all alike are copies: there, what is the same counts too
+    varying = 10 * mass(wrapper, True, True) > mass(wrapper, False, True)
+    sums: dict[tuple[int, str], list[float]] = {(OPEN, "#page"): [mass(wrapper, varying, True), wrapper["n"]]}
+    for place in range(OPEN):
+        for r in _find(wrapper, place, lambda n: n["l"], lambda n: n["c"]):
+            own = sums.setdefault((place, r["l"]), [0.0, 0.0])
+            own[0] += mass(r, varying, True)
+            own[1] += r["n"]
+    wrapper["w"] = {k: total / n for k, (total, n) in sums.items()}
 
 
 def decide(wrapper: dict) -> dict:
@@ -301,6 +375,7 @@ def decide(wrapper: dict) -> dict:
             mark(c, bits)
 
     mark(wrapper, 0)
+    _weigh(wrapper)
     return wrapper
 
 
@@ -309,7 +384,7 @@ def extract(page: Node, wrapper: dict) -> str:
 
     If nearly all of an open page is the same on the host's pages, they are copies, and what is the same is not left out.
     """
-    place = place_of(page)
+    place = place_of(page, wrapper)
     bit = 1 << (WHOLE if place == OPEN else place)
     blocks: list[tuple[str, bool]] = []  # text, whether it differs between pages
 
@@ -338,28 +413,22 @@ def extract(page: Node, wrapper: dict) -> str:
 
         inline(node)
         flush()
-        folded: list[str] = []
-        groups: list[list] = []
-        for label, item in items:
-            if folded and folded[-1] == label:
-                groups[-1].append(item)
-            else:
-                folded.append(label)
-                groups.append([item])
+        spot, optional = grouped([label for label, _ in items])
+        folded = [""] * len(optional)
+        for (label, _), x in zip(items, spot, strict=True):
+            folded[x] = label
         own = guide["c"]
-        to = {i: j for i, j in align(folded, [c["l"] for c in own]) if i >= 0}
-        for i, group in enumerate(groups):
-            j = to.get(i, -1)
-            if j < 0:
-                j = next((x for x, c in enumerate(own) if c["l"] == folded[i]), -1)
-            next_guide = own[j] if j >= 0 else {"c": [], "k": 0 if _bad(folded[i]) else keep}
-            for item in group:
-                if isinstance(item, Node):
-                    take(item, next_guide, next_guide["k"])
-                elif next_guide["k"] & bit:
-                    block = " ".join(entities.unescape(item).split())
-                    if block:
-                        blocks.append((block, bool(next_guide["k"] & 1 << OPEN)))
+        to = {i: j for i, j in align(folded, [c["l"] for c in own]) if i >= 0 and j >= 0}
+        first = {c["l"]: j for j, c in reversed(list(enumerate(own)))}
+        for (label, item), x in zip(items, spot, strict=True):
+            j = to.get(x, first.get(label, -1))
+            next_guide = own[j] if j >= 0 else {"c": [], "k": 0 if _bad(label) else keep}
+            if isinstance(item, Node):
+                take(item, next_guide, next_guide["k"])
+            elif next_guide["k"] & bit:
+                block = " ".join(entities.unescape(item).split())
+                if block:
+                    blocks.append((block, bool(next_guide["k"] & 1 << OPEN)))
 
     take(page, wrapper, wrapper["k"])
     if place == OPEN:
@@ -377,7 +446,7 @@ def host_of(url):
 def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One wrapper for each key, merged in order of text so that results don't hang on the order of rows."""
 
-    def run(key: tuple, pdf):
+    def run(key, pdf):
         import pandas as pd
 
         whole = None
@@ -409,15 +478,21 @@ def wrappers(pages: DataFrame, html_col: str = "html", url_col: str = "url", hel
         if own:
             yield out()
 
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("body")).mapInArrow(run, "host string, wrapper string")
+    parts = mapped(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("body")), run, "host string, wrapper string")
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
     return _merged(_merged(salted, ["host", "salt"]), ["host"])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url") -> DataFrame:
-    """pages with kd_text, the article's text ('' if none; a null page is an empty one). Pages without a host make up one host together."""
-    known = written(wrappers(pages, html_col, url_col), "wrappers").select(F.col("host").alias("kd_host"), F.col("wrapper").alias("kd_wrapper"))
-    both = pages.withColumn("kd_of", host_of(F.col(url_col))).join(known, F.col("kd_of") == F.col("kd_host"))
+    """pages with kd_text, the article's text ('' if none; a null page is an empty one). Pages without a host make up one host together.
+
+    Long pages are read whole; elements nested deeper than DEEPEST keep their texts. Pages that repeat get the same text, and a host of copies keeps what is the
+    same on all. Wrappers hang on no order of rows. An empty table gives no rows. Columns of pages pass through, but one named kd_text is replaced.
+    """
+    pages = without(pages, "kd_text string")
+    of, host, guide = (fresh(n, pages) for n in ("kd_of", "kd_host", "kd_wrapper"))
+    known = written(wrappers(pages, html_col, url_col), "wrappers").select(F.col("host").alias(host), F.col("wrapper").alias(guide))
+    both = pages.withColumn(of, host_of(F.col(url_col))).join(known, F.col(of) == F.col(host))
     own = pages.columns
     column = own.index(html_col)
 
@@ -425,7 +500,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url")
         ready: dict[str, dict] = {}
         for b in batches:
             texts = []
-            for body, host, wrapper in zip(b.column(column), b.column("kd_of").to_pylist(), b.column("kd_wrapper"), strict=True):
+            for body, host, wrapper in zip(b.column(column), b.column(of).to_pylist(), b.column(guide), strict=True):
                 if host not in ready:
                     if len(ready) > 500:
                         ready.clear()
@@ -433,9 +508,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url")
                 texts.append(extract(parse(body.as_py()), ready[host]))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(own))), pa.array(texts, pa.string())], [*own, "kd_text"])
 
-    return both.select(*own, "kd_of", "kd_wrapper").mapInArrow(run, extended(pages, "kd_text string"))
+    return mapped(both.select(*own, of, guide), run, extended(pages, "kd_text string"))
 
 
 def op3_html(pages: DataFrame) -> DataFrame:
+    """The contract's columns of `extract_text`, which states all odd cases."""
     found = extract_text(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("kd_text").alias("text"), F.length("kd_text").cast("long").alias("n_chars"))

@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -140,6 +142,80 @@ def test_menus_and_comments_stay_out():
     assert extracted([page.format(i=i) for i in range(4)]) == [f"text {i}" for i in range(4)]
 
 
+def test_the_host_outweighs_tags_and_names():
+    """Chrome that no tag or name gives away: teasers in article elements, a slogan that all pages share. One page alone can't tell; its host does."""
+    page = "<body><div class='x1'>Slogan of the site, which is long enough to be a text</div><article><a href='/t{i}'>teaser {i} with some words of its own</a> on</article><div class='x7'><h1>Title {i}</h1><p>{body}</p></div></body>"
+    bodies = [" ".join(f"word{(i + 1) * k}" for k in range(60)) for i in range(4)]
+    pages = [page.format(i=i, body=b) for i, b in enumerate(bodies)]
+    assert extracted(pages) == [f"Title {i}\n{b}" for i, b in enumerate(bodies)]
+    assert "Slogan" in extracted(pages[:1])[0]
+
+
+def test_groups_and_alignment():
+    assert html.grouped(["h", "p", "p", "h", "p", "t"]) == ([0, 1, 1, 2, 3, 4], [False] * 5)
+    assert html.grouped(["x", "h", "p", "h", "p", "h", "p", "t"]) == ([0, 1, 2, 1, 2, 1, 2, 3], [False, True, True, False])
+    r = random.Random(10)
+    for _ in range(200):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(12))] for _ in range(2))
+        pairs = html.align(a, b)
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        both = [p for p in pairs if min(p) >= 0]
+        assert [i for i, _ in pairs if i >= 0] == list(range(len(a))) and [j for _, j in pairs if j >= 0] == list(range(len(b)))
+        assert all(a[i] == b[j] for i, j in both) and len(both) == best[-1][-1]
+
+
+def test_deep_and_long_pages():
+    began = time.time()
+    deep = ["<body><nav>n</nav><article>" + "<div>" * 50_000 + f"<p>deep {i}</p>" + "</div>" * 50_000 + f"<p>after {i}</p></article>" for i in range(2)]
+    assert extracted(deep) == [f"deep {i}\nafter {i}" for i in range(2)]
+    long = ["<article>" + "".join(f"<h2>h{i} {k}</h2><p>p{i} {k}</p>" + "<ul><li>x</ul>" * (k % 7 == i) for k in range(10_000)) + "</article>" for i in range(2)]
+    for i, text in enumerate(extracted(long)):
+        assert text == "\n".join(x for k in range(10_000) for x in (f"h{i} {k}", f"p{i} {k}", *["x"] * (k % 7 == i)))
+    assert time.time() - began < 60
+
+
+class PlainExtractor(HTMLParser):
+    """Blocks of the only article element, by the library's tokens; for pages of that shape."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.now = False, [], []
+        self.feed(page)
+        self.end()
+
+    def end(self):
+        if block := " ".join("".join(self.now).split()):
+            self.blocks.append(block)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        if tag == "br":
+            self.now.append("\n")
+        elif tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em", "strong", "span"):
+            self.end()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.now.append(data)
+
+
+def test_pages_of_a_table_equal_a_plain_extractor(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    bodies = {r.page_id: r.html for r in pages.collect()}
+    got = {r.page_id: r.text for r in html.op3_html(pages).collect()}
+    plain = {i: t for i, t in bodies.items() if t and t.count("<article") == 1 and not re.search("<(table|form|aside|section|figure|script)", t[t.index("<article") : t.index("</article")])}
+    assert len(plain) > 0.5 * len(bodies) and {i: got[i] for i in plain} == {i: "\n".join(PlainExtractor(t).blocks) for i, t in plain.items()}
+
+
 def test_wrappers_don_t_depend_on_partitions(spark):
     rows = [(i, f"http://h{i % 3}.org/p{i}", PAGE.format(i=i, body=f"<article><h1>T{i}</h1>" + "<p>x</p>" * (i % 4) + "<table><tr><td>a<td>b</table>" * (i % 2) + "</article>")) for i in range(24)]
     rows += [(100, None, None), (101, "no host", ""), (102, "http://h0.org/", "<<<p>broken <article"), (103, "http://h9.org", "<p>" * 3000 + "deep")]
