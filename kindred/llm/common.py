@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from kindred.plans.scratch import shared_dir
+
 #: Texts handed to one numpy step hold about so many characters at most, or are a single text.
 BATCH_CHARS = 4_000_000
 
@@ -40,22 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where it is unset on a local master, a folder of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="kindred-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
+def written(df: DataFrame, name: str, rows: int | None = None, per_task: int = 50_000) -> DataFrame:
+    """df as a table in the shared folder: cuts lineage, and later readers of it survive lost executors. It stays until `discard`.
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and later readers of it survive lost executors. It stays until `discard`."""
+    rows: how many it has at most, if that is known; its last stage then takes a task for `per_task` of them, so that small tables aren't small files by the hundred.
+    """
     spark = df.sparkSession
+    df = df if rows is None else df.coalesce(max(8, -(-rows // per_task)))
     path = f"{shared_dir(spark)}/kindred/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -40,21 +40,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame, hub_edges: int = HUB_EDGES) -> DataFrame:
-    """(node, comp) of all nodes with an edge: comp is the least node of the component. edges: (a, b), repeats and loops allowed. A table of `written`.
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each node that has edges at its first end has one, and none at its second."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return by_node.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0] in (None, False)
 
-    Ends when edges stay the same: then each component is a star around its least node. Rounds grow with the logarithm of a component's size.
+
+def components(edges: DataFrame, hub_edges: int = HUB_EDGES, rows: int | None = None) -> DataFrame:
+    """(node, comp) of all nodes with an edge: comp is the least node of the component. edges: (a, b), repeats and loops allowed, `rows` of them at most. It stands on one table of
+    `written`, which `discard` takes.
+
+    Ends when each component is a star around its least node. Rounds grow with the logarithm of a component's size.
     """
-    now = written(edges.where("a != b").distinct(), "star")
-    mark = None
-    while True:
-        n, digest = now.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        if not n or (n, digest) == mark:
-            break
-        mark, hub = (n, digest), max(hub_edges, 2 * n // HUBS)
+    down = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = written(down.distinct(), "star", rows)
+    while not _is_stars(now):
+        n = now.count()
+        hub = max(hub_edges, 2 * n // HUBS)
         most = _both_ways(now).groupBy("a").count().agg(F.max("count")).first()[0] if n > hub else 0
-        old, now = now, written(_small_star(_large_star(now, hub if most > hub else None)), "star")
+        # a round keeps no more edges than it reads, but for one a node
+        old, now = now, written(_small_star(_large_star(now, hub if most > hub else None)), "star", 2 * n)
         discard(old)
-    out = written(now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp"))), "components")
-    discard(now)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(now.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("comp")))
+    out._kindred_path = now._kindred_path
     return out

@@ -78,7 +78,7 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 class Settings:
     """k: words a shingle. percent: least similarity. bands x rows: signature places. least: equal places of a likely pair. meets: others that a set of an open bucket
     would meet, on average, for which leaders are sought once more.
-    block: sets a side of one exact block, about; tile: numbers of its sets, about, or one set.
+    block: sets a side of one exact block, about; tile: numbers of its sets, about, or one set. per_task: pairs of sets confirmed in one task.
 
     A pair of similarity 0.85 shares no band with a chance of (1 - 0.85 ** 5) ** 26, about 2e-7, and has 110 equal places of 130, give or take 4, so 86
     are six deviations below.
@@ -91,6 +91,7 @@ class Settings:
     least: int = 86
     meets: int = 64
     block: int = 512
+    per_task: int = 5_000
     tile: int = 4_000_000
 
 
@@ -305,7 +306,7 @@ def _rest_links(open_: DataFrame, wanted: DataFrame, sets: DataFrame, s: Setting
     members = open_.select(*base, F.lit(0).alias("side"), part(chunk(F.col("size")), "m").alias("i"), F.explode(F.sequence(F.lit(0), chunk(others) - 1)).alias("j"))
     outsiders = open_.where("comp != main").select(*base, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), chunk(F.col("size")) - 1)).alias("i"), part(chunk(others), "o").alias("j"))
     spans = written(_spans(members.unionByName(outsiders), s), "minhash-spans")
-    kins = components(spans)
+    kins = components(spans, rows=spans.count())
     nodes = kins.select(F.col("node").alias("fp"), F.xxhash64("comp").alias("kin")).join(wanted.select("fp", "n", "sig"), "fp").join(open_.select("fp", "comp").distinct(), "fp").join(sets, "fp")
     sizes = kins.join(wanted.select(F.col("fp").alias("node"), "n"), "node").groupBy(F.xxhash64("comp").alias("kin")).agg(
         F.greatest(chunk(F.count("*")), F.ceil(F.sum("n") / F.lit(s.tile)).cast("int")).alias("parts")
@@ -354,19 +355,21 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     # rows of one id with several sets
     twice = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k"), F.min("fp").alias("a"), F.max("fp").alias("z")).where("k > 1")
     twice = written(twice.select("id", "a", "z"), "minhash-twice")
+    n_rows, n_sets = buckets.count(), wanted.count()
     of_one = rows.join(twice.where("a != z"), "id").where("fp != a").select("a", F.col("fp").alias("b"))
-    links = written(of_one.distinct(), "minhash-links")
+    links = written(of_one.distinct(), "minhash-links", rows=2 * twice.count())
     asked, turn, spent = buckets.where("v != u"), 0, []
     while True:
         # a set stands in s.bands buckets at most, so its leaders are few
         pairs = asked.groupBy("v").agg(F.mode("u", True).alias("u"))
-        likely = written(_likely(pairs, wanted, s), "minhash-likely")
-        found = written(_verified(likely, sets, s).where("linked").select("a", "b"), "minhash-found")
-        links, old = written(links.unionByName(found), "minhash-links"), links
-        comps, turn = components(links), turn + 1
-        known = written(_classed(buckets, comps), "minhash-known")
-        mains = written(_mains(known, turn), "minhash-mains")
-        enough = 10 * found.count() < likely.count()
+        likely = written(_likely(pairs, wanted, s), "minhash-likely", n_sets, s.per_task)
+        n_likely = likely.count()
+        found = written(_verified(likely, sets, s).where("linked").select("a", "b"), "minhash-found", n_likely, s.per_task)
+        links, old = written(links.unionByName(found), "minhash-links", links.count() + n_likely), links
+        comps, turn = components(links, rows=links.count()), turn + 1
+        known = written(_classed(buckets, comps), "minhash-known", n_rows)
+        mains = written(_mains(known, turn), "minhash-mains", n_rows)
+        enough = 10 * found.count() < n_likely
         discard(old, likely, found, comps, *spent)
         rows_left, meets = mains.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
         spent = [known, mains]
@@ -377,7 +380,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     # what no leader has joined to the rest of its bucket meets all of it
     open_ = known.join(mains.drop("u"), "key").join(wanted.drop("one"), "v")
     rest = _rest_links(open_, wanted, sets, s)
-    final = components(links.unionByName(rest))
+    final = components(links.unionByName(rest), rows=links.count() + rest.count())
     discard(buckets, sets, wanted, links, rest, *spent)
 
     joined = final.select(F.col("node").alias("fp"), "comp").join(nodes.select("fp", "one"), "fp")
