@@ -70,9 +70,9 @@ def spaced_words(text: Column) -> Column:
 
 def without_stop_words(words: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words that are neither stop words nor digits; all of them if none is left."""
-    stop = F.array(*map(F.lit, stop_words))
-    left = F.filter(words, lambda x: ~F.array_contains(stop, F.lower(x)) & ~x.rlike("^[0-9]+$"))
-    return F.when(F.size(left) == 0, words).otherwise(left)
+    left = F.filter(words, lambda x: ~F.lower(x).isin(*stop_words) & ~x.rlike("^[0-9]+$"))
+    # what is left is bound once, as the element of a list, so that it isn't filtered again for its size
+    return F.get(F.transform(F.array(left), lambda own: F.when(F.size(own) == 0, words).otherwise(own)), F.lit(0))
 
 
 def matrix_tokens(text: Column) -> Column:

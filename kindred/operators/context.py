@@ -93,17 +93,18 @@ def flat(properties: DataFrame, layered: DataFrame, split_capitals: bool = False
     return grid.join(own, [*KEYS, "property"], "left").select(*KEYS, "property", F.coalesce("w", F.lit(-1)).alias("v"))
 
 
-def dense(c: Context) -> DataFrame:
-    """(kg, etype, property, v, h, i) of all cells: for export. Its size is types times properties of each ontology, the size of the matrix itself."""
+def dense(c: Context, weight_tag: bool = True) -> DataFrame:
+    """(kg, etype, property, v, h, i) of all cells: for export. Its size is types times properties of each ontology, the size of the matrix itself. Without weight_tag, h is -1 below 0."""
     grid = c.meta.select(*KEYS, "appended").join(c.by_property.select("kg", "property", "n", "neg", "ig"), "kg")
     cell = grid.join(c.cells, [*KEYS, "property"], "left").join(c.unknown.withColumn("idk", F.lit(True)), [*KEYS, "property"], "left")
-    return cell.select(*KEYS, "property", *values(F.col("v"), F.col("idk").isNotNull() | F.col("appended"), F.col("neg"), F.col("n"), F.col("ig")))
+    return cell.select(*KEYS, "property", *values(F.col("v"), F.col("idk").isNotNull() | F.col("appended"), F.col("neg"), F.col("n"), F.col("ig"), weight_tag))
 
 
-def values(v: Column, zero: Column, neg: Column, n: Column, ig: Column) -> list[Column]:
+def values(v: Column, zero: Column, neg: Column, n: Column, ig: Column, weight_tag: bool = True) -> list[Column]:
     """v, h and i of a cell: weight; number of types that have the property, with the weight's sign; information gain, times h below 0."""
     weight = F.when(v.isNotNull(), v).when(zero, F.lit(0)).otherwise(neg)
     h = F.signum(weight).cast("int") * n
+    h = h if weight_tag else F.greatest(h, F.lit(-1))
     return [weight.alias("v"), h.alias("h"), F.when(weight > 0, ig).otherwise(h * ig).alias("i")]
 
 

@@ -70,31 +70,37 @@ def layers(properties: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def layers_in_order(properties: DataFrame, edges: DataFrame, order: str) -> DataFrame:
-    """(kg, etype, layer) where parents may lie on different layers: a breadth-first queue in order of appearance, in which the last parent to leave the
-    queue decides, while a type's children get their layer when the type leaves the queue first.
+    """(kg, etype, layer) where parents may lie on different layers, by the rule of a queue that serves types breadth-first in order of appearance: each type is
+    served once, when it is reached first, and hands the layer below its own of that moment to its children; what the last parent handed down stays.
 
-    properties and edges carry `order`, their place in the source. An ontology's hierarchy goes to one task: it is a schema, and its queue is sequential.
+    properties and edges carry `order`, their place in the source. An ontology's hierarchy goes to one task: it is a schema, and the order of serving runs through all of it.
     """
     a = properties.groupBy("kg", "etype").agg(F.min(order).alias("at")).select("kg", F.col("etype").alias("x"), F.lit(None).cast("string").alias("y"), "at")
     b = edges.select("kg", F.col("child").alias("x"), F.col("parent").alias("y"), F.col(order).alias("at"))
 
-    def queue(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at", kind="stable")
-        steps = pdf[pdf["y"].notna()]
-        children: dict[str, list[str]] = {}
-        for child, parent in zip(steps["x"], steps["y"], strict=True):
-            children.setdefault(parent, []).append(child)
-        below = set(steps["x"])
-        layer = {x: 1 for x in pdf[pdf["y"].isna()]["x"] if x not in below}
-        line = list(layer)
-        for one in line:
-            for child in children.pop(one, ()):
-                if child != one:
-                    line.append(child)
-                    layer[child] = layer[one] + 1
-        return pd.DataFrame({"kg": pdf["kg"].iloc[0], "etype": list(layer), "layer": list(layer.values())})
-
-    return a.unionByName(b).groupBy("kg").applyInPandas(queue, "kg string, etype string, layer int")
+        every = pdf[pdf["y"].notna()]
+        tops = pdf.loc[pdf["y"].isna() & ~pdf["x"].isin(every["x"]), "x"].drop_duplicates()
+        steps = every.loc[every["x"] != every["y"], ["x", "y"]].reset_index(drop=True)
+        # the order of serving, a breadth at a time: by the parent that reaches a type first, then by place
+        rank = pd.Series(range(len(tops)), index=tops.to_numpy(), dtype="int64")
+        front = rank
+        while len(front):
+            reached = steps[steps["y"].isin(front.index) & ~steps["x"].isin(rank.index)]
+            new = reached.assign(r=reached["y"].map(front)).sort_values("r", kind="stable")["x"].drop_duplicates()
+            front = pd.Series(range(len(rank), len(rank) + len(new)), index=new.to_numpy(), dtype="int64")
+            rank = pd.concat([rank, front])
+        # the last parent served before a type is served decides what it hands down; the last of all decides its layer
+        served = steps[steps["y"].isin(rank.index)].assign(p=lambda d: d["y"].map(rank), c=lambda d: d["x"].map(rank)).sort_values("p", kind="stable")
+        guide = served[served["p"] < served["c"]].drop_duplicates("x", keep="last").set_index("x")["y"].to_dict()
+        depth: dict[str, int] = {}
+        for x in rank.index:
+            depth[x] = depth[guide[x]] + 1 if x in guide else 1
+        last = served.drop_duplicates("x", keep="last").set_index("x")["y"].to_dict()
+        return pd.DataFrame({"kg": pdf["kg"].iloc[0], "etype": list(rank.index), "layer": [depth[last[x]] + 1 if x in last else 1 for x in rank.index]})
+
+    return a.unionByName(b).groupBy("kg").applyInPandas(ranked, "kg string, etype string, layer int")
 
 
 def hierarchy_table(properties: DataFrame, edges: DataFrame, closure: DataFrame, layered: DataFrame) -> DataFrame:

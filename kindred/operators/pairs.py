@@ -23,16 +23,16 @@ def labelled(grid: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
 
 
 def sample(negatives: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
-    """A sample without replacement of sizes.k rows of each alignment, the least by a hash of labels and seed: equal whatever the partitioning.
+    """A sample without replacement of sizes.k rows of each alignment, the least by the md5 of labels and seed: equal whatever the partitioning, and in SQL.
 
     Fails where an alignment has fewer rows than asked for.
     """
-    order = F.xxhash64("label1", "label2", F.lit(seed))
+    order = F.md5(F.concat_ws("\x1f", "label1", "label2", F.lit(str(seed))))
     # a threshold by rank: hashes are ranked over ranges, so no alignment is sorted in one task
-    ranged = negatives.withColumn("kd_h", order).withColumn("kd_bin", F.shiftright("kd_h", 54))
+    ranged = negatives.withColumn("kd_h", order).withColumn("kd_bin", F.left("kd_h", F.lit(3)))
     bins = ranged.groupBy("kg1", "kg2", "kd_bin").agg(F.count("*").alias("c"))
-    lower = bins.alias("a").join(bins.alias("b"), (F.col("a.kg1") == F.col("b.kg1")) & (F.col("a.kg2") == F.col("b.kg2")) & (F.col("b.kd_bin") < F.col("a.kd_bin")), "left")
-    before = lower.groupBy("a.kg1", "a.kg2", "a.kd_bin").agg(F.coalesce(F.sum("b.c"), F.lit(0)).alias("before"))
+    lower = Window.partitionBy("kg1", "kg2").orderBy("kd_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 bins an alignment
+    before = bins.select("kg1", "kg2", "kd_bin", F.coalesce(F.sum("c").over(lower), F.lit(0)).alias("before"))
     total = bins.groupBy("kg1", "kg2").agg(F.sum("c").alias("have"))
     rank = F.row_number().over(Window.partitionBy("kg1", "kg2", "kd_bin").orderBy("kd_h", "label1", "label2"))
     asked = sizes.join(total, ["kg1", "kg2"], "left")

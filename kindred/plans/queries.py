@@ -11,7 +11,7 @@ from kindred.functions import similarity, terms
 from kindred.operators import context, hierarchy, learn, lexical, pairs, scores
 from kindred.plans.engine import EtypeEngine
 from kindred.plans.scratch import written
-from kindred.sources.fixtures import alignment, balances, customers, table
+from kindred.sources.fixtures import BUCKETS, alignment, balances, customers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,11 +37,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 _A = """
 own AS (SELECT DISTINCT 'A1' AS kg, s_nationkey AS nation, 'b' || CAST(floor((s_acctbal + 1000) / 500) AS BIGINT) AS property FROM supplier
-  UNION SELECT DISTINCT 'A2', c_nationkey, 'B_' || CAST(floor((c_acctbal + 1000) / 500) AS BIGINT) FROM customer WHERE c_custkey % 15 = 0),
+  UNION SELECT 'A2', c_nationkey, property FROM (SELECT c_nationkey, 'B_' || CAST(floor((c_acctbal + 1000) / 500) AS BIGINT) AS property FROM customer) b GROUP BY c_nationkey, property HAVING count(*) * 22 >= (SELECT count(*) FROM customer c WHERE c.c_nationkey = b.c_nationkey)),
 ep AS (SELECT kg, 'N' || nation AS etype, property FROM own
   UNION ALL SELECT kg, 'R' || n_regionkey, property FROM own JOIN nation ON nation = n_nationkey GROUP BY kg, n_regionkey, property HAVING count(*) >= 2),
 edges AS (SELECT kg, 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation, (SELECT DISTINCT kg FROM own)),
-declared AS (SELECT kg, child AS etype FROM edges UNION SELECT kg, parent FROM edges)
+declared AS (SELECT kg, child AS etype FROM edges UNION SELECT kg, parent FROM edges UNION SELECT 'A1', 'P' || n_nationkey FROM nation WHERE length(n_name) > 6)
 """
 _B = """
 bo AS (SELECT DISTINCT c_custkey, c_nationkey, 'y' || year(o_orderdate) || '_' || o_orderstatus AS property FROM customer JOIN orders ON c_custkey = o_custkey),
@@ -124,12 +124,14 @@ def quick_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", terms.quick_label(F.col("c_name")).alias("label"))
 
 
-@query("""SELECT DISTINCT o_orderpriority, array_to_string(list_transform(CASE WHEN contains(o_orderpriority, '_') THEN string_split(o_orderpriority, '_') WHEN contains(o_orderpriority, '-') THEN string_split(o_orderpriority, '-') ELSE regexp_split_to_array(regexp_replace(regexp_replace(o_orderpriority, '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '([a-z])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END, lambda x: lower(x)), '/') AS words FROM orders""")
+@query("""SELECT DISTINCT o_orderpriority, array_to_string(list_transform(CASE WHEN contains(o_orderpriority, '_') THEN string_split(o_orderpriority, '_') WHEN contains(o_orderpriority, '-') THEN string_split(o_orderpriority, '-') ELSE regexp_split_to_array(regexp_replace(regexp_replace(o_orderpriority, '([A-Z])([A-Z][a-z])', '\\1' || chr(1) || '\\2', 'g'), '([a-z])([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) END, lambda x: lower(x)), '/') AS words FROM (SELECT o_orderpriority FROM orders UNION ALL SELECT 'has' || p_brand || 'Name' FROM part)""")
 def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderpriority").distinct().select("o_orderpriority", F.array_join(terms.name_words(F.col("o_orderpriority")), "/").alias("words"))
+    names = table(spark, sf_dir, "orders").select("o_orderpriority").unionByName(table(spark, sf_dir, "part").select(F.concat(F.lit("has"), "p_brand", F.lit("Name")).alias("o_orderpriority")))
+    return names.distinct().select("o_orderpriority", F.array_join(terms.name_words(F.col("o_orderpriority")), "/").alias("words"))
 
 
-@query()
+@query(r"""WITH n AS (SELECT DISTINCT array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name FROM part)
+SELECT name, array_to_string(string_split(regexp_replace(regexp_replace(replace(name, ' ', ''), '([A-Z])([A-Z][a-z])', '\1' || chr(1) || '\2', 'g'), '([a-z])([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), '/') AS words FROM n""")
 def camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select(F.initcap("p_name").alias("name")).distinct()
     return names.select("name", F.array_join(terms.camel_words(F.replace("name", F.lit(" "), F.lit(""))), "/").alias("words"))
@@ -221,6 +223,17 @@ def layers_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.layers_in_order(own.withColumn("at", F.concat("etype", "property")), edges.withColumn("at", F.col("child")), "at")
 
 
+@query("""SELECT 'x' AS kg, 'N' || n_nationkey AS etype, CASE WHEN n_nationkey = 0 THEN 1 WHEN n_nationkey < 5 THEN CAST(n_nationkey + 1 AS INTEGER) WHEN n_nationkey % 5 = 0 THEN 2 ELSE CAST(n_nationkey % 5 + 2 AS INTEGER) END AS layer FROM nation""")
+def layers_of_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations hang on the one before them in their five, and, listed first, on N0: the later parent in the queue decides."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")).where("k > 0")
+    name = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    direct = n.select(name(F.col("k")).alias("child"), F.lit("N0").alias("parent"), F.format_string("a%03d", "k").alias("at"))
+    chain = n.where("k % 5 > 0 and k > 5 or k between 2 and 4").select(name(F.col("k")).alias("child"), name(F.col("k") - 1).alias("parent"), F.format_string("b%03d", "k").alias("at"))
+    own = n.limit(1).select(F.lit("x").alias("kg"), F.lit("N0").alias("etype"), F.lit("p").alias("property"), F.lit("0").alias("at"))
+    return hierarchy.layers_in_order(own, direct.unionByName(chain).select(F.lit("x").alias("kg"), "*"), "at")
+
+
 @query(
     _sql(_A, _CLOSURE, out="""
 , names AS (SELECT kg, etype FROM ep UNION SELECT kg, child FROM edges UNION SELECT kg, parent FROM edges)
@@ -271,6 +284,11 @@ def fca_v_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.flat(own, hierarchy.layers(own, edges))
 
 
+@query(_sql(_A, _CLOSURE, _FCA, out="SELECT kg, etype, property, CASE WHEN h < 0 THEN -1 ELSE h END AS h FROM fca"))
+def fca_h_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.dense(_context(balances(spark, sf_dir)), weight_tag=False).select("kg", "etype", "property", F.col("h").cast("int").alias("h"))
+
+
 @query(_sql(_A, _CLOSURE, _FCA, out="SELECT kg, etype, property, h FROM fca"))
 def fca_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.dense(_context(balances(spark, sf_dir))).select("kg", "etype", "property", F.col("h").cast("int").alias("h"))
@@ -286,12 +304,13 @@ def fca_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(context.dense(_context(customers(spark, sf_dir))), "i").withColumn("h", F.col("h").cast("int"))
 
 
-@query(_sql(_A, _CLOSURE, _FCA, out="SELECT etype, b0, b1, b2 FROM (PIVOT (SELECT etype, property, v FROM fca WHERE kg = 'A1' AND property IN ('b0', 'b1', 'b2')) ON property IN ('b0', 'b1', 'b2') USING first(v))"))
+_WIDE = [f"b{i}" for i in range(BUCKETS)]
+
+
+@query(_sql(_A, _CLOSURE, _FCA, out=f"SELECT etype, {', '.join(_WIDE)} FROM (PIVOT (SELECT etype, property, v FROM fca WHERE kg = 'A1') ON property IN ({', '.join(repr(b) for b in _WIDE)}) USING first(v))"))
 def fca_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = context.dense(_context(balances(spark, sf_dir))).where("kg = 'A1' and property in ('b0', 'b1', 'b2')")
-    names = {"b0", "b1", "b2"}
-    out = context.wide(cells, "v")
-    return out.select("etype", *(F.col(c) if c in out.columns else F.lit(None).cast("int").alias(c) for c in sorted(names)))
+    out = context.wide(context.dense(_context(balances(spark, sf_dir))).where("kg = 'A1'"), "v")
+    return out.select("etype", *(F.col(c) if c in out.columns else F.lit(None).cast("int").alias(c) for c in _WIDE))
 
 
 @query(_sql(_A, _CLOSURE, _FCA, out="SELECT kg, property, CAST(n AS INTEGER) AS n, round(CAST(ig AS DOUBLE), 6) + 0.0 AS ig FROM ig"))
@@ -355,7 +374,8 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.etype_pairs(names, truth, 4).where("match = 1")
 
 
-@query()
+@query(f"""{_NAMES}, g AS (SELECT a.p_name AS label1, b.p_name AS label2, row_number() OVER (ORDER BY md5(a.p_name || chr(31) || b.p_name || chr(31) || '42'), a.p_name, b.p_name) AS r FROM n a, n b WHERE NOT (a.p_name = b.p_name AND a.p_name IN (SELECT p_name FROM t)))
+SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM g WHERE r <= 4 * 2 * (SELECT count(*) FROM t)""")
 def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, truth = _named_parts(spark, sf_dir)
     return pairs.etype_pairs(names, truth, 4).where("match = 0")
@@ -367,6 +387,26 @@ def property_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.property_pairs(own, alignment(spark, sf_dir), blind=True)
 
 
+@query(
+    _sql(_A, out="""
+, g AS (SELECT a.property AS label1, b.property AS label2, CAST(a.property = replace(b.property, 'B_', 'b') AS INTEGER) AS match FROM (SELECT DISTINCT property FROM ep WHERE kg = 'A1') a, (SELECT DISTINCT property FROM ep WHERE kg = 'A2') b),
+s AS (SELECT *, row_number() OVER (ORDER BY md5(label1 || chr(31) || label2 || chr(31) || '42'), label1, label2) AS r FROM g WHERE match = 0)
+SELECT 'A1' AS kg1, 'A2' AS kg2, label1, label2, match, 'Property' AS type FROM g WHERE match = 1 UNION ALL SELECT 'A1', 'A2', label1, label2, match, 'Property' FROM s WHERE r <= 2 * (SELECT count(*) FROM g WHERE match = 1)""")
+)
+def property_pairs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = hierarchy.etype_properties(balances(spark, sf_dir)).select("kg", F.col("property").alias("name")).distinct()
+    truth = own.where("kg = 'A1'").select(F.lit("A1").alias("kg1"), F.lit("A2").alias("kg2"), F.col("name").alias("e1"), F.replace("name", F.lit("b"), F.lit("B_")).alias("e2"))
+    return pairs.property_pairs(own, truth, blind=False, m_factor=2)
+
+
+@query(f"""{_NAMES}, g AS (SELECT a.p_name AS label1, b.p_name AS label2, row_number() OVER (ORDER BY md5(a.p_name || chr(31) || b.p_name || chr(31) || '42'), a.p_name, b.p_name) AS r FROM n a, n b WHERE NOT (a.p_name = b.p_name AND a.p_name IN (SELECT p_name FROM t)))
+SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM g WHERE r <= 4 * 2 * (SELECT count(*) FROM t) UNION ALL SELECT 'P', 'Q', p_name, p_name, 1, 'Etype' FROM t, range(2) UNION ALL SELECT 'P', 'Q', a.p_brand, b.p_brand, -1, 'Property' FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_brand FROM part) b""")
+def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names, truth = _named_parts(spark, sf_dir)
+    brands = table(spark, sf_dir, "part").select(F.explode(F.array(F.lit("P"), F.lit("Q"))).alias("kg"), F.col("p_brand").alias("name")).distinct()
+    return pairs.candidate_pairs(names, brands, truth, blind=True, m_factor=4)
+
+
 def _mapped(spark: SparkSession, triples: DataFrame, sf_dir: str) -> DataFrame:
     own = hierarchy.etype_properties(triples).select("kg", F.col("property").alias("name")).distinct()
     return pairs.property_map(own, alignment(spark, sf_dir))
@@ -414,29 +454,28 @@ def sim_lcs_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_name_pairs(spark, sf_dir).select("label1", "label2", similarity.longest_common(F.col("label1"), F.col("label2"), substring=True).alias("sim")), "sim")
 
 
-@query("""WITH w AS (SELECT 'v' || vec_id AS word, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings WHERE vec_id < 60) SELECT 'L' || a.label AS label1, 'L' || b.label AS label2, round(greatest(0, max(list_cosine_similarity(a.e, b.e))), 6) AS sim FROM w a, w b GROUP BY ALL""")
+@query("""WITH w AS (SELECT CAST(embedding AS DOUBLE[]) AS e, label, vec_id // 20 AS k FROM embeddings) SELECT 'L' || a.label AS label1, 'L' || b.label AS label2, round(greatest(0, max(list_cosine_similarity(a.e, b.e))), 6) AS sim FROM w a JOIN w b USING (k) GROUP BY a.label, b.label""")
 def sim_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "embeddings").where("vec_id < 60")
+    own = table(spark, sf_dir, "embeddings")
     vectors = own.select(F.concat(F.lit("v"), "vec_id").alias("word"), "embedding")
-    one = own.select(F.lit(1).alias("k"), F.concat(F.lit("L"), "label").alias("label"), F.concat(F.lit("v"), "vec_id").alias("w"))
+    one = own.select(F.floor(F.col("vec_id") / 20).alias("k"), F.concat(F.lit("L"), "label").alias("label"), F.concat(F.lit("v"), "vec_id").alias("w"))  # twenty words a name
     words = one.select("k", F.col("label").alias("label1"), F.col("w").alias("w1")).join(one.select("k", F.col("label").alias("label2"), F.col("w").alias("w2")), "k").drop("k")
     return rounded(lexical.vector_similarity(words, vectors), "sim")
 
 
-_TREE = """WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer WHERE c_custkey <= 60 UNION ALL SELECT 'R' || r_regionkey, 'root' FROM region),
+_TREE = """WITH RECURSIVE e AS (SELECT 'N' || n_nationkey AS child, 'R' || n_regionkey AS parent FROM nation UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer UNION ALL SELECT 'R' || r_regionkey, 'root' FROM region),
 up AS (SELECT child AS node, parent AS anc FROM e UNION SELECT up.node, e.parent FROM up JOIN e ON up.anc = e.child), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e),
 d AS (SELECT node, 1 + (SELECT count(*) FROM up WHERE up.node = nodes.node) AS depth FROM nodes), self AS (SELECT * FROM up UNION SELECT node, node FROM nodes)"""
 
 
-@query(f"""{_TREE}, p AS (SELECT x.node AS a, y.node AS b, max(d.depth) AS k FROM self x JOIN self y ON x.anc = y.anc JOIN d ON d.node = x.anc WHERE x.node LIKE 'C%' AND y.node LIKE 'C%' GROUP BY ALL) SELECT a, b, round(2.0 * k / (p1.depth + p2.depth), 6) AS wup FROM p JOIN d p1 ON p1.node = a JOIN d p2 ON p2.node = b""")
+@query(f"""{_TREE}, p AS (SELECT x.node AS a, y.node AS b, max(d.depth) AS k FROM self x JOIN self y ON x.anc = y.anc JOIN d ON d.node = x.anc WHERE x.node LIKE 'C%' AND y.node LIKE 'N%' GROUP BY ALL) SELECT a, b, round(2.0 * k / (p1.depth + p2.depth), 6) AS wup FROM p JOIN d p1 ON p1.node = a JOIN d p2 ON p2.node = b""")
 def sim_wup(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    few = table(spark, sf_dir, "customer").where("c_custkey <= 60")
-    tree = table(spark, sf_dir, "nation").select(name("N", "n_nationkey").alias("child"), name("R", "n_regionkey").alias("parent"))
-    tree = tree.unionByName(few.select(name("C", "c_custkey").alias("child"), name("N", "c_nationkey").alias("parent")))
+    people, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    tree = nation.select(name("N", "n_nationkey").alias("child"), name("R", "n_regionkey").alias("parent"))
+    tree = tree.unionByName(people.select(name("C", "c_custkey").alias("child"), name("N", "c_nationkey").alias("parent")))
     tree = tree.unionByName(table(spark, sf_dir, "region").select(name("R", "r_regionkey").alias("child"), F.lit("root").alias("parent")))
-    one = few.select(F.lit(1).alias("k"), name("C", "c_custkey").alias("a"))
-    both = one.join(one.select("k", F.col("a").alias("b")), "k")
+    both = people.select(name("C", "c_custkey").alias("a")).crossJoin(F.broadcast(nation.select(name("N", "n_nationkey").alias("b"))))  # 25 nations
     return rounded(lexical.wu_palmer(both, tree), "wup")
 
 

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.terms import fragment, local_name, union_label, with_labels
+from kindred.plans.scratch import written
 
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 XML_BASE = "{http://www.w3.org/XML/1998/namespace}base"
 GRAPH = "kg string, subject string, predicate string, object string, object_kind string"
-#: Columns of the exported table of triples.
+# Columns of the exported table, and rows of one exported file, as spreadsheets hold no more with a header.
 EXPORT = ["Date", "Subject", "Predicate", "Object", "SubjectTerm", "PredicateTerm", "ObjectTerm", "Domain", "Domain Version", "Domain Date", "URI", "Title", "Languages"]
-TEXT_ROWS = 1_048_574  # rows of one exported file, as spreadsheets hold no more with a header
+TEXT_ROWS = 1_048_574
 
 
 def rdf_xml_triples(text: str, base: str = "") -> Iterator[tuple[str, str, str, str]]:
@@ -129,7 +130,7 @@ def unions(graph: DataFrame) -> DataFrame:
     while not front.isEmpty():  # a round for each place in a list; lists of classes are short
         here = front.join(first, ["kg", "cell"]).select("kg", "bnode", "pos", "member")
         found = here if found is None else found.unionByName(here)
-        front = front.join(rest, ["kg", "cell"]).select("kg", "bnode", F.col("next").alias("cell"), (F.col("pos") + 1).alias("pos")).where("cell not like '%nil'")
+        front = written(front.join(rest, ["kg", "cell"]).select("kg", "bnode", F.col("next").alias("cell"), (F.col("pos") + 1).alias("pos")).where("cell not like '%nil'"), "unions")
     if found is None:
         return graph.sparkSession.createDataFrame([], "kg string, bnode string, members string")
     ordered = F.array_sort(F.collect_list(F.struct("pos", local_name(F.col("member")).alias("m"))))

@@ -1,5 +1,10 @@
+import zipfile
+
+from kindred.__main__ import main
 from kindred.functions import similarity, terms
-from kindred.sources import ontology
+from kindred.operators import context
+from kindred.plans.engine import EtypeEngine
+from kindred.sources import ontology, tables
 from pyspark.sql import functions as F
 
 OWL = """<?xml version="1.0"?>
@@ -44,3 +49,43 @@ def test_terms_and_similarities(spark):
     ).collect()
     assert (r.local, r.words, r.lcs, r.sub, r.n, r.frag) == ("a", ["has", "html", "name"], 4, 2, 6 / 7, "")
     assert (empty.local, empty.lcs, empty.n, empty.lev, empty.frag) == ("", 0, 0, 1, None)
+
+
+def test_spreadsheets(spark, tmp_path):
+    """Shared, inline and plain cells, gaps, and a file that an editor holds open."""
+    sheet = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+    rows = '<row><c r="A1" t="s"><v>0</v></c><c r="B1" t="inlineStr"><is><t>SubjectTerm</t></is></c><c r="C1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c><c r="C2" t="s"><v>2</v></c></row><row><c r="B3" t="inlineStr"><is><t>x</t></is></c></row>'
+    strings = '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>Domain</t></si><si><t>ObjectTerm</t></si><si><r><t>a</t></r><r><t> b</t></r></si></sst>'
+    for name in ("one.xlsx", "~one.xlsx"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", sheet.format(rows))
+            z.writestr("xl/sharedStrings.xml", strings)
+    got = tables.read_xlsx(spark, str(tmp_path), ["Domain", "SubjectTerm", "ObjectTerm", "none"])
+    assert {tuple(r) for r in got.collect()} == {("7", None, "a b", None, "one.xlsx"), (None, "x", None, None, "one.xlsx")}
+
+
+def test_steps_from_files_to_measures(spark, tmp_path):
+    """The command's steps, each from what those before wrote; contexts come back as they were; two feature tables train together."""
+    (tmp_path / "o").mkdir()
+    (tmp_path / "a").mkdir()
+    for kg in ("k1", "k2"):
+        classes = "".join(f'<owl:Class rdf:about="#C{i}"/>' for i in range(12))
+        props = "".join(f'<owl:ObjectProperty rdf:about="#p{i}"><rdfs:domain rdf:resource="#C{i}"/><rdfs:domain rdf:resource="#C{i * 5 % 12}"/></owl:ObjectProperty>' for i in range(12))
+        (tmp_path / f"o/{kg}.owl").write_text(OWL[: OWL.index("<owl:Class")] + classes + props + "</rdf:RDF>")
+    cells = "".join(f'<map><Cell><entity1 rdf:resource="http://x.org/o#C{i}"/><entity2 rdf:resource="http://x.org/o#C{i}"/></Cell></map>' for i in range(4))
+    (tmp_path / "a/k1-k2.rdf").write_text(f'<Alignment xmlns:rdf="r">{cells}</Alignment>')
+    path = lambda name: str(tmp_path / name)
+    main(["parse", "--ontologies", path("o"), "--out", path("t")])
+    main(["context", "--triples", path("t"), "--out", path("c")])
+    for out in ("f", "g"):
+        main(["match", "--contexts", path("c"), "--alignments", path("a"), "--blind", "--out", path(out)])
+    main(["train", "--features", path("f"), path("g"), "--model", "DecisionTree", "--out", path("r")])
+    c = tables.read_context(spark, path("c"))
+    want = EtypeEngine(spark).build_context(ontology.read_exported(spark, path("t")))
+    for name in tables.PARTS:
+        assert sorted(map(str, getattr(c, name).select(getattr(want, name).columns).collect())) == sorted(map(str, getattr(want, name).collect()))
+    assert tables.read_features(spark, path("f"), path("g")).count() == 2 * tables.read_features(spark, path("f")).count() > 0
+    assert spark.read.option("header", True).csv(path("r/true")).count() > 0
+    one = context.dense(c).where("kg = 'k1'")
+    tables.write_wide(one, c.meta.where("kg = 'k1'"), "v", path("w"))
+    assert {(r.etype, r.property, int(r.v)) for r in tables.read_wide(spark, path("w"), "k1").collect()} == {(r.etype, r.property, r.v) for r in one.collect()}
