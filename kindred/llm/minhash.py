@@ -318,10 +318,11 @@ def _rest_links(open_: DataFrame, wanted: DataFrame, sets: DataFrame, s: Setting
     return found
 
 
-def _classed(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """(key, v, comp) of bucket rows: the class of a set, as a number; one without a link is its own."""
+def _classed(wanted: DataFrame, comps: DataFrame, s: Settings) -> DataFrame:
+    """(key, v, comp) of each band of each wanted set: the class of a set, as a number; one without a link is its own. Classes join sets, not their many bands; bands
+    that no other set has are in no bucket of several classes."""
     classes = comps.select(F.xxhash64("node").alias("v"), F.xxhash64("comp").alias("comp"))
-    return buckets.join(classes, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("comp"))
+    return wanted.select("v", "sig").join(classes, "v", "left").select(F.explode(F.array(*_keys(s))).alias("key"), "v", F.coalesce("comp", "v").alias("comp"))
 
 
 def _mains(known: DataFrame, turn: int) -> DataFrame:
@@ -355,7 +356,7 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
     # rows of one id with several sets
     twice = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("k"), F.min("fp").alias("a"), F.max("fp").alias("z")).where("k > 1")
     twice = written(twice.select("id", "a", "z"), "minhash-twice")
-    n_rows, n_sets = buckets.count(), wanted.count()
+    n_sets = wanted.count()
     of_one = rows.join(twice.where("a != z"), "id").where("fp != a").select("a", F.col("fp").alias("b"))
     links = written(of_one.distinct(), "minhash-links", rows=2 * twice.count())
     asked, turn, spent = buckets.where("v != u"), 0, []
@@ -367,8 +368,8 @@ def near_groups(docs: DataFrame, s: Settings = Settings(), id_col: str = "doc_id
         found = written(_verified(likely, sets, s).where("linked").select("a", "b"), "minhash-found", n_likely, s.per_task)
         links, old = written(links.unionByName(found), "minhash-links", links.count() + n_likely), links
         comps, turn = components(links, rows=links.count()), turn + 1
-        known = written(_classed(buckets, comps), "minhash-known", n_rows)
-        mains = written(_mains(known, turn), "minhash-mains", n_rows)
+        known = written(_classed(wanted, comps, s), "minhash-known", s.bands * n_sets)
+        mains = written(_mains(known, turn), "minhash-mains", s.bands * n_sets)
         enough = 10 * found.count() < n_likely
         discard(old, likely, found, comps, *spent)
         rows_left, meets = mains.agg(F.sum("size"), F.sum(F.col("size") * (F.col("size") - F.col("most")))).first()
