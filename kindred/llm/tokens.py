@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -20,7 +21,7 @@ from kindred.llm.common import byte_slices, chunks, discard, mapped, shared_dir,
 
 MAGIC = b"KDHF"
 HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a checkpoint, tokens, crc32 of the code lengths, bits
-#: Pieces, and bytes of them and their ids, that a worker remembers at most; beyond it, it starts anew. Longer pieces than LONG bytes are not remembered.
+#: Pieces, and bytes of them and their ids, that a worker remembers at most; beyond it, it keeps those that came back, half as many at most. Longer pieces than LONG bytes are not remembered.
 MEMORY, MEMORY_BYTES, LONG = 400_000, 40_000_000, 256
 #: Bytes of text cut in one step, about, or one text.
 STEP = 4_000_000
@@ -87,6 +88,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores; the library's own threads would only wait for work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -100,6 +102,23 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.bytes = 0
         self.first, self.size, self.ids = array("q"), array("q"), array("H" if self.kind.itemsize == 2 else "I")  # by number of a piece: its ids' place and count; ids
+        self.uses = np.zeros(0, np.int32)  # by number: steps in which it stood
+
+    def _thin(self) -> None:
+        """Forgets the pieces that never came back, and of the others the least used beyond half the memory."""
+        uses = self.uses[: len(self.first)]
+        often = np.sort(uses[uses > 1])[::-1]
+        least = max(2, int(often[MEMORY // 2])) if len(often) > MEMORY // 2 else 2
+        kept = [(p, k) for p, k in self.known.items() if uses[k] > least or uses[k] == least == 2][: MEMORY // 2]
+        at = np.array([k for _, k in kept], np.int64)
+        first, size, ids, used = np.array(self.first)[at], np.array(self.size)[at], np.array(self.ids), uses[at] // 2
+        end = np.cumsum(size)
+        own = ids[np.repeat(first - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        self.forget()
+        self._keep([p for p, _ in kept], own, size)
+        self.uses = used.astype(np.int32)
+        if self.bytes > MEMORY_BYTES // 2:
+            self.forget()
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -153,7 +172,7 @@ class Encoder:
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end); a null text has none."""
         if len(self.known) > MEMORY or self.bytes > MEMORY_BYTES:
-            self.forget()
+            self._thin()
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         body = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -164,6 +183,9 @@ class Encoder:
         places = np.append(cut, len(body)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(places), pa.py_buffer(body)]).dictionary_encode()
         number = self.numbers(pieces.dictionary.to_pylist())
+        if len(self.uses) < len(self.first):
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.first) - len(self.uses), np.int32)])
+        self.uses[number] += 1
         first, size, ids = np.frombuffer(self.first, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.ids, self.kind)
         which = pieces.indices.to_numpy()
         size, first = size[number].astype(np.int32)[which], first[number].astype(np.int32)[which]

@@ -39,6 +39,15 @@ def test_encoder_equals_the_library():
     assert encoded(e, [None, ""]) == [[], []] and max(map(len, e.known)) <= tokens.LONG
 
 
+def test_a_small_memory_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 60)
+    e = tokens.Encoder(tokens.default_tokenizer())
+    texts = [prose(i, 30) for i in range(40)]
+    want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [encoded(e, texts[i : i + 3]) for i in range(0, 40, 3)]
+    assert [x for part in got for x in part] == want and len(e.known) < 300 and (e.uses > 1).any()
+
+
 @pytest.mark.parametrize("longest", [4, 7, 20])
 def test_codes_are_canonical_and_round_trip(longest):
     r = random.Random(1)
