@@ -19,14 +19,14 @@ _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def write_context(c: Context, path: str) -> None:
-    """Each table of a context as parquet, a folder an ontology."""
+    """Each table of a context as parquet; not by folders an ontology, as empty tables must keep their columns."""
     for name in PARTS:
-        getattr(c, name).write.partitionBy("kg").parquet(f"{path}/{name}")
+        getattr(c, name).write.parquet(f"{path}/{name}")
 
 
 def read_context(spark: SparkSession, path: str) -> Context:
     """What write_context wrote."""
-    return Context(*(spark.read.parquet(f"{path}/{name}").withColumn("kg", F.col("kg").cast("string")) for name in PARTS))
+    return Context(*(spark.read.parquet(f"{path}/{name}") for name in PARTS))
 
 
 def write_wide(cells: DataFrame, meta: DataFrame, value: str, path: str) -> None:
@@ -49,12 +49,12 @@ def read_wide(spark: SparkSession, path: str, kg: str) -> DataFrame:
 
 def write_features(features: DataFrame, path: str) -> None:
     """Appends feature rows to a table; several alignments and runs gather there."""
-    features.write.mode("append").partitionBy("kg1", "kg2").parquet(path)
+    features.write.mode("append").parquet(path)
 
 
 def read_features(spark: SparkSession, *paths: str) -> DataFrame:
     """Feature rows of one or more tables, which train together."""
-    return spark.read.parquet(*paths).withColumns({c: F.col(c).cast("string") for c in ("kg1", "kg2")})
+    return spark.read.parquet(*paths)
 
 
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:

@@ -69,8 +69,8 @@ def test_steps_from_files_to_measures(spark, tmp_path):
     (tmp_path / "o").mkdir()
     (tmp_path / "a").mkdir()
     for kg in ("k1", "k2"):
-        classes = "".join(f'<owl:Class rdf:about="#C{i}"/>' for i in range(12))
-        props = "".join(f'<owl:ObjectProperty rdf:about="#p{i}"><rdfs:domain rdf:resource="#C{i}"/><rdfs:domain rdf:resource="#C{i * 5 % 12}"/></owl:ObjectProperty>' for i in range(12))
+        classes = "".join(f'<owl:Class rdf:about="#C{i}"/>' for i in range(24))
+        props = "".join(f'<owl:ObjectProperty rdf:about="#p{i}"><rdfs:domain rdf:resource="#C{i}"/><rdfs:domain rdf:resource="#C{i * 5 % 24}"/></owl:ObjectProperty>' for i in range(24))
         (tmp_path / f"o/{kg}.owl").write_text(OWL[: OWL.index("<owl:Class")] + classes + props + "</rdf:RDF>")
     cells = "".join(f'<map><Cell><entity1 rdf:resource="http://x.org/o#C{i}"/><entity2 rdf:resource="http://x.org/o#C{i}"/></Cell></map>' for i in range(4))
     (tmp_path / "a/k1-k2.rdf").write_text(f'<Alignment xmlns:rdf="r">{cells}</Alignment>')
