@@ -2,59 +2,49 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kindred.llm import decontaminate, html, licenses, line_dedup, minhash, pieces, quality, tokens, toxicity
 from kindred.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Each query's module and tables. A module is imported when its query runs, so one needs the libraries of its own operator only.
+OPERATORS = {
+    "op1_minhash": ("minhash", "documents"),
+    "op2_token_ids": ("tokens", "documents"),
+    "op3_html": ("html", "pages"),
+    "op4_quality": ("quality", "documents", "labels"),
+    "op5_licenses": ("licenses", "documents"),
+    "op6_toxicity": ("toxicity", "documents", "labels"),
+    "op7_line_dedup": ("line_dedup", "documents"),
+    "op8_token_counts": ("pieces", "documents"),
+    "op9_sentencepiece": ("pieces", "documents"),
+    "op10_decontaminate": ("decontaminate", "documents", "benchmark"),
+    "op11_sharding": ("sharding", "documents"),
+    "op12_collocations": ("collocations", "documents"),
+    "op13_periodic": ("periodic", "documents"),
+}
+WITH_SQL = ("op1_minhash", "op7_line_dedup", "op11_sharding", "op12_collocations")
 
-def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.op1_minhash(table(spark, sf_dir, "documents"))
 
+def _module(name: str):
+    return importlib.import_module(f"kindred.llm.{OPERATORS[name][0]}")
 
-def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.op2_token_ids(table(spark, sf_dir, "documents"))
 
+def _query(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return getattr(_module(name), name)(*(table(spark, sf_dir, t) for t in OPERATORS[name][1:]))
 
-def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.op3_html(table(spark, sf_dir, "pages"))
-
-
-def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.op4_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
-def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.op5_licenses(table(spark, sf_dir, "documents"))
-
-
-def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.op6_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
-def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.op7_line_dedup(table(spark, sf_dir, "documents"))
-
-
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.op8_token_counts(table(spark, sf_dir, "documents"))
-
-
-def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.op9_sentencepiece(table(spark, sf_dir, "documents"))
-
-
-def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.op10_decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    query.__name__ = name
+    return query
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_minhash, op2_token_ids, op3_html, op4_quality, op5_licenses, op6_toxicity, op7_line_dedup, op8_token_counts, op9_sentencepiece, op10_decontaminate)}
+    return {name: _query(name) for name in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": minhash.OP1_SQL, "op7_line_dedup": line_dedup.OP7_SQL}
+    return {name: getattr(_module(name), name.split("_")[0].upper() + "_SQL") for name in WITH_SQL}
