@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from kindred.llm.common import byte_slices, mapped, written
 
 #: Bytes of text whose n-grams are counted in one step, about, or one text.
-STEP = 12_000_000
+STEP = 24_000_000
+#: Partitions that n-grams are summed in, for each one that the session takes for other shuffles.
+SPREAD = 2
 #: Bits of a word's number in a step; a code of two numbers, the first of which may stand for a longer gram, fits into 63 bits.
 BITS = 31
 
@@ -41,29 +43,29 @@ def _words_of(body: np.ndarray, starts: np.ndarray) -> tuple[pa.BinaryArray, np.
     """(words, piece) of UTF-8 texts in one row of bytes: the lower-cased words one after the other, and a number for the piece that each stands in; a text's start ends a piece."""
     kind = _KIND[body]
     inner = kind == _WORD
-    first = np.zeros(len(body), bool)
-    first[starts] = True
-    begins = inner.copy()
-    begins[1:] &= ~inner[:-1] | first[1:]
-    start = np.flatnonzero(begins)
-    piece = np.cumsum((kind == _BREAK).view(np.uint8) + first, dtype=np.int32)[start]
+    edge = np.zeros(len(body) + 1, bool)
+    edge[starts] = True
+    begins = inner & edge[:-1]
+    begins[1:] |= inner[1:] & ~inner[:-1]
+    stops = inner & edge[1:]
+    stops[:-1] |= inner[:-1] & ~inner[1:]
+    stops[-1:] |= inner[-1:]
+    start, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+    edge = edge[:-1]
+    edge |= kind == _BREAK
+    piece = np.searchsorted(np.flatnonzero(edge), start, "right").astype(np.int32)
     letters = _LOWER[body[inner]]
-    places = np.append((np.cumsum(inner, dtype=np.int32) - 1)[start], len(letters)).astype(np.int32)
+    places = np.concatenate([[0], np.cumsum(stop - start + 1)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(letters)])
     return words, piece
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct codes, how often each occurs, for each code its number among the distinct ones)."""
-    found = pa.array(codes).dictionary_encode()
-    number = found.indices.to_numpy()
-    return found.dictionary.to_numpy(), np.bincount(number, minlength=len(found.dictionary)), number
-
-
 def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, gram, n) with a row for each n-gram of 1 to `longest` words in each step of texts: n occurrences of the words, one space between, in pieces of that language.
+    """(gram, n) with a row for each n-gram of 1 to `longest` words in each step of texts: n occurrences of the words, one space between, in pieces of one language. That
+    language and a line end, which is in no word, stand before the words, so one column says what is counted.
 
-    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here.
+    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here. Those with equal first words follow each
+    other, so blocks of them compress well on their way.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("body")).where(F.octet_length("body") > 0)
 
@@ -76,8 +78,8 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
                 for _, texts in byte_slices(b.column(1).take(order[at : at + size]), STEP):
                     for gram, n in counted(texts):
                         for i in range(0, len(gram), 65_536):
-                            part = gram.slice(i, 65_536)
-                            yield pa.RecordBatch.from_arrays([pa.repeat(tongue, len(part)), part, pa.array(n[i : i + 65_536], pa.int64())], ["lang", "gram", "n"])
+                            part = pc.binary_join_element_wise(tongue, gram.slice(i, 65_536), "\n")
+                            yield pa.RecordBatch.from_arrays([part, pa.array(n[i : i + 65_536], pa.int64())], ["gram", "n"])
                 at += size
 
     def counted(texts: pa.StringArray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
@@ -94,13 +96,13 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
             here = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
             if not len(here):
                 return
-            code, n, own = _counted(number[here] << BITS | word[here + k - 1])
+            code, own, n = np.unique(number[here] << BITS | word[here + k - 1], return_inverse=True, return_counts=True)
             gram = pc.binary_join_element_wise(gram.take(pa.array(code >> BITS)), spelled.take(pa.array(code & (1 << BITS) - 1)), " ")
             yield gram, n
             number = np.zeros(len(word), np.int64)
             number[here] = own
 
-    return mapped(rows, run, "lang string, gram string, n long")
+    return mapped(rows, run, "gram string, n long")
 
 
 def _part(start: int, size: Column | int) -> Column:
@@ -122,10 +124,15 @@ def collocations(docs: DataFrame, settings: Settings = Settings(), text_col: str
     first `top` of a language are found in groups of phrases first, then in groups of those, so no task gets more than 64 times as many of one language. The result stands on two tables of `written`.
     """
     s = settings
-    counts = grams(docs, s.words, text_col, lang_col).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    one = ~F.col("gram").contains(" ")
-    counts = written(counts.where(one | (F.col("n") >= s.least)), "grams")
-    total = counts.where(one).groupBy("lang").agg(F.sum("n").alias("words"))
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # steps have summed what repeats near by, so rows go to their partition as they are; there are more of them than an even share of the input
+    rows = grams(docs, s.words, text_col, lang_col).repartition(SPREAD * groups, "gram")
+    words = F.substring_index("gram", "\n", -1)
+    lang = F.left("gram", F.length("gram") - F.length(words) - 1)
+    one = ~words.contains(" ")
+    counts = rows.groupBy("gram").agg(F.sum("n").alias("n")).where(one | (F.col("n") >= s.least))
+    counts = written(counts.select(lang.alias("lang"), words.alias("gram"), "n"), "grams")
+    total = counts.where(~F.contains("gram", F.lit(" "))).groupBy("lang").agg(F.sum("n").alias("words"))
     often = counts.where(F.col("n") >= s.least)
     cut = written(_best_cuts(often, s), "cuts")
     longer = cut.where("k > 2").select("lang", (F.col("k") - 1).alias("k"), "a", F.split("phrase", " ").alias("w"))
@@ -133,7 +140,6 @@ def collocations(docs: DataFrame, settings: Settings = Settings(), text_col: str
     most = held.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     kept = cut.join(most, ["lang", "phrase"], "left").where(F.col("most").isNull() | (100 * F.col("most") < s.inside * F.col("a"))).select("lang", "phrase", "a", "l", "r", "score")
     first = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while groups > 1:
         by = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(groups))).orderBy(*first)
         kept = kept.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= s.top).drop("rank")

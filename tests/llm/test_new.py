@@ -124,7 +124,7 @@ def test_collocations_of_invented_texts(spark, s):
 
 
 def test_collocations_of_odd_tables(spark, odd_docs):
-    rows = [(None, None), ("en", ""), ("en", "... \n"), ("en", "x y " * 40_000), ("en", "x y"), ("en", "x y"), (None, "p q r " * 12), ("fr", "ß " * 11)]
+    rows = [(None, None), ("en", ""), ("en", "... \n"), ("en", "x y " * 40_000), ("en", "x y"), ("en", "x y"), (None, "p q r " * 12), ("fr", "ß " * 11), ("x\ny z", "k l m " * 11)]
     df = spark.createDataFrame(rows, "lang string, text string").selectExpr("*", "1 as gram", "2 as n", "'z' as phrase")
     assert collocated(df) == brute_collocations(rows)
     assert collocated(df.limit(0)) == [] and collocated(df.where("text = ''")) == []
