@@ -64,8 +64,8 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
     """(gram, n) with a row for each n-gram of 1 to `longest` words in each step of texts: n occurrences of the words, one space between, in pieces of one language. That
     language and a line end, which is in no word, stand before the words, so one column says what is counted.
 
-    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here. Those with equal first words follow each
-    other, so blocks of them compress well on their way.
+    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here. They come in order of their words,
+    so blocks of them compress well on their way.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("body")).where(F.octet_length("body") > 0)
 
@@ -87,8 +87,10 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
         ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         words, piece = _words_of(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0])
         coded = words.dictionary_encode()
-        word = coded.indices.to_numpy().astype(np.int64)
-        spelled = coded.dictionary.cast(pa.string())
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        word, spelled = rank[coded.indices.to_numpy()], coded.dictionary.take(order).cast(pa.string())
         if len(word):
             yield spelled, np.bincount(word, minlength=len(spelled))
         number, gram = word, spelled  # at each place, the number of the gram that starts there, and the distinct grams
