@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import capital_pieces, matrix_tokens, spaced_words, without_stop_words
+from kindred.operators.blocks import product
 from kindred.plans.scratch import written
 
 KEYS = ["kg", "etype"]
@@ -87,15 +88,15 @@ def build(properties: DataFrame, closure: DataFrame, layered: DataFrame, declare
 
 def flat(properties: DataFrame, layered: DataFrame, split_capitals: bool = False) -> DataFrame:
     """(kg, etype, property, v) without inheritance: count times layer, -1 where there is none."""
-    words = property_words(properties, split_capitals)
-    own = token_counts(words).join(layered, KEYS, "left").select(*KEYS, "property", (F.col("cnt") * F.coalesce("layer", F.lit(1))).cast("int").alias("w"))
-    grid = words.select(KEYS).distinct().join(own.select("kg", "property").distinct(), "kg")
+    words = written(property_words(properties, split_capitals), "words")
+    own = written(token_counts(words).join(layered, KEYS, "left").select(*KEYS, "property", (F.col("cnt") * F.coalesce("layer", F.lit(1))).cast("int").alias("w")), "own")
+    grid = product(words.select(KEYS).distinct(), own.select("kg", "property").distinct(), ["kg"])
     return grid.join(own, [*KEYS, "property"], "left").select(*KEYS, "property", F.coalesce("w", F.lit(-1)).alias("v"))
 
 
 def dense(c: Context, weight_tag: bool = True) -> DataFrame:
     """(kg, etype, property, v, h, i) of all cells: for export. Its size is types times properties of each ontology, the size of the matrix itself. Without weight_tag, h is -1 below 0."""
-    grid = c.meta.select(*KEYS, "appended").join(c.by_property.select("kg", "property", "n", "neg", "ig"), "kg")
+    grid = product(c.meta.select(*KEYS, "appended"), c.by_property.select("kg", "property", "n", "neg", "ig"), ["kg"])
     cell = grid.join(c.cells, [*KEYS, "property"], "left").join(c.unknown.withColumn("idk", F.lit(True)), [*KEYS, "property"], "left")
     return cell.select(*KEYS, "property", *values(F.col("v"), F.col("idk").isNotNull() | F.col("appended"), F.col("neg"), F.col("n"), F.col("ig"), weight_tag))
 

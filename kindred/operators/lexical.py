@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kindred.functions.similarity import cosine, levenshtein, longest_common, ngram1
 from kindred.functions.terms import name_words
-from kindred.operators.hierarchy import ancestor_closure
+from kindred.operators.hierarchy import ancestor_distances
+from kindred.plans.scratch import written
 
 
 def pair_words(pairs: DataFrame) -> DataFrame:
@@ -27,28 +28,45 @@ def vector_similarity(words: DataFrame, vectors: DataFrame) -> DataFrame:
     return words.join(known, ["w1", "w2"], "left").groupBy("label1", "label2").agg(F.greatest(F.lit(0.0), F.coalesce(F.max("c"), F.lit(0.0))).alias("sim"))
 
 
-def depths(hypernyms: DataFrame) -> DataFrame:
-    """(node, depth): 1 plus the number of ancestors on the way up in a tree of (child, parent)."""
-    edges = hypernyms.select(F.lit("").alias("kg"), "child", "parent")
-    up = ancestor_closure(edges)
-    nodes = hypernyms.select(F.col("child").alias("node")).unionByName(hypernyms.select(F.col("parent").alias("node"))).distinct()
-    return nodes.join(up.groupBy("node").agg(F.count("*").alias("above")), "node", "left").select("node", (F.coalesce("above", F.lit(0)) + 1).cast("int").alias("depth"))
+def _upward(hypernyms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, ancestor, distance, longest) of all nodes of the graph and of `nodes`, themselves included at 0: fewest and most steps up."""
+    paths = ancestor_distances(hypernyms.select(F.lit("").alias("kg"), "child", "parent"), longest=True).drop("kg")
+    every = nodes.select("node").unionByName(hypernyms.select(F.col("child").alias("node"))).unionByName(hypernyms.select(F.col("parent").alias("node"))).where("node is not null").distinct()
+    return paths.unionByName(every.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance"), F.lit(0).alias("longest")))
+
+
+def depths(hypernyms: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, least, most): steps from a node to a root, a node without a parent, on the shortest and on the longest way; 0 for roots. hypernyms: (child, parent), a graph
+    without cycles, in which a node may have several parents. up: `_upward` of it, if it is there."""
+    up = _upward(hypernyms, hypernyms.select(F.col("child").alias("node"))) if up is None else up
+    inner = hypernyms.where("child != parent").select(F.col("child").alias("ancestor")).distinct()
+    return up.join(inner, "ancestor", "left_anti").groupBy("node").agg(F.min("distance").alias("least"), F.max("longest").alias("most"))
 
 
 def wu_palmer(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
-    """(a, b, wup) of pairs of nodes of a tree: 2 depth(deepest common ancestor) / (depth a + depth b); null without one. A node is its own ancestor here."""
-    deep = depths(hypernyms)
-    up = ancestor_closure(hypernyms.select(F.lit("").alias("kg"), "child", "parent")).select("node", "ancestor")
-    up = up.unionByName(deep.select("node", F.col("node").alias("ancestor")))
-    a, b = up.select(F.col("node").alias("a"), "ancestor"), up.select(F.col("node").alias("b"), "ancestor")
-    both = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "ancestor"]).join(deep.select(F.col("node").alias("ancestor"), "depth"), "ancestor")
-    least = both.groupBy("a", "b").agg(F.max("depth").alias("common"))
-    da, db = deep.select(F.col("node").alias("a"), F.col("depth").alias("da")), deep.select(F.col("node").alias("b"), F.col("depth").alias("db"))
-    return pairs.select("a", "b").distinct().join(least, ["a", "b"], "left").join(da, "a").join(db, "b").select("a", "b", (2.0 * F.col("common") / (F.col("da") + F.col("db"))).alias("wup"))
+    """(a, b, wup) of distinct pairs of nodes of a graph of (child, parent) without cycles, in which a node may have several parents, lie at several depths, and meet another in several ways.
+
+    Of the common ancestors (a node is its own) the one counts that is deepest by its shortest way to a root; of equal ones a itself, then the first by name. With d one more than that ancestor's longest
+    way to a root, wup is 2 d / (d + steps to a + d + steps to b); steps between a node and the ancestor are the fewest by way of any common ancestor of the two. A node outside
+    the graph is a root of its own. Null without a common ancestor: give roots a common parent where they should have one. Pairs with a null have no row.
+    """
+    wanted = pairs.select("a", "b").where("a is not null and b is not null").distinct()
+    up = written(_upward(hypernyms, wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node")))), "upward")
+    deep = depths(hypernyms, up)
+    side = lambda name: up.select(F.col("node").alias(name), "ancestor")
+    both = wanted.join(side("a"), "a").join(side("b"), ["b", "ancestor"]).join(deep.withColumnRenamed("node", "ancestor"), "ancestor")
+    best = F.min(F.struct((-F.col("least")).alias("high"), (F.col("ancestor") != F.col("a")).alias("other"), "ancestor", "most"))
+    met = both.groupBy("a", "b").agg(best.alias("met")).select("a", "b", F.col("met.ancestor").alias("top"), (F.col("met.most") + 1).alias("d"))
+    ways = met.select(F.col("a").alias("node"), "top").unionByName(met.select(F.col("b").alias("node"), "top")).distinct()
+    above = up.select(F.col("node").alias("top"), "ancestor", F.col("distance").alias("more"))
+    steps = ways.join(up.select("node", "ancestor", "distance"), "node").join(above, ["top", "ancestor"]).groupBy("node", "top").agg(F.min(F.col("distance") + F.col("more")).alias("steps"))
+    to = lambda name: steps.select(F.col("node").alias(name), "top", F.col("steps").alias(f"to_{name}"))
+    scored = met.join(to("a"), ["a", "top"]).join(to("b"), ["b", "top"]).select("a", "b", (2.0 * F.col("d") / (2 * F.col("d") + F.col("to_a") + F.col("to_b"))).alias("wup"))
+    return wanted.join(scored, ["a", "b"], "left")
 
 
 def synset_similarity(words: DataFrame, synsets: DataFrame, hypernyms: DataFrame) -> DataFrame:
-    """(label1, label2, sim): the greatest Wu-Palmer similarity of a synset of each; 0 without any. synsets: (word, synset)."""
+    """(label1, label2, sim): the greatest Wu-Palmer similarity of a synset of each; 0 without any. synsets: (word, synset); hypernyms: (child, parent), see `wu_palmer`."""
     one, two = synsets.select(F.col("word").alias("w1"), F.col("synset").alias("a")), synsets.select(F.col("word").alias("w2"), F.col("synset").alias("b"))
     sense = words.join(one, "w1").join(two, "w2").select("label1", "label2", "a", "b").distinct()
     scored = sense.join(wu_palmer(sense, hypernyms), ["a", "b"], "left").groupBy("label1", "label2").agg(F.max("wup").alias("wup"))

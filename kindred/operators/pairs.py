@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import formal_label
+from kindred.operators.blocks import product
+from kindred.plans.scratch import written
 
 COLUMNS = ["kg1", "kg2", "label1", "label2", "match", "type"]
 
 
+def _sides(left: DataFrame, right: DataFrame, alignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kg1, kg2, label1) and (kg1, kg2, label2): the distinct names of each alignment's ontologies."""
+    ends = alignments.select("kg1", "kg2").distinct()
+    side = lambda df, k: ends.join(df.select(F.col("kg").alias(f"kg{k}"), F.col("name").alias(f"label{k}")).distinct(), f"kg{k}").select("kg1", "kg2", f"label{k}")
+    return side(left, 1), side(right, 2)
+
+
 def _grid(left: DataFrame, right: DataFrame, alignments: DataFrame) -> DataFrame:
-    """All pairs of names of the two ontologies of each alignment: the product that is asked for, made by two equi joins on the ontologies."""
-    a = left.select(F.col("kg").alias("kg1"), F.col("name").alias("label1"))
-    b = right.select(F.col("kg").alias("kg2"), F.col("name").alias("label2"))
-    return alignments.select("kg1", "kg2").distinct().join(a, "kg1").join(b, "kg2").select("kg1", "kg2", "label1", "label2")
+    """All pairs of names of the two ontologies of each alignment: the product that is asked for, in blocks."""
+    return product(*_sides(left, right, alignments), ["kg1", "kg2"])
 
 
 def labelled(grid: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
@@ -22,42 +31,86 @@ def labelled(grid: DataFrame, truth: DataFrame, kind: str) -> DataFrame:
     return grid.join(known, ["kg1", "kg2", "label1", "label2"], "left").select("kg1", "kg2", "label1", "label2", F.coalesce("match", F.lit(0)).alias("match"), F.lit(kind).alias("type"))
 
 
-def sample(negatives: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
-    """A sample without replacement of sizes.k rows of each alignment, the least by the md5 of labels and seed: equal whatever the partitioning, and in SQL.
+def indexed(names: DataFrame, on: list[str]) -> DataFrame:
+    """names with `at`, each row's place from 0 in the order of its other columns among the rows that agree in `on`. Ranges are sorted apart and counted, so nothing gathers in one task."""
+    rest = [c for c in names.columns if c not in on]
+    ranges = names.repartitionByRange(*on, *rest).sortWithinPartitions(*on, *rest)
+    placed = written(ranges.withColumn("kd_part", F.spark_partition_id()).withColumn("kd_id", F.monotonically_increasing_id()), "places")
+    counts = placed.groupBy(*on, "kd_part").agg(F.count("*").alias("kd_n"), F.min("kd_id").alias("kd_first"))
+    before = Window.partitionBy(*on).orderBy("kd_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = counts.select(*on, "kd_part", "kd_first", F.coalesce(F.sum("kd_n").over(before), F.lit(0)).alias("kd_before"))
+    return placed.join(starts, [*on, "kd_part"]).select(*names.columns, (F.col("kd_before") + F.col("kd_id") - F.col("kd_first")).alias("at"))
+
+
+#: 2^64 divided by the golden ratio: multiples of it, as parts of 2^64, are spread evenly.
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def walk(n: int, seed: int) -> tuple[int, int]:
+    """(start, step) of a walk start + t step modulo n that comes by each of 0 to n - 1 once: the step has no divisor in common with n."""
+    part = lambda k: n * ((k * GOLDEN % (1 << 64)) >> 32) >> 32
+    step = max(1, part(seed + 1))
+    while math.gcd(step, n) > 1:
+        step += 1
+    return part(seed + 2), step
+
+
+def sample_unmatched(left: DataFrame, right: DataFrame, matched: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
+    """(kg1, kg2, label1, label2): sizes.k distinct pairs of each alignment that are not in `matched`, equal whatever the partitioning, and in SQL. Fails where there are fewer.
 
-    Fails where an alignment has fewer rows than asked for.
+    left, right: (kg1, kg2, label1) and (kg1, kg2, label2), each once. The pairs of an alignment are numbered n2 * (place of label1) + (place of label2), and `walk` comes by all numbers in a
+    scattered order; of its steps those that aren't matched pairs are taken, up to the k-th. So no more than k rows and those of `matched` are made, of however many pairs there are.
     """
-    order = F.md5(F.concat_ws("\x1f", "label1", "label2", F.lit(str(seed))))
-    # a threshold by rank: hashes are ranked over ranges, so no alignment is sorted in one task
-    ranged = negatives.withColumn("kd_h", order).withColumn("kd_bin", F.left("kd_h", F.lit(3)))
-    bins = ranged.groupBy("kg1", "kg2", "kd_bin").agg(F.count("*").alias("c"))
-    lower = Window.partitionBy("kg1", "kg2").orderBy("kd_bin").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 bins an alignment
-    before = bins.select("kg1", "kg2", "kd_bin", F.coalesce(F.sum("c").over(lower), F.lit(0)).alias("before"))
-    total = bins.groupBy("kg1", "kg2").agg(F.sum("c").alias("have"))
-    rank = F.row_number().over(Window.partitionBy("kg1", "kg2", "kd_bin").orderBy("kd_h", "label1", "label2"))
-    asked = sizes.join(total, ["kg1", "kg2"], "left")
-    checked = asked.withColumn("k", F.when(F.col("k") <= F.coalesce("have", F.lit(0)), F.col("k")).otherwise(F.raise_error(F.lit("sample larger than population")).cast("long")))
-    near = ranged.join(before, ["kg1", "kg2", "kd_bin"]).join(checked.select("kg1", "kg2", "k"), ["kg1", "kg2"]).where("before < k")
-    return near.withColumn("kd_rank", F.col("before") + rank).where("kd_rank <= k").select(*negatives.columns)
+    on = ["kg1", "kg2"]
+    a, b = indexed(left, on), indexed(right, on)
+    count = lambda df, name: df.groupBy(on).agg(F.count("*").alias(name))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    known = matched.select(*on, "label1", "label2").distinct().join(a.withColumnRenamed("at", "at1"), [*on, "label1"]).join(b.withColumnRenamed("at", "at2"), [*on, "label2"])
+    spec = sizes.join(count(a, "n1"), on, "left").join(count(b, "n2"), on, "left").join(count(known, "m"), on, "left").select(*on, "k", "n2", (F.col("n1") * F.col("n2")).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+
+    @F.udf("start long, step long")
+    def walked(n):
+        return walk(n, seed)
+
+    enough = F.when(F.col("k") <= F.coalesce("n", F.lit(0)) - F.col("m"), F.col("k")).otherwise(F.raise_error(F.lit("sample larger than population")).cast("long"))
+    spec = written(spec.withColumn("k", enough).where("k > 0").withColumn("walk", walked("n")), "walks")  # a row an alignment
+    steps = spec.withColumn("chunk", F.explode(F.expr(f"sequence(0, (k + m - 1) div {CHUNK})"))).repartition("kg1", "kg2", "chunk")
+    steps = steps.withColumn("t", F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, k + m) - 1)")))
+    number = ((whole("walk.start") + whole("t") * whole("walk.step")) % whole("n")).cast("long")
+    drawn = steps.select(*on, "k", "n2", "t", number.alias("x"))
+    hits = known.join(spec.select(*on, "n2"), on).select(*on, (F.col("at1") * F.col("n2") + F.col("at2")).alias("x"))
+    met = drawn.join(hits, [*on, "x"]).select(*on, "k", "t").withColumn("before", F.row_number().over(Window.partitionBy(on).orderBy("t")) - 1)  # matched pairs among the steps
+    skipped = met.where("t - before < k").groupBy(on).agg(F.count("*").alias("skipped"))
+    free = drawn.join(hits, [*on, "x"], "left_anti").join(skipped, on, "left").where(F.col("t") < F.col("k") + F.coalesce("skipped", F.lit(0)))
+    places = free.select(*on, F.expr("x div n2").alias("at1"), (F.col("x") % F.col("n2")).alias("at2"))
+    return places.join(a.withColumnRenamed("at", "at1"), [*on, "at1"]).join(b.withColumnRenamed("at", "at2"), [*on, "at2"]).select(*on, "label1", "label2")
+
+
+#: Steps of a walk that one row becomes.
+CHUNK = 100_000
+
+
+def _matched_and_others(names: DataFrame, truth: DataFrame, kind: str, copies: int, m_factor: int, seed: int) -> DataFrame:
+    """Known pairs of names that both ontologies have, `copies` times each, and m_factor times as many others."""
+    left, right = (written(side, "names") for side in _sides(names, names, truth))
+    wanted = truth.select("kg1", "kg2", F.col("e1").alias("label1"), F.col("e2").alias("label2")).distinct()
+    known = written(wanted.join(left, ["kg1", "kg2", "label1"]).join(right, ["kg1", "kg2", "label2"]).select("kg1", "kg2", "label1", "label2"), "known")
+    sizes = known.groupBy("kg1", "kg2").agg((F.count("*") * copies * m_factor).alias("k"))
+    marked = lambda df, match: df.select("*", F.lit(match).alias("match"), F.lit(kind).alias("type")).select(COLUMNS)
+    repeated = known.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).drop("copy")
+    return marked(repeated, 1).unionByName(marked(sample_unmatched(left, right, known, sizes, seed), 0))
 
 
 def etype_pairs(etypes: DataFrame, truth: DataFrame, m_factor: int = 20, seed: int = 42) -> DataFrame:
-    """Matched type pairs m_factor // 2 times each, and m_factor times as many sampled others."""
-    all_pairs = labelled(_grid(etypes, etypes, truth), truth, "Etype")
-    matched = all_pairs.where("match = 1").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(m_factor // 2)))).drop("copy")
-    sizes = matched.groupBy("kg1", "kg2").agg((F.count("*") * m_factor).alias("k"))
-    return matched.unionByName(sample(all_pairs.where("match = 0"), sizes, seed)).select(COLUMNS)
+    """Matched type pairs m_factor // 2 times each, and m_factor times as many sampled others. Names count once; m_factor is 2 at least."""
+    return _matched_and_others(etypes, truth, "Etype", m_factor // 2, m_factor, seed)
 
 
 def property_pairs(properties: DataFrame, truth: DataFrame, blind: bool, m_factor: int = 20, seed: int = 42) -> DataFrame:
     """blind: all pairs with match -1. Else matched pairs, and m_factor times as many sampled others."""
-    grid = _grid(properties, properties, truth)
     if blind:
-        return grid.select("*", F.lit(-1).alias("match"), F.lit("Property").alias("type")).select(COLUMNS)
-    all_pairs = labelled(grid, truth, "Property")
-    matched = all_pairs.where("match = 1")
-    sizes = matched.groupBy("kg1", "kg2").agg((F.count("*") * m_factor).alias("k"))
-    return matched.unionByName(sample(all_pairs.where("match = 0"), sizes, seed)).select(COLUMNS)
+        return _grid(properties, properties, truth).select("*", F.lit(-1).alias("match"), F.lit("Property").alias("type")).select(COLUMNS)
+    return _matched_and_others(properties, truth, "Property", 1, m_factor, seed)
 
 
 def candidate_pairs(etypes: DataFrame, properties: DataFrame, truth: DataFrame, blind: bool, m_factor: int = 20, seed: int = 42) -> DataFrame:

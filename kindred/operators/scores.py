@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.similarity import minmax, zscore
+from kindred.operators.blocks import product
 from kindred.operators.context import Context, values
+from kindred.plans.scratch import written
 
 PAIR = ["kg1", "kg2", "label1", "label2"]
 
@@ -17,7 +19,7 @@ def _side(c: Context, k: int, pairs: DataFrame, mapped: DataFrame) -> DataFrame:
     own = pairs.select("kg1", "kg2", label).distinct()
     meta = c.meta.select(F.col("kg").alias(kg), F.col("etype").alias(label), "n_property", "appended")
     by = c.by_property.select(F.col("kg").alias(kg), F.col("property").alias(p), "n", "neg", "ig")
-    grid = own.join(meta, [kg, label]).join(mapped.join(by, [kg, p]), ["kg1", "kg2"])
+    grid = product(own.join(meta, [kg, label]), mapped.join(by, [kg, p]), ["kg1", "kg2"])
     keys = [kg, label, p]
     named = lambda df: df.select(F.col("kg").alias(kg), F.col("etype").alias(label), F.col("property").alias(p), *[x for x in df.columns if x not in ("kg", "etype", "property")])
     cell = grid.join(named(c.cells), keys, "left").join(named(c.unknown).withColumn("idk", F.lit(True)), keys, "left")
@@ -40,7 +42,7 @@ def raw_scores(pairs: DataFrame, c1: Context, c2: Context, mapped: DataFrame, si
     raw_v is plain; a pair with a type that its context lacks, or without a mapped property, has 0 in all. raw_h and raw_i are null where a type has no property to divide by.
     symmetric uses the weight of the side that has the property in both signed cases of raw_v.
     """
-    wanted = pairs.select(PAIR).distinct()
+    wanted, mapped = written(pairs.select(PAIR).distinct(), "wanted"), written(mapped, "mapped")  # both are read several times
     a, b = _side(c1, 1, wanted, mapped), _side(c2, 2, wanted, mapped)
     both = wanted.join(a, ["kg1", "kg2", "label1"]).join(b, ["kg1", "kg2", "label2", "p1"])
     d = lambda name: F.col(name).cast("double")

@@ -18,14 +18,16 @@ class EtypeEngine:
     def hierarchy(self, triples: DataFrame) -> DataFrame:
         """The hierarchy table, which can stand for a schema when its instances are built."""
         own, edges = hierarchy.etype_properties(triples), hierarchy.subclass_edges(triples)
-        return hierarchy.hierarchy_table(own, edges, hierarchy.ancestor_closure(edges), hierarchy.layers(own, edges))
+        paths = hierarchy.ancestor_distances(edges)
+        return hierarchy.hierarchy_table(own, edges, paths, hierarchy.layers(own, edges, paths))
 
     def build_context(self, triples: DataFrame, schema: DataFrame | None = None, **options) -> context.Context:
         """Contexts of all ontologies; with `schema`, a hierarchy table, ancestors and layers come from it (entities in place of types)."""
         own = hierarchy.etype_properties(triples)
         if schema is None:
             edges = hierarchy.subclass_edges(triples)
-            closure, layered = hierarchy.ancestor_closure(edges), hierarchy.layers(own, edges)
+            closure = hierarchy.ancestor_distances(edges)
+            layered = hierarchy.layers(own, edges, closure)
         else:
             closure = schema.select("kg", F.col("etype").alias("node"), F.explode("path").alias("ancestor"))
             layered = schema.select("kg", "etype", "layer")

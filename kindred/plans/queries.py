@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,8 @@ def _parts(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _context(triples: DataFrame, **options) -> context.Context:
     own, edges = _parts(triples)
-    return context.build(own, hierarchy.ancestor_closure(edges), hierarchy.layers(own, edges), hierarchy.declared_classes(triples), **options)
+    paths = hierarchy.ancestor_distances(edges)
+    return context.build(own, paths, hierarchy.layers(own, edges, paths), hierarchy.declared_classes(triples), **options)
 
 
 def _one(c: context.Context, kg: str) -> context.Context:
@@ -234,6 +236,21 @@ def layers_of_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.layers_in_order(own, direct.unionByName(chain).select(F.lit("x").alias("kg"), "*"), "at")
 
 
+@query(f"""WITH RECURSIVE nations AS (SELECT 'N' || n_nationkey AS etype, n_nationkey, row_number() OVER (ORDER BY n_nationkey * 7 % 25) AS r FROM nation), turn AS (SELECT c_custkey AS k, row_number() OVER (ORDER BY r, c_custkey) AS r FROM customer JOIN nations ON c_nationkey = n_nationkey),
+depth AS (SELECT k, r, 2 AS d FROM turn WHERE k % 5 = 0 OR r < coalesce((SELECT r FROM turn x WHERE x.k = turn.k - 1), r + 1) UNION ALL SELECT t.k, t.r, d.d + 1 FROM depth d JOIN turn t ON t.k = d.k + 1 AND t.k % 5 > 0 AND t.r > d.r)
+SELECT 'x' AS kg, etype, CAST(1 AS INTEGER) AS layer FROM nations UNION ALL SELECT 'x', 'C' || t.k, CAST(CASE WHEN t.k % 5 = 0 OR p.k IS NULL THEN 2 ELSE p.d + 1 END AS INTEGER) FROM turn t LEFT JOIN depth p ON p.k = t.k - 1""")
+def layers_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers hang on their nation and, listed later, on the customer before them in their five, who may be served before or after them."""
+    people, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    key = F.col("c_custkey")
+    direct = people.select(name("C", key).alias("child"), name("N", F.col("c_nationkey")).alias("parent"), F.struct(F.lit(1).alias("list"), key.cast("long").alias("row")).alias("at"))
+    before = people.select((key + 1).alias("next")).join(people, F.col("next") == key).where(key % 5 > 0)
+    chain = before.select(name("C", key).alias("child"), name("C", key - 1).alias("parent"), F.struct(F.lit(2).alias("list"), key.cast("long").alias("row")).alias("at"))
+    own = nation.select(F.lit("x").alias("kg"), name("N", F.col("n_nationkey")).alias("etype"), F.lit("p").alias("property"), F.struct(F.lit(0).alias("list"), (F.col("n_nationkey") * 7 % 25).cast("long").alias("row")).alias("at"))
+    return hierarchy.layers_in_order(own, direct.unionByName(chain).select(F.lit("x").alias("kg"), "*"), "at")
+
+
 @query(
     _sql(_A, _CLOSURE, out="""
 , names AS (SELECT kg, etype FROM ep UNION SELECT kg, child FROM edges UNION SELECT kg, parent FROM edges)
@@ -374,8 +391,15 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.etype_pairs(names, truth, 4).where("match = 1")
 
 
-@query(f"""{_NAMES}, g AS (SELECT a.p_name AS label1, b.p_name AS label2, row_number() OVER (ORDER BY md5(a.p_name || chr(31) || b.p_name || chr(31) || '42'), a.p_name, b.p_name) AS r FROM n a, n b WHERE NOT (a.p_name = b.p_name AND a.p_name IN (SELECT p_name FROM t)))
-SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM g WHERE r <= 4 * 2 * (SELECT count(*) FROM t)""")
+#: The walk of `pairs.sample_unmatched` over part names for seed 42, and 8 others for each match: starts and steps are 32-bit parts of the count of pairs.
+_PART = [(k * pairs.GOLDEN % (1 << 64)) >> 32 for k in (44, 43)]
+_OTHERS = f"""{_NAMES}, i AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS pos FROM n), hit AS (SELECT pos * (SELECT count(*) FROM n) + pos AS x FROM i JOIN t USING (p_name)), d AS (SELECT count(*) AS side, CAST(count(*) * count(*) AS HUGEINT) AS size, (SELECT count(*) FROM t) AS m FROM n),
+walk AS (SELECT *, (size * {_PART[0]}) >> 32 AS start, list_filter(range(CAST((size * {_PART[1]}) >> 32 AS BIGINT), CAST(size + 2 AS BIGINT)), lambda s: s > 0 AND gcd(s, CAST(size AS BIGINT)) = 1)[1] AS step FROM d),
+drawn AS (SELECT CAST((start + t * CAST(step AS HUGEINT)) % size AS BIGINT) AS x, row_number() OVER (ORDER BY t) AS r, side, m FROM walk, range(9 * m) s(t) WHERE (start + t * CAST(step AS HUGEINT)) % size NOT IN (SELECT x FROM hit)),
+neg AS (SELECT a.p_name AS label1, b.p_name AS label2 FROM drawn JOIN i a ON a.pos = x // side JOIN i b ON b.pos = x % side WHERE r <= 8 * m)"""
+
+
+@query(f"""{_OTHERS} SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM neg""")
 def negative_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, truth = _named_parts(spark, sf_dir)
     return pairs.etype_pairs(names, truth, 4).where("match = 0")
@@ -389,9 +413,12 @@ def property_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _sql(_A, out="""
-, g AS (SELECT a.property AS label1, b.property AS label2, CAST(a.property = replace(b.property, 'B_', 'b') AS INTEGER) AS match FROM (SELECT DISTINCT property FROM ep WHERE kg = 'A1') a, (SELECT DISTINCT property FROM ep WHERE kg = 'A2') b),
-s AS (SELECT *, row_number() OVER (ORDER BY md5(label1 || chr(31) || label2 || chr(31) || '42'), label1, label2) AS r FROM g WHERE match = 0)
-SELECT 'A1' AS kg1, 'A2' AS kg2, label1, label2, match, 'Property' AS type FROM g WHERE match = 1 UNION ALL SELECT 'A1', 'A2', label1, label2, match, 'Property' FROM s WHERE r <= 2 * (SELECT count(*) FROM g WHERE match = 1)""")
+, a AS (SELECT property AS label1, row_number() OVER (ORDER BY property) - 1 AS pos FROM (SELECT DISTINCT property FROM ep WHERE kg = 'A1')), b AS (SELECT property AS label2, row_number() OVER (ORDER BY property) - 1 AS pos FROM (SELECT DISTINCT property FROM ep WHERE kg = 'A2')),
+known AS (SELECT label1, label2, a.pos * (SELECT count(*) FROM b) + b.pos AS x FROM a JOIN b ON label1 = replace(label2, 'B_', 'b')),
+d AS (SELECT (SELECT count(*) FROM b) AS side, CAST((SELECT count(*) FROM a) * (SELECT count(*) FROM b) AS HUGEINT) AS size, (SELECT count(*) FROM known) AS m),
+walk AS (SELECT *, (size * """ + str((44 * pairs.GOLDEN % (1 << 64)) >> 32) + """) >> 32 AS start, list_filter(range(CAST((size * """ + str((43 * pairs.GOLDEN % (1 << 64)) >> 32) + """) >> 32 AS BIGINT), CAST(size + 2 AS BIGINT)), lambda s: s > 0 AND gcd(s, CAST(size AS BIGINT)) = 1)[1] AS step FROM d),
+drawn AS (SELECT CAST((start + t * CAST(step AS HUGEINT)) % size AS BIGINT) AS x, row_number() OVER (ORDER BY t) AS r, side, m FROM walk, range(3 * m) s(t) WHERE (start + t * CAST(step AS HUGEINT)) % size NOT IN (SELECT x FROM known))
+SELECT 'A1' AS kg1, 'A2' AS kg2, label1, label2, 1 AS match, 'Property' AS type FROM known UNION ALL SELECT 'A1', 'A2', a.label1, b.label2, 0, 'Property' FROM drawn JOIN a ON a.pos = x // side JOIN b ON b.pos = x % side WHERE r <= 2 * m""")
 )
 def property_pairs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = hierarchy.etype_properties(balances(spark, sf_dir)).select("kg", F.col("property").alias("name")).distinct()
@@ -399,8 +426,7 @@ def property_pairs_labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.property_pairs(own, truth, blind=False, m_factor=2)
 
 
-@query(f"""{_NAMES}, g AS (SELECT a.p_name AS label1, b.p_name AS label2, row_number() OVER (ORDER BY md5(a.p_name || chr(31) || b.p_name || chr(31) || '42'), a.p_name, b.p_name) AS r FROM n a, n b WHERE NOT (a.p_name = b.p_name AND a.p_name IN (SELECT p_name FROM t)))
-SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM g WHERE r <= 4 * 2 * (SELECT count(*) FROM t) UNION ALL SELECT 'P', 'Q', p_name, p_name, 1, 'Etype' FROM t, range(2) UNION ALL SELECT 'P', 'Q', a.p_brand, b.p_brand, -1, 'Property' FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_brand FROM part) b""")
+@query(f"""{_OTHERS} SELECT 'P' AS kg1, 'Q' AS kg2, label1, label2, 0 AS match, 'Etype' AS type FROM neg UNION ALL SELECT 'P', 'Q', p_name, p_name, 1, 'Etype' FROM t, range(2) UNION ALL SELECT 'P', 'Q', a.p_brand, b.p_brand, -1, 'Property' FROM (SELECT DISTINCT p_brand FROM part) a, (SELECT DISTINCT p_brand FROM part) b""")
 def candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, truth = _named_parts(spark, sf_dir)
     brands = table(spark, sf_dir, "part").select(F.explode(F.array(F.lit("P"), F.lit("Q"))).alias("kg"), F.col("p_brand").alias("name")).distinct()
@@ -428,9 +454,8 @@ def property_map_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _part_names(spark, sf_dir)
-    a, b = names.select(F.lit(1).alias("k"), F.col("p_name").alias("label1")), names.select(F.lit(1).alias("k"), F.col("p_name").alias("label2"))
-    return a.join(b, "k").drop("k")
+    names, truth = _named_parts(spark, sf_dir)
+    return pairs._grid(names, names, truth).select("label1", "label2")
 
 
 @query(f"{_NAMES}, p AS (SELECT a.p_name AS label1, b.p_name AS label2, list_sum(list_transform(list_distinct(string_split(a.p_name, '')), lambda c: CAST(least(length(a.p_name) - length(replace(a.p_name, c, '')), length(b.p_name) - length(replace(b.p_name, c, ''))) AS BIGINT))) AS s FROM n a, n b) SELECT label1, label2, round(s / (length(label1) + length(label2) - s), 6) AS sim FROM p")
@@ -479,6 +504,51 @@ def sim_wup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(lexical.wu_palmer(both, tree), "wup")
 
 
+#: A graph of senses: customers under their nation and another one, some under the top itself; nations under their region and, some, under the next; one region under another.
+_SENSES = """WITH RECURSIVE e AS (SELECT 'C' || c_custkey AS child, 'N' || c_nationkey AS parent FROM customer UNION SELECT 'C' || c_custkey, 'N' || (c_nationkey * 3 + c_custkey) % 25 FROM customer UNION SELECT 'C' || c_custkey, 'top' FROM customer WHERE c_custkey % 7 = 0
+  UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation UNION SELECT 'N' || n_nationkey, 'R' || (n_regionkey + 1) % 5 FROM nation WHERE n_nationkey % 4 = 0 UNION SELECT 'R' || r_regionkey, CASE WHEN r_regionkey = 4 THEN 'R2' ELSE 'top' END FROM region),
+ways AS (SELECT child AS node, parent AS anc, 1 AS d FROM e UNION SELECT w.node, e.parent, w.d + 1 FROM ways w JOIN e ON w.anc = e.child), nodes AS (SELECT child AS node FROM e UNION SELECT parent FROM e),
+up AS (SELECT node, anc, min(d) AS least, max(d) AS most FROM (SELECT * FROM ways UNION ALL SELECT node, node, 0 FROM nodes) GROUP BY ALL), deep AS (SELECT node, least, most FROM up WHERE anc = 'top'),
+synsets AS (SELECT lower(c_name) AS word, 'C' || c_custkey AS synset FROM customer UNION SELECT lower(c_name), 'N' || (c_custkey * 7) % 25 FROM customer UNION SELECT lower(r_name), 'R' || r_regionkey FROM region UNION SELECT lower(r_name), 'N' || (r_regionkey * 5 + 2) FROM region),
+pr AS (SELECT c_name AS label1, r_name AS label2, a.synset AS a, b.synset AS b FROM customer, region, synsets a, synsets b WHERE a.word = lower(c_name) AND b.word = lower(r_name)),
+ab AS (SELECT DISTINCT a, b FROM pr),
+met AS (SELECT a, b, d.node AS top, most + 1 AS d FROM ab JOIN (SELECT node, anc FROM up) x ON x.node = a JOIN (SELECT node, anc FROM up) y ON y.node = b AND y.anc = x.anc JOIN deep d ON d.node = x.anc QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY least DESC, top <> a, top) = 1),
+steps AS (SELECT x.node, y.node AS top, min(x.least + y.least) AS s FROM up x JOIN up y ON x.anc = y.anc WHERE (x.node, y.node) IN (SELECT (a, top) FROM met UNION SELECT (b, top) FROM met) GROUP BY x.node, y.node),
+wup AS (SELECT m.a, m.b, 2.0 * d / (2 * d + p.s + q.s) AS wup FROM met m JOIN steps p ON p.node = m.a AND p.top = m.top JOIN steps q ON q.node = m.b AND q.top = m.top)"""
+
+
+def _senses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(word, synset) and (child, parent)."""
+    people, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    name = lambda p, c: F.concat(F.lit(p), (F.col(c) if isinstance(c, str) else c).cast("string"))
+    key, home = F.col("c_custkey"), F.col("c_nationkey")
+    edge = lambda df, child, parent: df.select(child.alias("child"), parent.alias("parent"))
+    edges = [
+        edge(people, name("C", key), name("N", home)),
+        edge(people, name("C", key), name("N", (home * 3 + key) % 25)),
+        edge(people.where(key % 7 == 0), name("C", key), F.lit("top")),
+        edge(nation, name("N", "n_nationkey"), name("R", "n_regionkey")),
+        edge(nation.where("n_nationkey % 4 = 0"), name("N", "n_nationkey"), name("R", (F.col("n_regionkey") + 1) % 5)),
+        edge(region, name("R", "r_regionkey"), F.when(F.col("r_regionkey") == 4, F.lit("R2")).otherwise(F.lit("top"))),
+    ]
+    sense = lambda df, word, synset: df.select(F.lower(word).alias("word"), synset.alias("synset"))
+    senses = [sense(people, "c_name", name("C", key)), sense(people, "c_name", name("N", key * 7 % 25)), sense(region, "r_name", name("R", "r_regionkey")), sense(region, "r_name", name("N", F.col("r_regionkey") * 5 + 2))]
+    return reduce(DataFrame.unionByName, senses).distinct(), reduce(DataFrame.unionByName, edges).distinct()
+
+
+@query(f"{_SENSES} SELECT label1, label2, round(max(wup), 6) AS sim FROM pr JOIN wup USING (a, b) GROUP BY ALL")
+def sim_wordnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    synsets, hypernyms = _senses(spark, sf_dir)
+    both = table(spark, sf_dir, "customer").select(F.col("c_name").alias("label1")).crossJoin(F.broadcast(table(spark, sf_dir, "region").select(F.col("r_name").alias("label2"))))  # five regions
+    words = both.select("label1", "label2", F.lower("label1").alias("w1"), F.lower("label2").alias("w2"))
+    return rounded(lexical.synset_similarity(words, synsets, hypernyms), "sim")
+
+
+@query(f"{_SENSES} SELECT node, CAST(least AS INTEGER) AS least, CAST(most AS INTEGER) AS most FROM deep")
+def sense_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.depths(_senses(spark, sf_dir)[1])
+
+
 # ---- property similarities
 
 

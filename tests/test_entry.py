@@ -5,7 +5,7 @@ import __spark_entry__ as e
 from kindred.plans import queries as own
 
 SF = "/root/testdata/sf0.001"
-FAST = ["local_name", "formal_label", "word_split", "etype_property", "fca_v", "fca_i", "sim_levenshtein", "sim_v", "property_map", "metrics"]
+FAST = ["local_name", "formal_label", "word_split", "etype_property", "fca_v", "fca_i", "sim_levenshtein", "sim_v", "property_map", "metrics", "sim_wordnet", "sense_depths", "layers_of_customers", "layers_of_dag", "negative_sample", "property_pairs_labeled"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -30,3 +30,6 @@ def test_plans(spark):
     mapped = plan(own.QUERIES["property_map"](spark, SF))
     assert "CartesianProduct" not in mapped and "Python" not in mapped
     assert "BatchEvalPython" not in plan(own.QUERIES["sim_lcs"](spark, SF))
+    for name in ("etype_pairs", "sim_ngram", "layers_of_dag", "layers_in_order"):
+        made = plan(own.QUERIES[name](spark, SF))
+        assert not any(x in made for x in ("CartesianProduct", "NestedLoop", "Python", "Pandas")), name
