@@ -129,3 +129,10 @@ def without(df: DataFrame, more: str) -> DataFrame:
 def extended(df: DataFrame, more: str) -> StructType:
     """The schema of df with the columns of a DDL string after its own."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finisher."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -143,7 +143,7 @@ def rare_seeds(seeds: list[np.ndarray], words: list[int], k: int, percent: int)
 
 
 def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """(row's id, item, covered, words, spans) of document and item pairs that share a tile; with `percent`, only pairs that may reach it are tiled, and others may be missing."""
+    """(row's id and mark, item, covered, words, spans) of document and item pairs that share a tile; with `percent`, only pairs that may reach it are tiled, and others may be missing."""
     hashes, counts = words_of([t for _, t in block])
     items = [(name, x) for (name, _), x in zip(block, np.split(hashes, np.cumsum(counts)[:-1]), strict=True) if len(x)]
     # seeds: all runs of s.seed words of an item; of an item of fewer words, all of it, by its length
@@ -156,7 +156,7 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
         order = np.argsort(keys, kind="stable")
         by_length[k] = keys[order], who[order]
     shared = docs.sparkSession.sparkContext.broadcast((items, by_length))
-    schema = StructType.fromDDL(f"id {dict(docs.dtypes)[id_col]}, item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>")
+    schema = StructType.fromDDL(f"id {dict(docs.dtypes)[id_col]}, mark long, item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>")
     item_type = to_arrow_type(schema["item"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,7 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
             filters[k] = np.zeros(1 << bits, bool)
             filters[k][(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
         for b in batches:
-            ids = b.column(0)
+            ids, marks = b.column(0), b.column(2)
             for start, part in slices(b, 1):
                 h, counts = words_of(part)
                 ends = np.cumsum(counts)
@@ -191,19 +191,24 @@ def _against(docs: DataFrame, block: list[tuple], kind: str, s: Settings, id_col
                     found = tiles(doc, item, min(s.tile, len(item)))
                     covered = sum(t[2] for t in found)
                     if covered:
-                        out.append((ids[start + x].as_py(), name, covered, len(item), [{"doc": d, "item": i, "length": n} for d, i, n in found]))
+                        out.append((ids[start + x].as_py(), marks[start + x].as_py(), name, covered, len(item), [{"doc": d, "item": i, "length": n} for d, i, n in found]))
                 if out:
                     spans = pa.list_(pa.struct([("doc", pa.int64()), ("item", pa.int64()), ("length", pa.int64())]))
                     c = list(zip(*out, strict=True))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c[0], ids.type), pa.array(c[1], item_type), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], spans)], ["id", "item", "covered", "words", "spans"]
+                        [pa.array(c[0], ids.type), pa.array(c[1], pa.int64()), pa.array(c[2], item_type), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int64()), pa.array(c[5], spans)], schema.names
                     )
 
-    return mapped(docs.select(id_col, text_col), run, schema)
+    return mapped(docs.select(id_col, text_col, _mark(F.col(id_col), F.col(text_col))), run, schema)
+
+
+def _mark(own: Column, text: Column) -> Column:
+    """What tells rows with a null id apart: a hash of the text; null where there is an id."""
+    return F.when(own.isNull(), F.xxhash64(text)).alias("mark")
 
 
 def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = 0) -> DataFrame:
-    """(id, item, covered, words, spans) for each document and item with a common tile: words of the item that tiles cover, and the tiles.
+    """(id, mark, item, covered, words, spans) for each document and item with a common tile: words of the item that tiles cover, and the tiles. mark: a hash of the text where the id is null, else null.
 
     Documents are read once a block of items; nothing is shuffled. Null texts and texts without words match nothing; so do items without words. Items with a null id match by their texts like others, and stand under a null item. Long texts are tiled whole; ties go to
     the first place; rows and items that repeat give a row each; empty tables give none. Columns other than those named are not read. With `percent`, pairs that can't cover so
@@ -215,30 +220,31 @@ def tilings(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_
         found = _against(docs, block, kind, s, id_col, text_col, percent)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        empty = docs.sparkSession.createDataFrame([], extended(docs.select(F.col(id_col).alias("id")), f"item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>"))
+        empty = docs.sparkSession.createDataFrame([], extended(docs.select(F.col(id_col).alias("id")), f"mark long, item {kind}, covered long, words long, spans array<struct<doc:long,item:long,length:long>>"))
         return empty
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(id, item, covered, words, items) of documents that hold s.percent percent of an item's words or more: the item of largest share, then of least id, and how many there are (those with a null id, which comes first, count as one)."""
+    """(id, mark, item, covered, words, items) of documents that hold s.percent percent of an item's words or more: the item of largest share, then of least id, and how many there are (those with a null id, which comes first, count as one).
+    Rows of one id are one document; each text of a null id is one, told by its mark."""
     found = tilings(docs, benchmark, s, id_col, text_col, item_col, s.percent).where(100 * F.col("covered") >= s.percent * F.col("words"))
     best = F.min(F.struct((-F.col("covered") / F.col("words")).alias("o"), "item", "covered", "words"))
-    return found.groupBy("id").agg(best.alias("b"), (F.countDistinct("item") + F.max(F.col("item").isNull().cast("long"))).alias("items")).select("id", "b.item", "b.covered", "b.words", "items")
+    return found.groupBy("id", "mark").agg(best.alias("b"), (F.countDistinct("item") + F.max(F.col("item").isNull().cast("long"))).alias("items")).select("id", "mark", "b.item", "b.covered", "b.words", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that `contaminated` names; all rows of such an id go; rows with a null id go only by their own text, which can't be told, so they stay."""
-    name = fresh("kd_gone", docs)
-    gone = contaminated(docs, benchmark, s, id_col, text_col).select(F.col("id").alias(name))
-    return docs.join(gone, docs[id_col] == gone[name], "left_anti")
+    """docs without those that `contaminated` names: all rows of such an id go, and rows with a null id by their own text."""
+    name, mark = fresh("kd_gone", docs), fresh("kd_mark", docs)
+    gone = contaminated(docs, benchmark, s, id_col, text_col).select(F.col("id").alias(name), F.col("mark").alias(mark))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone[name]) & _mark(docs[id_col], docs[text_col]).eqNullSafe(gone[mark]), "left_anti")
 
 
 def op10_decontaminate(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row a document: the item it holds most of (null if none), the words covered and in all, whether it is contaminated, and whether it stays."""
-    bad = contaminated(docs, benchmark, s).withColumnRenamed("id", "kd_id")
-    both = docs.select("doc_id").join(bad, F.col("doc_id") == F.col("kd_id"), "left")
+    bad = contaminated(docs, benchmark, s).withColumnsRenamed({"id": "kd_id", "mark": "kd_mark"})
+    both = docs.select("doc_id", _mark(F.col("doc_id"), F.col("text"))).join(bad, F.col("doc_id").eqNullSafe(F.col("kd_id")) & F.col("mark").eqNullSafe(F.col("kd_mark")), "left")
     return both.select(
         "doc_id", F.col("item").alias("item_id"), F.coalesce("covered", F.lit(0)).cast("long").alias("covered_words"), F.coalesce("words", F.lit(0)).cast("long").alias("item_words"),
-        F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.col("kd_id").isNotNull().alias("contaminated"), F.col("kd_id").isNull().alias("kept"),
+        F.coalesce("items", F.lit(0)).cast("long").alias("n_items"), F.col("items").isNotNull().alias("contaminated"), F.col("items").isNull().alias("kept"),
     )

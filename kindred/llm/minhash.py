@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import discard, fresh, mapped, slices, written
+from kindred.llm.common import discard, fresh, mapped, mixed, slices, written
 from kindred.llm.graph import components
-from kindred.llm.pieces import _mixed as mixed
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _SHORT = 0x27D4EB2F165667C5

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import extended, fresh, mapped, slices, without
+from kindred.llm.common import extended, fresh, mapped, mixed, slices, without
 
 SPACE = "▁"
 UNK_PENALTY = 10.0
@@ -164,13 +164,6 @@ def op8_token_counts(docs: DataFrame) -> DataFrame:
 # ---- sampled segmentations
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finisher."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Sampler:
     """Samples segmentations by forward filtering and backward sampling over the lattice of pieces.
 
@@ -321,10 +314,10 @@ class Sampler:
         row = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
         keys, starts, ids, first, edges = (np.frombuffer(a, t) for a, t in ((self.keys, np.int64), (self.starts, np.int32), (self.ids, np.int32), (self.first, np.int8), (self.edge, np.int32)))
-        seed = _mixed(np.array(seeds, np.int64).view(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        seed = mixed(np.array(seeds, np.int64).view(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         at, steps, found = np.arange(total), np.zeros(total, np.int64), []
         while len(at):
-            draw = (_mixed(seed[at] + (steps[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.int64)
+            draw = (mixed(seed[at] + (steps[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.int64)
             now = node[at]
             key, edge = (now << 32) + draw, edges[now]
             more = np.flatnonzero(keys[edge] <= key)

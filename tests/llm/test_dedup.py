@@ -12,23 +12,23 @@ from kindred.llm import decontaminate, graph, line_dedup, minhash
 from .conftest import prose
 
 
-def shingles(text):
+def shingles(text, k=3):
     w = (text or "").encode().lower().split()
-    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
-def brute_components(docs):
+def brute_components(docs, k=3, percent=85):
     ids = sorted(docs)
-    sets, parent = {i: shingles(docs[i]) for i in ids}, {i: i for i in ids}
+    sets, parent = {i: shingles(docs[i], k) for i in ids}, {i: i for i in ids}
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+    for j, a in enumerate(ids):
+        for b in ids[:j]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
     return {i: root(i) for i in ids}
@@ -256,3 +256,14 @@ def test_rolling_hashes(k):
     r = decontaminate.rolling(h, k).tolist()
     runs = [tuple(h[i : i + k].tolist()) for i in range(len(h) - k + 1)]
     assert len(r) == len(runs) and all((r[i] == r[j]) == (runs[i] == runs[j]) for i in range(len(r)) for j in range(len(r)))
+
+
+def test_rows_of_a_null_id_are_judged_by_their_own_text(spark):
+    item, other = prose(200, 40), prose(201, 60)
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows = [(None, "before " + item + " after"), (None, prose(202, 80)), (None, None), (None, ""), (None, other), (None, other), (5, item), (6, prose(203, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).selectExpr("*", "'x' as mark", "'y' as KD_MARK")
+    got = sorted(((r.doc_id or 0), r.item_id or 0, r.n_items, r.contaminated, r.kept) for r in decontaminate.op10_decontaminate(df, bench).collect())
+    assert got == sorted([(0, 1, 1, True, False), (0, 2, 1, True, False), (0, 2, 1, True, False), (0, 0, 0, False, True), (0, 0, 0, False, True), (0, 0, 0, False, True), (5, 1, 1, True, False), (6, 0, 0, False, True)])
+    rest = decontaminate.drop_contaminated(df, bench)
+    assert rest.columns == df.columns and sorted((r.text or "") for r in rest.collect()) == sorted(t or "" for t in (rows[1][1], None, "", rows[7][1]))

@@ -1,5 +1,8 @@
 """The pipeline's stages over the small tables, each held against a plain version of itself."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kindred.llm.common import table, written
 
@@ -20,7 +23,7 @@ def test_stages(spark):
         if name == "line dedup":
             assert {r.doc_id: r.text for r in rows} == brute_lines(before) and all(r.n_chars == len(r.text) for r in rows)
         elif name == "near-dedup":
-            assert {r.doc_id for r in rows} == {i for i, c in brute_components(before).items() if i == c}
+            assert {r.doc_id for r in rows} == {i for i, c in brute_components(before, 5, 80).items() if i == c}
         elif name == "decontamination":
             assert not [r.doc_id for r in rows if any(t in r.text for t in bench.values())] and len(rows) > 0.9 * len(before)
         elif name == "sentencepiece":
@@ -58,14 +61,27 @@ def test_near_dedup_takes_five_words_at_four_fifths(spark):
 
 def test_near_dedup_of_a_table_equals_five_word_brute_force(spark):
     docs = table(spark, SF, "documents")
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    sets, root = {}, {i: i for i in texts}
-    for i, t in texts.items():
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
-    for a in sorted(texts):
-        for b in sorted(texts):
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
+    root = brute_components({r.doc_id: r.text for r in docs.collect()}, 5, 80)
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()} == {i for i, r in root.items() if i == r}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_a_stage_of_odd_tables(spark, odd_docs, clashing, name, stage):
+    """Null ids and texts, empty, blank and very long texts, repeated rows, clashing names; then no rows at all."""
+    bench = table(spark, SF, "benchmark").first().text
+    odd = odd_docs.unionByName(odd_docs.where("doc_id = 2").withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(bench)}))
+    out = stage(spark, odd, SF)
+    ids = sorted(str(r.doc_id) for r in out.collect())
+    every = sorted(str(r.doc_id) for r in odd.collect())
+    assert name == "sentencepiece" or out.columns == odd.columns
+    if name in ("line dedup", "sentencepiece"):
+        assert ids == every
+    elif name == "decontamination":
+        assert ids == sorted(str(r.doc_id) for r in odd_docs.collect())
+    elif name == "near-dedup":
+        assert set(ids) == set(every) and ids.count("6") >= 1
+    else:
+        assert set(ids) <= set(every)
+    again = stage(spark, clashing, SF)
+    assert name == "sentencepiece" or again.columns == clashing.columns
+    assert 0 < again.count() <= 6 and stage(spark, odd.limit(0), SF).count() == 0
