@@ -64,8 +64,8 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
     """(gram, n) with a row for each n-gram of 1 to `longest` words in each step of texts: n occurrences of the words, one space between, in pieces of one language. That
     language and a line end, which is in no word, stand before the words, so one column says what is counted.
 
-    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here. They come in order of their words,
-    so blocks of them compress well on their way.
+    Counts of a step are the map side of a sum, which needs less memory than a row for each occurrence; all n-grams of all texts are rows here. They come by length, then in order
+    of their words: rows like the ones before them compress well on their way.
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("body")).where(F.octet_length("body") > 0)
 
@@ -77,9 +77,11 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
             for tongue, size in zip(tongues.dictionary, np.bincount(tongues.indices.to_numpy()).tolist(), strict=True):
                 for _, texts in byte_slices(b.column(1).take(order[at : at + size]), STEP):
                     for gram, n in counted(texts):
-                        for i in range(0, len(gram), 65_536):
-                            part = pc.binary_join_element_wise(tongue, gram.slice(i, 65_536), "\n")
-                            yield pa.RecordBatch.from_arrays([part, pa.array(n[i : i + 65_536], pa.int64())], ["gram", "n"])
+                        length = np.minimum(pc.binary_length(gram).to_numpy(), 0xFFFF).astype(np.uint16)
+                        by_length = np.argsort(length, kind="stable")
+                        for some in np.split(by_length, range(65_536, len(gram), 65_536)):
+                            part = pc.binary_join_element_wise(tongue, gram.take(pa.array(some)), "\n")
+                            yield pa.RecordBatch.from_arrays([part, pa.array(n[some], pa.int64())], ["gram", "n"])
                 at += size
 
     def counted(texts: pa.StringArray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
