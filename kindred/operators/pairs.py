@@ -23,7 +23,7 @@ def _sides(left: DataFrame, right: DataFrame, alignments: DataFrame) -> tuple[Da
 
 def _grid(left: DataFrame, right: DataFrame, alignments: DataFrame) -> DataFrame:
     """All pairs of names of the two ontologies of each alignment: the product that is asked for, in blocks."""
-    return product(*_sides(left, right, alignments), ["kg1", "kg2"])
+    return product(*(written(side, "names") for side in _sides(left, right, alignments)), ["kg1", "kg2"])  # a product reads its sides twice
 
 
 def labelled(grid: DataFrame, truth: DataFrame, kind: str) -> DataFrame:

@@ -365,8 +365,9 @@ def _part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _named_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Part names as two ontologies, P and Q, and the names of both that correspond (those that begin with a, b or c)."""
     names = _part_names(spark, sf_dir)
-    both = names.select(F.lit("P").alias("kg"), F.col("p_name").alias("name")).unionByName(names.select(F.lit("Q").alias("kg"), F.col("p_name").alias("name")))
-    truth = names.where(F.left("p_name", F.lit(1)).isin("a", "b", "c")).select(F.lit("P").alias("kg1"), F.lit("Q").alias("kg2"), F.col("p_name").alias("e1"), F.col("p_name").alias("e2"))
+    both = names.select(F.explode(F.array(F.lit("P"), F.lit("Q"))).alias("kg"), F.col("p_name").alias("name"))
+    ends = F.explode(F.array(F.struct(F.lit("P").alias("kg1"), F.lit("Q").alias("kg2")))).alias("ends")  # rows, as from a file; a join on literals would be planned as a product
+    truth = names.where(F.left("p_name", F.lit(1)).isin("a", "b", "c")).select(ends, "p_name").select("ends.kg1", "ends.kg2", F.col("p_name").alias("e1"), F.col("p_name").alias("e2"))
     return both, truth
 
 
