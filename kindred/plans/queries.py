@@ -469,7 +469,9 @@ def sim_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_name_pairs(spark, sf_dir).select("label1", "label2", similarity.levenshtein(F.col("label1"), F.col("label2")).alias("sim")), "sim")
 
 
-@query()
+@query(f"""WITH RECURSIVE{_NAMES.removeprefix("WITH")}, p AS (SELECT a.p_name AS label1, b.p_name AS label2, string_split(a.p_name, '') AS x, string_split(b.p_name, '') AS y FROM n a, n b WHERE EXISTS (SELECT 1 FROM t)),
+step AS (SELECT label1, label2, x, y, 0 AS i, list_transform(range(len(y) + 1), lambda z: CAST(0 AS BIGINT)) AS r FROM p UNION ALL SELECT label1, label2, x, y, i + 1, list_reduce(range(1, len(y) + 1), lambda own, j: list_append(own, greatest(own[-1], r[j + 1], r[j] + CASE WHEN x[i + 1] = y[j] THEN 1 ELSE 0 END)), [CAST(0 AS BIGINT)]) FROM step WHERE i < len(x))
+SELECT label1, label2, round(2.0 * r[-1] / (len(x) + len(y)), 6) AS sim FROM step WHERE i = len(x)""")
 def sim_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_name_pairs(spark, sf_dir).select("label1", "label2", similarity.longest_common(F.col("label1"), F.col("label2")).alias("sim")), "sim")
 
