@@ -46,13 +46,23 @@ def indexed(names: DataFrame, on: list[str]) -> DataFrame:
 GOLDEN = 0x9E3779B97F4A7C15
 
 
+def _walker(seed: int):
+    """`walk` for a seed, as a function that goes to executors whole: they need no installation of this package."""
+    golden = GOLDEN
+
+    def walked(n: int) -> tuple[int, int]:
+        part = lambda k: n * ((k * golden % (1 << 64)) >> 32) >> 32
+        step = max(1, part(seed + 1))
+        while math.gcd(step, n) > 1:
+            step += 1
+        return part(seed + 2), step
+
+    return walked
+
+
 def walk(n: int, seed: int) -> tuple[int, int]:
     """(start, step) of a walk start + t step modulo n that comes by each of 0 to n - 1 once: the step has no divisor in common with n."""
-    part = lambda k: n * ((k * GOLDEN % (1 << 64)) >> 32) >> 32
-    step = max(1, part(seed + 1))
-    while math.gcd(step, n) > 1:
-        step += 1
-    return part(seed + 2), step
+    return _walker(seed)(n)
 
 
 def sample_unmatched(left: DataFrame, right: DataFrame, matched: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
@@ -68,10 +78,7 @@ def sample_unmatched(left: DataFrame, right: DataFrame, matched: DataFrame, size
     known = matched.select(*on, "label1", "label2").distinct().join(a.withColumnRenamed("at", "at1"), [*on, "label1"]).join(b.withColumnRenamed("at", "at2"), [*on, "label2"])
     spec = sizes.join(count(a, "n1"), on, "left").join(count(b, "n2"), on, "left").join(count(known, "m"), on, "left").select(*on, "k", "n2", (F.col("n1") * F.col("n2")).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
 
-    @F.udf("start long, step long")
-    def walked(n):
-        return walk(n, seed)
-
+    walked = F.udf(_walker(seed), "start long, step long")
     enough = F.when(F.col("k") <= F.coalesce("n", F.lit(0)) - F.col("m"), F.col("k")).otherwise(F.raise_error(F.lit("sample larger than population")).cast("long"))
     spec = written(spec.withColumn("k", enough).where("k > 0").withColumn("walk", walked("n")), "walks")  # a row an alignment
     steps = spec.withColumn("chunk", F.explode(F.expr(f"sequence(0, (k + m - 1) div {CHUNK})"))).repartition("kg1", "kg2", "chunk")
