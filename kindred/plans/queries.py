@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import similarity, terms
 from kindred.operators import context, hierarchy, learn, lexical, pairs, scores
 from kindred.plans.engine import EtypeEngine
-from kindred.plans.scratch import written
+from kindred.plans.scratch import shared_dir, written
+from kindred.sources import files, ontology
 from kindred.sources.fixtures import BUCKETS, alignment, balances, customers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,6 +555,61 @@ def sense_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.depths(_senses(spark, sf_dir)[1])
 
 
+# ---- files and blank nodes
+
+
+@query("SELECT 'v' || vec_id AS word, len(embedding) AS width, round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS norm FROM embeddings")
+def vectors_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written in the binary form and read back."""
+    path = f"{shared_dir(spark)}/kindred/vectors-{uuid.uuid4().hex}"
+    files.write_vectors_binary(table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("word"), "embedding"), path)
+    e = F.col("embedding")
+    norm = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return rounded(files.read_vectors_binary(spark, path).select("word", F.size(e).cast("long").alias("width"), e[0].alias("first"), norm.alias("norm")), "first", "norm")
+
+
+@query(f"WITH {_A} SELECT kg, property AS subject_term, 'domain' AS predicate_term, etype AS object_term FROM ep UNION ALL SELECT kg, child, 'subClassOf', parent FROM edges UNION ALL SELECT kg, etype, 'type', 'Class' FROM declared")
+def spreadsheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples written to spreadsheets and read back."""
+    path = f"{shared_dir(spark)}/kindred/sheets-{uuid.uuid4().hex}"
+    ontology.export_sheets(balances(spark, sf_dir), path, datetime.date(2024, 1, 1))
+    return ontology.read_sheets(spark, path).select("kg", "subject_term", "predicate_term", "object_term")
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph: properties whose domain is a list of customers, in turn named and the class of a restriction, and, where there are several lists a nation, as range a list of those lists."""
+    number = F.row_number().over(Window.partitionBy("c_nationkey", "block").orderBy("c_custkey"))
+    people = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("block")).withColumn("k", number)
+    joined = lambda *parts: F.concat(*(F.lit(p) if p.startswith(("_:", "x#", "_")) else F.col(p).cast("string") for p in parts))
+    people = people.withColumn("list", joined("c_nationkey", "_", "block")).withColumn("up", F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "block").orderBy("c_custkey")))
+    blocks = people.select("list", "c_nationkey", "block").distinct()
+    blocks = blocks.withColumn("up", F.lead("list").over(Window.partitionBy("c_nationkey").orderBy("block"))).withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("block")))
+    odd = people.where("k % 2 = 1")
+    nil = F.lit("x#nil")
+    rows = [
+        (blocks, joined("x#p", "list"), "domain", joined("_:d", "list")),
+        (people.where("k = 1"), joined("_:d", "list"), "unionOf", joined("_:c", "c_custkey")),
+        (people, joined("_:c", "c_custkey"), "first", F.when(F.col("k") % 2 == 1, joined("_:r", "c_custkey")).otherwise(joined("x#C", "c_custkey"))),
+        (people, joined("_:c", "c_custkey"), "rest", F.coalesce(joined("_:c", "up"), nil)),
+        (odd, joined("_:r", "c_custkey"), "someValuesFrom", joined("x#C", "c_custkey")),
+        (blocks.where("k = 1"), joined("x#n", "c_nationkey"), "range", joined("_:n", "c_nationkey")),
+        (blocks.where("k = 1"), joined("_:n", "c_nationkey"), "intersectionOf", joined("_:b", "list")),
+        (blocks, joined("_:b", "list"), "first", joined("_:d", "list")),
+        (blocks, joined("_:b", "list"), "rest", F.coalesce(joined("_:b", "up"), nil)),
+    ]
+    kind = F.when(F.startswith("object", F.lit("_:")), "bnode").otherwise("iri")
+    made = [df.select(F.lit("C").alias("kg"), s.alias("subject"), F.lit(f"x#{p}").alias("predicate"), o.alias("object")) for df, s, p, o in rows]
+    return reduce(DataFrame.unionByName, made).withColumn("object_kind", kind)
+
+
+@query("""SELECT 'p' || c_nationkey || '_' || c_custkey // 1000 AS subject_term, 'domain' AS predicate_term, string_agg('C' || c_custkey, '|' ORDER BY c_custkey) AS object_term FROM customer GROUP BY c_nationkey, c_custkey // 1000
+UNION ALL SELECT 'n' || c_nationkey, 'range', string_agg('C' || c_custkey, '|' ORDER BY c_custkey) FROM customer GROUP BY c_nationkey""")
+def class_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank nodes of lists in restrictions in lists, as the classes that they name."""
+    graph = written(_nested(spark, sf_dir), "graph")
+    return ontology.triples(graph, coded=False).where("predicate_term in ('domain', 'range')").select("subject_term", "predicate_term", "object_term")
+
+
 # ---- property similarities
 
 

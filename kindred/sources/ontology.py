@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import datetime
 import re
+import sys
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kindred.functions.terms import fragment, local_name, union_label, with_labels
-from kindred.plans.scratch import written
+from kindred.operators.hierarchy import ancestor_distances
+from kindred.plans.scratch import discard, written
+from kindred.sources.files import write_xlsx
+from kindred.sources.tables import read_xlsx
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # readers go to executors whole: they need no installation of this package
 
 RDF = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}"
 XML_BASE = "{http://www.w3.org/XML/1998/namespace}base"
@@ -120,21 +127,62 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.split_part("file", F.lit("."), F.lit(1)).alias("kg"), bare(part(1)).alias("subject"), part(2).alias("predicate"), bare(part(3)).alias("object"), kind.alias("object_kind"))
 
 
-def unions(graph: DataFrame) -> DataFrame:
-    """(kg, bnode, members): the classes of blank nodes that are unions of a list, in the list's order, as 'A|B'."""
-    short = graph.withColumn("p", local_name(F.col("predicate")))
-    first = short.where("p = 'first'").select("kg", F.col("subject").alias("cell"), F.col("object").alias("member"))
-    rest = short.where("p = 'rest'").select("kg", F.col("subject").alias("cell"), F.col("object").alias("next"))
-    front = short.where("p = 'unionOf'").select("kg", F.col("subject").alias("bnode"), F.col("object").alias("cell"), F.lit(0).alias("pos"))
-    found = None
-    while not front.isEmpty():  # a round for each place in a list; lists of classes are short
-        here = front.join(first, ["kg", "cell"]).select("kg", "bnode", "pos", "member")
-        found = here if found is None else found.unionByName(here)
-        front = written(front.join(rest, ["kg", "cell"]).select("kg", "bnode", F.col("next").alias("cell"), (F.col("pos") + 1).alias("pos")).where("cell not like '%nil'"), "unions")
-    if found is None:
-        return graph.sparkSession.createDataFrame([], "kg string, bnode string, members string")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", local_name(F.col("member")).alias("m"))))
-    return found.groupBy("kg", "bnode").agg(union_label(F.array_join(F.transform(ordered, lambda x: x["m"]), "|")).alias("members"))
+def list_places(graph: DataFrame) -> DataFrame:
+    """(kg, cell, end, after, member): each cell of the lists of a graph, its list's last cell, how many cells come after it, and its member.
+
+    Cells point to the next one, and pointers double each round, so rounds grow with the logarithm of the longest list and rows stay those of the cells. Lists share no cells; a
+    cell's least `first` and `rest` count, and cells that lead into a circle belong to no list.
+    """
+    short = graph.withColumn("p", local_name(F.col("predicate"))).where("p in ('first', 'rest')")
+    cells = short.groupBy("kg", F.col("subject").alias("cell")).agg(F.min(F.when(F.col("p") == "first", F.col("object"))).alias("member"), F.min(F.when(F.col("p") == "rest", F.col("object"))).alias("next"))
+    cells = written(cells.where("member is not null"), "cells")
+    known = cells.select("kg", F.col("cell").alias("next"), F.lit(1).alias("step"))
+    step = F.coalesce("step", F.lit(0)).cast("long")
+    now = written(cells.join(known, ["kg", "next"], "left").select("kg", "cell", F.when(step == 1, F.col("next")).otherwise(F.col("cell")).alias("end"), step.alias("after")), "places")
+    size, most = now.agg(F.count("*"), F.sum("after")).first(), now.count()
+    while True:
+        doubled = now.alias("a").join(now.alias("b"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.end") == F.col("b.cell"))).select("a.kg", "a.cell", "b.end", (F.col("a.after") + F.col("b.after")).alias("after"))
+        old, now = now, written(doubled.where(F.col("after") <= most), "places")  # in a circle, steps soon outnumber the cells
+        discard(old)
+        if (grown := now.agg(F.count("*"), F.sum("after")).first()) == size:
+            return now.join(cells.select("kg", "cell", "member"), ["kg", "cell"])
+        size = grown
+
+
+def expressions(graph: DataFrame) -> DataFrame:
+    """(kg, bnode, members): the classes that a blank node's expression names, in its order, as 'A|B'.
+
+    Members of unions and intersections and the classes of restrictions (someValuesFrom, allValuesFrom, onClass) count, to any depth; what a complement names doesn't. Nested blank nodes are replaced by what they stand for,
+    with paths that double each round. Blank nodes that lead to themselves, and those that name no class, have no row.
+    """
+    short = graph.select("kg", "subject", local_name(F.col("predicate")).alias("p"), "object", "object_kind")
+    heads = short.where("p in ('unionOf', 'intersectionOf')").select("kg", F.col("subject").alias("root"), F.col("object").alias("cell"))
+    places = list_places(graph)
+    first = heads.join(places.select("kg", "cell", "end", F.col("after").alias("whole")), ["kg", "cell"]).drop("cell")
+    listed = first.join(places, ["kg", "end"]).where("after <= whole").select("kg", "root", F.array(F.col("whole") - F.col("after")).alias("path"), F.col("member").alias("leaf"))
+    filled = short.where("p in ('someValuesFrom', 'allValuesFrom', 'onClass')").select("kg", F.col("subject").alias("root"), F.array(F.lit(0).cast("long")).alias("path"), F.col("object").alias("leaf"))
+    now = written(listed.unionByName(filled), "expressions")
+    blank = F.startswith("leaf", F.lit("_:"))
+    inner = now.where(blank).select("kg", F.col("root").alias("child"), F.col("leaf").alias("parent"))
+    if not inner.isEmpty():  # a blank node with itself below it would unfold for ever
+        circles = ancestor_distances(inner).where("node = ancestor").select("kg", F.col("node").alias("root")).unionByName(now.where("root = leaf").select("kg", "root")).distinct()
+        now = written(now.join(circles, ["kg", "root"], "left_anti"), "expressions")
+    while not now.where(blank).isEmpty():
+        closed = now.where(~blank)
+        further = now.where(blank).alias("a").join(now.alias("b"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.leaf") == F.col("b.root"))).select("a.kg", "a.root", F.concat("a.path", "b.path").alias("path"), "b.leaf")
+        old, now = now, written(closed.unionByName(further), "expressions")
+        discard(old)
+    ordered = F.array_sort(F.collect_list(F.struct("path", local_name(F.col("leaf")).alias("m"))))
+    return now.groupBy("kg", F.col("root").alias("bnode")).agg(union_label(F.array_join(F.transform(ordered, lambda x: x["m"]), "|")).alias("members"))
+
+
+def subclasses(graph: DataFrame) -> DataFrame:
+    """(kg, subject, below): the names of all classes below each subject that has a blank superclass, in order, as 'A|B'; '' without any."""
+    parts = graph.where(F.contains(F.lower(local_name(F.col("predicate"))), F.lit("subclass")))
+    asked = parts.where("object_kind = 'bnode'").select("kg", "subject").distinct()
+    named = parts.where("object_kind = 'iri' and subject not like '\\_:%'").select("kg", F.col("subject").alias("child"), F.col("object").alias("parent"))
+    below = ancestor_distances(named).where("node != ancestor").select("kg", F.col("ancestor").alias("subject"), local_name(F.col("node")).alias("name"))
+    return asked.join(below, ["kg", "subject"], "left").groupBy("kg", "subject").agg(F.array_join(F.array_sort(F.collect_set("name")), "|").alias("below"))
 
 
 def labels(graph: DataFrame) -> DataFrame:
@@ -142,33 +190,59 @@ def labels(graph: DataFrame) -> DataFrame:
     return graph.where(local_name(F.col("predicate")) == "label").groupBy(F.col("subject").alias("iri")).agg(F.min("object").alias("label"))
 
 
-def triples(graph: DataFrame, literals: str = "cut", coded: bool = True) -> DataFrame:
-    """(kg, subject, predicate, object, subject_term, predicate_term, object_term): terms are local names; blank objects of domain and range are their union's
-    classes, other blank objects "BNode"; terms of coded vocabularies are replaced by labels. Literals are cut like IRIs, or kept with literals="keep"."""
+def triples(graph: DataFrame, literals: str = "cut", coded: bool = True, blank_parents: str = "drop") -> DataFrame:
+    """(kg, subject, predicate, object, subject_term, predicate_term, object_term): terms are local names; blank objects of domain and range are their `expressions`'
+    classes, other blank objects "BNode"; terms of coded vocabularies are replaced by labels. Literals are cut like IRIs, or kept with literals="keep".
+    blank_parents="subclasses" puts the names of the subject's own `subclasses` in place of a blank superclass, as an older script did: a single one then reads as a parent."""
     if literals not in ("cut", "keep"):
         raise ValueError("literals is 'cut' or 'keep'")
-    joined = graph.join(unions(graph).select(F.col("kg"), F.col("bnode").alias("object"), "members"), ["kg", "object"], "left")
+    if blank_parents not in ("drop", "subclasses"):
+        raise ValueError("blank_parents is 'drop' or 'subclasses'")
+    joined = graph.join(expressions(graph).withColumnRenamed("bnode", "object"), ["kg", "object"], "left")
     predicate = local_name(F.col("predicate"))
-    blank = F.when(predicate.isin("domain", "range"), F.coalesce("members", F.lit("BNode"))).otherwise(F.lit("BNode"))
+    blank = F.when(predicate.isin("domain", "range"), F.coalesce("members", F.lit("BNode")))
+    if blank_parents == "subclasses":
+        joined = joined.join(subclasses(graph), ["kg", "subject"], "left")
+        blank = blank.when(F.contains(F.lower(predicate), F.lit("subclass")), F.col("below"))
+    blank = blank.otherwise(F.lit("BNode"))
     text = local_name(F.col("object")) if literals == "cut" else F.when(F.col("object_kind") == "literal", F.col("object")).otherwise(local_name(F.col("object")))
     term = F.when(F.col("object_kind") == "bnode", blank).otherwise(text)
     out = joined.select("kg", "subject", "predicate", "object", local_name(F.col("subject")).alias("subject_term"), predicate.alias("predicate_term"), term.alias("object_term"))
     return with_labels(out, labels(graph)) if coded else out
 
 
-def export_triples(table: DataFrame, path: str, date: datetime.date) -> None:
-    """Writes the 13-column table as CSV, files of at most TEXT_ROWS rows."""
+def _exported(table: DataFrame, date: datetime.date) -> DataFrame:
     day = F.lit(date.isoformat())
     values = [day, "subject", "predicate", "object", "subject_term", "predicate_term", "object_term", "kg", F.lit("v1.0"), day, F.lit("URI"), F.lit("Title"), F.lit("en")]
-    columns = [(F.col(v) if isinstance(v, str) else v).alias(name) for v, name in zip(values, EXPORT, strict=True)]
-    table.select(*columns).write.option("header", True).option("maxRecordsPerFile", TEXT_ROWS).csv(path)
+    return table.select(*((F.col(v) if isinstance(v, str) else v).alias(name) for v, name in zip(values, EXPORT, strict=True)))
+
+
+def _imported(rows: DataFrame) -> DataFrame:
+    names = {"kg": "Domain", "subject": "Subject", "predicate": "Predicate", "object": "Object", "subject_term": "SubjectTerm", "predicate_term": "PredicateTerm", "object_term": "ObjectTerm"}
+    return rows.select(*(F.col(c).alias(name) for name, c in names.items()))
+
+
+def export_triples(table: DataFrame, path: str, date: datetime.date) -> None:
+    """Writes the 13-column table as CSV, files of at most TEXT_ROWS rows."""
+    _exported(table, date).write.option("header", True).option("maxRecordsPerFile", TEXT_ROWS).csv(path)
+
+
+def export_sheets(table: DataFrame, path: str, date: datetime.date, terms_only: bool = False, rows: int = TEXT_ROWS) -> None:
+    """Appends the 13-column table, or its columns of terms alone, as spreadsheets of at most `rows` rows."""
+    made = _exported(table, date)
+    write_xlsx(made.select("SubjectTerm", "PredicateTerm", "ObjectTerm") if terms_only else made, path, rows=rows)
 
 
 def read_exported(spark: SparkSession, path: str) -> DataFrame:
     """Triples from exported CSV files; files whose names hold ~ or ._ are skipped."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in EXPORT])
     rows = spark.read.schema(schema).option("header", True).csv(path).where(~F.element_at(F.split(F.input_file_name(), "/"), -1).rlike(r"~|\._"))
-    return rows.select(F.col("Domain").alias("kg"), F.col("Subject").alias("subject"), F.col("Predicate").alias("predicate"), F.col("Object").alias("object"), F.col("SubjectTerm").alias("subject_term"), F.col("PredicateTerm").alias("predicate_term"), F.col("ObjectTerm").alias("object_term"))
+    return _imported(rows)
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """Triples from a folder of exported spreadsheets; columns that a sheet hasn't got are null."""
+    return _imported(read_xlsx(spark, path, EXPORT))
 
 
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:

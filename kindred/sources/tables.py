@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.operators.context import Context
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # readers go to executors whole: they need no installation of this package
+
 PARTS = ("cells", "unknown", "meta", "by_property")
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -57,16 +61,26 @@ def read_features(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def _plain(text: str) -> str:
+    """Characters that XML can't hold stand as _xHHHH_."""
+    return re.sub(r"_x([0-9A-Fa-f]{4})_", lambda m: chr(int(m[1], 16)), text)
+
+
 def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
     """Rows of the first sheet of an .xlsx file, cells as text in their columns, None where there is none."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared: list[str] = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+            shared = [_plain("".join(t.text or "" for t in item.iter(f"{_SHEET}t"))) for item in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
         sheets = [n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)]
         first = min(sheets, key=lambda n: int(re.sub(r"\D", "", n)))
         with z.open(first) as sheet:
-            for _, row in ET.iterparse(sheet):
+            above: list[ET.Element] = []
+            for event, row in ET.iterparse(sheet, ("start", "end")):
+                if event == "start":
+                    above.append(row)
+                    continue
+                above.pop()
                 if row.tag != f"{_SHEET}row":
                     continue
                 out: list[str | None] = []
@@ -76,11 +90,12 @@ def sheet_rows(content: bytes) -> Iterator[list[str | None]]:
                         at = at * 26 + ord(letter) - 64
                     at = at - 1 if at else len(out)
                     value, kind = cell.find(f"{_SHEET}v"), cell.get("t")
-                    text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
+                    text = _plain("".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))) if kind == "inlineStr" else None if value is None else shared[int(value.text)] if kind == "s" else value.text
                     out += [None] * (at + 1 - len(out))
                     out[at] = text
                 yield out
-                row.clear()
+                if above:
+                    above[-1].clear()  # rows that were read leave the sheet
 
 
 def read_xlsx(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

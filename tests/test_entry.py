@@ -5,13 +5,13 @@ import __spark_entry__ as e
 from kindred.plans import queries as own
 
 SF = "/root/testdata/sf0.001"
-FAST = ["local_name", "formal_label", "word_split", "etype_property", "fca_v", "fca_i", "sim_levenshtein", "sim_v", "property_map", "metrics", "sim_wordnet", "sense_depths", "layers_of_customers", "layers_of_dag", "negative_sample", "property_pairs_labeled"]
+FAST = ["local_name", "formal_label", "word_split", "etype_property", "fca_v", "fca_i", "sim_levenshtein", "sim_v", "property_map", "metrics", "sim_wordnet", "sense_depths", "layers_of_customers", "layers_of_dag", "negative_sample", "property_pairs_labeled", "vectors_binary", "spreadsheets", "class_expressions"]
 
 
 @pytest.mark.parametrize("name", FAST)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("region", "nation", "customer", "supplier", "part", "orders", "pages", "labels", "documents", "events"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "pages", "labels", "documents", "events", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     df = own.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
