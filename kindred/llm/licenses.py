@@ -246,6 +246,7 @@ cc-by-nd 2 creativecommons: creativecommons org licenses by nd(?: {V})?
 cc-by-nc 2 creativecommons: creativecommons org licenses by nc(?: {V})?
 cc-by-nc-sa 2 creativecommons: creativecommons org licenses by nc sa(?: {V})?
 cc-by-nc-nd 2 creativecommons: creativecommons org licenses by nc nd(?: {V})?
+public-domain 1 domain: public domain
 public-domain 2 domain: (?:released|dedicated|placed|is) (?:in|into|to) the public domain
 cc0-1 2 cc0: cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?
 cc0-1 2 creative: creative commons (?:zero|cc0)(?: 1 0)?
@@ -264,6 +265,13 @@ gfdl-1.3 2 documentation: gnu free documentation {L}{S}1 3
 gfdl-1.3+ 2 documentation: gnu free documentation {L}{S}1 3{LATER}
 ogl-uk-3 2 government: open government {L}(?:{S}3(?: 0)?)?
 """
+# Short names beside the identifiers, and their labels.
+SHORT = """
+Apache apache, Apache-2 apache-2, Apache2 apache-2, ASL-2.0 apache-2, BSD bsd, BSD-3 bsd-3-clause, BSD-2 bsd-2-clause, GPL gpl, GPL-2 gpl-2, GPL-3 gpl-3, GPLv2 gpl-2, GPLv3 gpl-3, GPL-v2 gpl-2, GPL-v3 gpl-3,
+LGPL lgpl, LGPL-3 lgpl-3, LGPLv3 lgpl-3, AGPL agpl, AGPL-3 agpl-3, AGPLv3 agpl-3, MPL mpl, MPL-2 mpl-2, MPLv2 mpl-2, EPL epl, EPL-2 epl-2, CC0 cc0-1, CC-BY cc-by, CC-BY-SA cc-by-sa, public-domain public-domain
+"""
+#: Families whose short names are no common words; others name a license only after words that say so.
+FAMILIES = ("mit", "bsd", "0bsd", "apache", "gpl", "lgpl", "agpl", "mpl", "epl", "cddl", "eupl", "cc", "cc0", "bsl", "isc", "unlicense")
 PARTS = {
     "{LATER}": r"(?: and)?(?: or)?(?: at your option)?(?: any)? (?:later|newer)(?: versions?)?",
     "{L}": r"licen[sc]es?",
@@ -272,12 +280,19 @@ PARTS = {
 }
 #: What may stand before a title and makes it a grant.
 _GRANT = re.compile(r"(?<![^ ])(?:(?:dual |double )?(?:licen[sc]ed|released|distributed|available|provided|published|covered|offered) )?(?:under|with|by|subject to) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?$")
-IDENTIFIER, GRANT = 4, 3
+#: Characters of the longest words of a grant: no search for them need go back further.
+_GRANT_CHARS = len(" double distributed subject to the terms and conditions of the ")
+#: What may stand before a title and says that it doesn't hold, and what may stand after one that is no license.
+_DENIED = re.compile(r"(?<![^ ])(?:not|no longer|never|nor|neither|isn t|aren t|other than|instead of)(?: (?:licen[sc]ed|released|distributed|available|provided|published|covered|offered))? (?:an? |the )?$")
+_DENIED_CHARS = len(" no longer distributed the ")
+_OTHER_THING = re.compile(r" (?:offices?|plates?|keys?|fees?|servers?|numbers?|holders?)(?![^ ])")
+IDENTIFIER, GRANT, TITLE = 4, 3, 2
 
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern runs over ' '-joined lower-case words, where one of `keywords` must occur; priority decides among overlapping matches of which none holds the other."""
+    """pattern runs over ' '-joined lower-case words, where one of `keywords` must occur; priority decides among overlapping matches of which none holds the other. A rule without a label finds alternatives:
+    each short name of its match gives that name's label, the first with the words before it."""
 
     pattern: re.Pattern
     keywords: tuple[str, ...]
@@ -286,9 +301,40 @@ class Rule:
     order: int
 
 
+@cache
+def names() -> dict[str, str]:
+    """Identifiers and short names, as words, with their labels."""
+    pairs = (pair.split() for part in (SPDX, SHORT) for pair in part.replace("\n", " ").split(","))
+    return {re.sub("[-.+]", " ", name.lower()).strip(): label for name, label in pairs}
+
+
+def _chain(chosen: Iterable[str], least: int) -> str:
+    one = rf"(?:{'|'.join(sorted(chosen, key=lambda n: (-len(n), n)))})(?: licen[sc]es?)?(?![^ ])"
+    return rf"{one}(?:(?: or| and| and or)? {one}){{{least - 1},}}"
+
+
+@cache
+def _members() -> re.Pattern:
+    return re.compile(rf"(?<![^ ])(?P<name>{'|'.join(sorted(names(), key=lambda n: (-len(n), n)))})(?: licen[sc]es?)?(?![^ ])")
+
+
+def _alternatives() -> Iterator[tuple[str, str, int]]:
+    """(pattern, keywords, priority) of the rules of alternatives: 'X or Y', 'X and Y', 'X/Y' and single names after words that announce a license; two names or more of plain families without such words."""
+    every = _chain(names(), 1)
+    yield rf"spdx license identifier (?P<chain>{every})", "spdx", IDENTIFIER
+    yield rf"(?:(?:dual |double |triple )?licen[sc]ed(?: under| by| as| with)?(?: the)?(?: terms of)?(?: the)?(?: either)?) (?P<chain>{every})", "licensed,licenced", GRANT
+    yield rf"licen[sc]es?(?: is| are| type| name)? (?P<chain>{every})", "license,licence,licenses,licences", TITLE
+    plain = [n for n, label in names().items() if label.split("-")[0].rstrip("+") in FAMILIES]
+    yield rf"(?P<chain>{_chain(plain, 2)})", ",".join(sorted({n.split()[0] for n in plain if _versioned(n)})), TITLE
+
+
+def _versioned(name: str) -> bool:
+    return bool(re.search(r"\d", name)) and not name.startswith(("mit", "0bsd"))
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules in order: identifiers, then the written ones."""
+    """All rules in order: identifiers, then the written ones, then those of alternatives."""
     out: list[Rule] = []
 
     def add(pattern: str, keywords: str, label: str, priority: int) -> None:
@@ -304,6 +350,8 @@ def rules() -> tuple[Rule, ...]:
                 pattern = pattern.replace(name, part)
             label, priority, keywords = head.split()
             add(pattern, keywords, label, int(priority))
+    for pattern, keywords, priority in _alternatives():
+        add(pattern, keywords, "", priority)
     return tuple(out)
 
 
@@ -338,16 +386,24 @@ class Detection:
 
 
 def matches(joined: str, chosen: Iterable[Rule]) -> list[tuple[int, int, int, int, str]]:
-    """(first character, character after the last, priority, order, label) of all matches of rules; a title after words of a grant takes them in and their priority."""
+    """(first character, character after the last, priority, order, label) of all matches of rules; a title after words of a grant takes them in and their priority. Titles after words that deny them, and those that
+    name another thing ("license office"), are none."""
     out = []
     for rule in chosen:
         for m in rule.pattern.finditer(joined):
-            start, priority, label = m.start(), rule.priority, rule.label
-            if priority < GRANT and (g := _GRANT.search(joined, max(0, start - 90), start)):
-                start, priority = g.start(), GRANT
-            if "v" in rule.pattern.groupindex and m["v"]:
-                label = f"{label}-{m['v'].removesuffix(' 0').replace(' ', '.')}"
-            out.append((start, m.end(), priority, rule.order, label))
+            start, priority = m.start(), rule.priority
+            if rule.priority < GRANT or not rule.label:
+                if priority < GRANT and (g := _GRANT.search(joined, max(0, start - _GRANT_CHARS), start)):
+                    start, priority = g.start(), GRANT
+                if priority < IDENTIFIER and (_DENIED.search(joined, max(0, start - _DENIED_CHARS), start) or _OTHER_THING.match(joined, m.end())):
+                    continue
+            if rule.label:
+                version = m["v"] if "v" in rule.pattern.groupindex else None
+                out.append((start, m.end(), priority, rule.order, f"{rule.label}-{version.removesuffix(' 0').replace(' ', '.')}" if version else rule.label))
+                continue
+            members = list(_members().finditer(joined, m.start("chain"), m.end("chain")))
+            if m.start("chain") > m.start() or any(_versioned(x["name"]) for x in members):
+                out += [(start if x is members[0] else x.start(), x.end(), priority, rule.order, names()[x["name"]]) for x in members]
     return out
 
 

@@ -347,7 +347,11 @@ NOTICES = {
     "the new BSD license and zlib license": "bsd-3-clause,zlib", "LGPL-2.1-or-later": "lgpl-2.1+", "CC-BY-NC-SA 4.0": "cc-by-nc-sa-4", "https://creativecommons.org/licenses/by-nc/4.0/": "cc-by-nc-4",
     "Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4", "GNU Affero General Public License v3.0": "agpl-3", "the Mozilla Public License, v. 2.0": "mpl-2",
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3+",
-    "a plain text": "", "": "",
+    "MIT or Apache-2.0": "mit,apache-2", "MIT/Apache-2.0": "mit,apache-2", "dual-licensed under MIT and Apache 2.0": "mit,apache-2", "Dual licensed under the MIT or GPLv2 licenses.": "mit,gpl-2", "License: MIT": "mit",
+    "License: BSD": "bsd", "license = Unlicense": "unlicense", "This is public domain.": "public-domain", "SPDX-License-Identifier: MIT OR Apache-2.0": "mit,apache-2", "licensed under either MIT or Apache License, Version 2.0": "mit,apache-2",
+    "SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-3-Clause) OR MIT": "gpl-2+,bsd-3-clause,mit", "the University's MIT License office": "", "this is not the MIT license": "", "not released under the GPL v3": "",
+    "no longer under the Apache License 2.0, but under the MIT license": "mit", "license key": "", "Ruby and Python 2.0": "", "mit Ruby und JSON": "", "MIT and BSD are places": "", "GPL-3.0-only OR LGPL-3.0-or-later": "gpl-3,lgpl-3+",
+    "distributed subject to the terms and conditions of the MIT license": "mit", "a plain text": "", "": "",
 }
 
 
