@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import PROPERTY_PREDICATES, union_pieces
+from kindred.operators.blocks import lookup
 from kindred.plans.scratch import discard, written
 
 
@@ -41,8 +42,10 @@ def ancestor_distances(edges: DataFrame, longest: bool = False) -> DataFrame:
     while True:
         if longest and size[3]:
             raise ValueError("longest paths need a graph without cycles")
-        sums = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in now.columns[3:]]
-        further = now.alias("a").join(now.alias("b"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.ancestor") == F.col("b.node"))).select("a.kg", "a.node", "b.ancestor", *sums)
+        lengths = now.columns[3:]
+        on = now.select("kg", F.col("node").alias("mid"), F.col("ancestor").alias("further"), *(F.col(c).alias(f"{c}_on") for c in lengths))
+        both = lookup(now.withColumnRenamed("ancestor", "mid"), on, ["kg", "mid"])  # a root may have all nodes below it
+        further = both.select("kg", "node", F.col("further").alias("ancestor"), *((F.col(c) + F.col(f"{c}_on")).alias(c) for c in lengths))
         old, now = now, written(now.unionByName(further).groupBy("kg", "node", "ancestor").agg(*best), "closure")
         discard(old)
         if (grown := now.agg(*sizes).first()) == size:

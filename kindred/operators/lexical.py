@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.similarity import cosine, levenshtein, longest_common, ngram1
 from kindred.functions.terms import name_words
+from kindred.operators.blocks import lookup
 from kindred.operators.hierarchy import ancestor_distances
 from kindred.plans.scratch import written
 
@@ -40,7 +41,8 @@ def depths(hypernyms: DataFrame, up: DataFrame | None = None) -> DataFrame:
     without cycles, in which a node may have several parents. up: `_upward` of it, if it is there."""
     up = _upward(hypernyms, hypernyms.select(F.col("child").alias("node"))) if up is None else up
     inner = hypernyms.where("child != parent").select(F.col("child").alias("ancestor")).distinct()
-    return up.join(inner, "ancestor", "left_anti").groupBy("node").agg(F.min("distance").alias("least"), F.max("longest").alias("most"))
+    roots = up.where("distance = 0").select("ancestor").join(inner, "ancestor", "left_anti")
+    return lookup(up, roots, ["ancestor"]).groupBy("node").agg(F.min("distance").alias("least"), F.max("longest").alias("most"))
 
 
 def wu_palmer(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
@@ -49,27 +51,33 @@ def wu_palmer(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
     Of the common ancestors (a node is its own) the one counts that is deepest by its shortest way to a root; of equal ones a itself, then the first by name. With d one more than that ancestor's longest
     way to a root, wup is 2 d / (d + steps to a + d + steps to b); steps between a node and the ancestor are the fewest by way of any common ancestor of the two. A node outside
     the graph is a root of its own. Null without a common ancestor: give roots a common parent where they should have one. Pairs with a null have no row.
+    A node's ancestors are gathered in one list, in the order in which they count, so pairs stay one row each, and what is common to two lists is found within the row.
     """
-    wanted = pairs.select("a", "b").where("a is not null and b is not null").distinct()
-    up = written(_upward(hypernyms, wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node")))), "upward")
-    deep = depths(hypernyms, up)
-    side = lambda name: up.select(F.col("node").alias(name), "ancestor")
-    both = wanted.join(side("a"), "a").join(side("b"), ["b", "ancestor"]).join(deep.withColumnRenamed("node", "ancestor"), "ancestor")
-    best = F.min(F.struct((-F.col("least")).alias("high"), (F.col("ancestor") != F.col("a")).alias("other"), "ancestor", "most"))
-    met = both.groupBy("a", "b").agg(best.alias("met")).select("a", "b", F.col("met.ancestor").alias("top"), (F.col("met.most") + 1).alias("d"))
-    ways = met.select(F.col("a").alias("node"), "top").unionByName(met.select(F.col("b").alias("node"), "top")).distinct()
+    wanted = written(pairs.select("a", "b").where("a is not null and b is not null").repartition("a", "b").distinct(), "pairs")  # else a task of the scan would gather all its pairs
+    asked = wanted.select(F.col("a").alias("node")).unionByName(wanted.select(F.col("b").alias("node"))).distinct()
+    up = written(_upward(hypernyms, asked), "upward")
+    own = up.join(asked, "node", "left_semi")
     above = up.select(F.col("node").alias("top"), "ancestor", F.col("distance").alias("more"))
-    steps = ways.join(up.select("node", "ancestor", "distance"), "node").join(above, ["top", "ancestor"]).groupBy("node", "top").agg(F.min(F.col("distance") + F.col("more")).alias("steps"))
-    to = lambda name: steps.select(F.col("node").alias(name), "top", F.col("steps").alias(f"to_{name}"))
-    scored = met.join(to("a"), ["a", "top"]).join(to("b"), ["b", "top"]).select("a", "b", (2.0 * F.col("d") / (2 * F.col("d") + F.col("to_a") + F.col("to_b"))).alias("wup"))
-    return wanted.join(scored, ["a", "b"], "left")
+    ways = lookup(own.select("node", F.col("ancestor").alias("top")), above, ["top"])
+    steps = ways.join(own.select("node", "ancestor", "distance"), ["node", "ancestor"]).groupBy("node", "top").agg(F.min(F.col("distance") + F.col("more")).alias("steps"))
+    placed = lookup(steps, depths(hypernyms, up).withColumnRenamed("node", "top"), ["top"])
+    place = F.struct((-F.col("least")).alias("high"), (F.col("top") != F.col("node")).alias("other"), "top", "most", "steps")
+    tops = written(placed.groupBy("node").agg(F.array_sort(F.collect_list(place)).alias("tops")), "tops")  # of each node, its ancestors, the one that counts most first
+    side = lambda name: tops.select(F.col("node").alias(name), F.col("tops").alias(f"of_{name}"))
+    both = lookup(lookup(wanted, side("b"), ["b"]), side("a"), ["a"], counted=wanted)
+    met = both.withColumn("top", F.get(F.array_intersect("of_a.top", "of_b.top"), F.lit(0)))
+    at = lambda name: F.get(F.filter(name, lambda x: x["top"] == F.col("top")), F.lit(0))
+    met = met.select("a", "b", at("of_a").alias("one"), at("of_b").alias("two"))
+    d = F.col("one.most") + 1
+    return met.select("a", "b", (2.0 * d / (2 * d + F.col("one.steps") + F.col("two.steps"))).alias("wup"))
 
 
 def synset_similarity(words: DataFrame, synsets: DataFrame, hypernyms: DataFrame) -> DataFrame:
     """(label1, label2, sim): the greatest Wu-Palmer similarity of a synset of each; 0 without any. synsets: (word, synset); hypernyms: (child, parent), see `wu_palmer`."""
     one, two = synsets.select(F.col("word").alias("w1"), F.col("synset").alias("a")), synsets.select(F.col("word").alias("w2"), F.col("synset").alias("b"))
-    sense = words.join(one, "w1").join(two, "w2").select("label1", "label2", "a", "b").distinct()
-    scored = sense.join(wu_palmer(sense, hypernyms), ["a", "b"], "left").groupBy("label1", "label2").agg(F.max("wup").alias("wup"))
+    sense = lookup(lookup(words, one, ["w1"]), two, ["w2"], counted=words).select("label1", "label2", "a", "b")
+    sense = written(sense.repartition("label1", "label2", "a", "b").distinct(), "senses")
+    scored = lookup(sense, wu_palmer(sense, hypernyms), ["a", "b"]).groupBy("label1", "label2").agg(F.max("wup").alias("wup"))
     return words.select("label1", "label2").distinct().join(scored, ["label1", "label2"], "left").select("label1", "label2", F.coalesce("wup", F.lit(0.0)).alias("sim"))
 
 

@@ -506,7 +506,8 @@ def sim_wup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = nation.select(name("N", "n_nationkey").alias("child"), name("R", "n_regionkey").alias("parent"))
     tree = tree.unionByName(people.select(name("C", "c_custkey").alias("child"), name("N", "c_nationkey").alias("parent")))
     tree = tree.unionByName(table(spark, sf_dir, "region").select(name("R", "r_regionkey").alias("child"), F.lit("root").alias("parent")))
-    both = people.select(name("C", "c_custkey").alias("a")).crossJoin(F.broadcast(nation.select(name("N", "n_nationkey").alias("b"))))  # 25 nations
+    dealt = people.select(name("C", "c_custkey").alias("a")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a")  # a task of the scan would make 25 times its rows
+    both = dealt.crossJoin(F.broadcast(nation.select(name("N", "n_nationkey").alias("b"))))  # 25 nations
     return rounded(lexical.wu_palmer(both, tree), "wup")
 
 

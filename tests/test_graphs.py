@@ -154,6 +154,34 @@ def test_a_large_key_is_many_even_tasks(spark):
     assert sum(sizes) == 16_000_000 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_of_a_frequent_key(spark, how):
+    """40,000 rows of one key beside others, some without a match and null ones: rows as of a plain join, the key's spread over the partitions."""
+    many = spark.range(40_100).selectExpr("case when id < 40000 then 'top' when id < 40050 then 'k' || id when id < 40098 then 'x' end as k", "id as a")
+    few = spark.createDataFrame([("top", 1), ("top", 2), (None, 3), ("y", 4), *((f"k{i}", i) for i in range(40_000, 40_050))], "k string, b int")
+    plain = many.join(few, ["k"], how)
+    assert sorted(map(tuple, blocks.lookup(many, few, ["k"], how, heavy=1000).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        sizes = [r["count"] for r in blocks.lookup(many, few, ["k"], how, counted=many.select("k"), heavy=1000).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == plain.count() and max(sizes) < 40_000
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_wu_palmer_with_frequent_nodes(spark, monkeypatch, seed):
+    """The same results where nearly all keys are frequent, and joins that are dealt by parts and aren't broadcast."""
+    monkeypatch.setattr(blocks, "HEAVY", 2)
+    edges = random_dag(seed, 14)
+    nodes = sorted({x for e in edges for x in e})
+    made = lexical.wu_palmer(spark.createDataFrame([*itertools.product(nodes, nodes)], "a string, b string"), edges_of(spark, edges))
+    assert {(r.a, r.b): r.wup for r in made.collect()} == {(a, b): w if (w := plain_wup(edges, a, b)) is None else pytest.approx(w) for a, b in itertools.product(nodes, nodes)}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("kd_part") > 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 64, 97, 4096, 10**6])
 @pytest.mark.parametrize("seed", [0, 42])
 def test_walks_come_by_all_numbers(n, seed):
