@@ -78,7 +78,7 @@ def synset_similarity(words: DataFrame, synsets: DataFrame, hypernyms: DataFrame
     sense = lookup(lookup(words, one, ["w1"]), two, ["w2"], counted=words).select("label1", "label2", "a", "b")
     sense = written(sense.repartition("label1", "label2", "a", "b").distinct(), "senses")
     scored = lookup(sense, wu_palmer(sense, hypernyms), ["a", "b"]).groupBy("label1", "label2").agg(F.max("wup").alias("wup"))
-    return words.select("label1", "label2").distinct().join(scored, ["label1", "label2"], "left").select("label1", "label2", F.coalesce("wup", F.lit(0.0)).alias("sim"))
+    return words.select("label1", "label2").repartition("label1", "label2").distinct().join(scored, ["label1", "label2"], "left").select("label1", "label2", F.coalesce("wup", F.lit(0.0)).alias("sim"))
 
 
 def string_similarities(pairs: DataFrame, vectors: DataFrame | None = None, synsets: DataFrame | None = None, hypernyms: DataFrame | None = None, substring: bool = False) -> DataFrame:

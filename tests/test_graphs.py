@@ -217,3 +217,14 @@ def test_a_few_of_many_pairs(spark):
     got = pairs.sample_unmatched(side(1), side(2), known, spark.createDataFrame([("a", "b", 10)], "kg1 string, kg2 string, k long"), 7)
     start, step = pairs.walk(10**10, 7)
     assert sorted((r.label1, r.label2) for r in got.collect()) == sorted((f"n{x // 100_000:05d}", f"n{x % 100_000:05d}") for x in ((start + t * step) % 10**10 for t in range(10)))
+
+
+def test_senses_of_a_frequent_word(spark, monkeypatch):
+    """Many labels against one word of two senses: joins on the word are dealt by parts, and no join of the result broadcasts the senses."""
+    monkeypatch.setattr(blocks, "HEAVY", 10)
+    e = edges_of(spark, [*((f"c{i}", f"n{i % 3}") for i in range(60)), *((f"n{i}", "top") for i in range(3)), ("r", "top")])
+    synsets = spark.createDataFrame([*((f"w{i}", f"c{i}") for i in range(60)), ("many", "r"), ("many", "n1")], "word string, synset string")
+    words = spark.range(60).selectExpr("'W' || id as label1", "'M' as label2", "'w' || id as w1", "'many' as w2")
+    made = lexical.synset_similarity(words, synsets, e)
+    assert {r.label1: round(r.sim, 6) for r in made.collect()} == {f"W{i}": round(2 * 2 / (2 * 2 + 1), 6) if i % 3 == 1 else round(2 / (2 + 2 + 1), 6) for i in range(60)}
+    assert "kd_part" in made._jdf.queryExecution().optimizedPlan().toString()
