@@ -132,20 +132,21 @@ def list_places(graph: DataFrame) -> DataFrame:
 
     Cells point to the next one, and pointers double each round, so rounds grow with the logarithm of the longest list and rows stay those of the cells. Lists share no cells; a
     cell's least `first` and `rest` count, and cells that lead into a circle belong to no list.
+    Joins here and in `expressions` are merges by hint: sizes are estimated from packed files, and these tables would go to the driver and to every executor as broadcasts many times as large.
     """
     short = graph.withColumn("p", local_name(F.col("predicate"))).where("p in ('first', 'rest')")
     cells = short.groupBy("kg", F.col("subject").alias("cell")).agg(F.min(F.when(F.col("p") == "first", F.col("object"))).alias("member"), F.min(F.when(F.col("p") == "rest", F.col("object"))).alias("next"))
     cells = written(cells.where("member is not null"), "cells")
     known = cells.select("kg", F.col("cell").alias("next"), F.lit(1).alias("step"))
     step = F.coalesce("step", F.lit(0)).cast("long")
-    now = written(cells.join(known, ["kg", "next"], "left").select("kg", "cell", F.when(step == 1, F.col("next")).otherwise(F.col("cell")).alias("end"), step.alias("after")), "places")
+    now = written(cells.join(known.hint("merge"), ["kg", "next"], "left").select("kg", "cell", F.when(step == 1, F.col("next")).otherwise(F.col("cell")).alias("end"), step.alias("after")), "places")
     size, most = now.agg(F.count("*"), F.sum("after")).first(), now.count()
     while True:
-        doubled = now.alias("a").join(now.alias("b"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.end") == F.col("b.cell"))).select("a.kg", "a.cell", "b.end", (F.col("a.after") + F.col("b.after")).alias("after"))
+        doubled = now.alias("a").join(now.alias("b").hint("merge"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.end") == F.col("b.cell"))).select("a.kg", "a.cell", "b.end", (F.col("a.after") + F.col("b.after")).alias("after"))
         old, now = now, written(doubled.where(F.col("after") <= most), "places")  # in a circle, steps soon outnumber the cells
         discard(old)
         if (grown := now.agg(F.count("*"), F.sum("after")).first()) == size:
-            return now.join(cells.select("kg", "cell", "member"), ["kg", "cell"])
+            return now.join(cells.select("kg", "cell", "member").hint("merge"), ["kg", "cell"])
         size = grown
 
 
@@ -158,18 +159,18 @@ def expressions(graph: DataFrame) -> DataFrame:
     short = graph.select("kg", "subject", local_name(F.col("predicate")).alias("p"), "object", "object_kind")
     heads = short.where("p in ('unionOf', 'intersectionOf')").select("kg", F.col("subject").alias("root"), F.col("object").alias("cell"))
     places = list_places(graph)
-    first = heads.join(places.select("kg", "cell", "end", F.col("after").alias("whole")), ["kg", "cell"]).drop("cell")
-    listed = first.join(places, ["kg", "end"]).where("after <= whole").select("kg", "root", F.array(F.col("whole") - F.col("after")).alias("path"), F.col("member").alias("leaf"))
+    first = heads.join(places.select("kg", "cell", "end", F.col("after").alias("whole")).hint("merge"), ["kg", "cell"]).drop("cell")
+    listed = first.join(places.hint("merge"), ["kg", "end"]).where("after <= whole").select("kg", "root", F.array(F.col("whole") - F.col("after")).alias("path"), F.col("member").alias("leaf"))
     filled = short.where("p in ('someValuesFrom', 'allValuesFrom', 'onClass')").select("kg", F.col("subject").alias("root"), F.array(F.lit(0).cast("long")).alias("path"), F.col("object").alias("leaf"))
     now = written(listed.unionByName(filled), "expressions")
     blank = F.startswith("leaf", F.lit("_:"))
     inner = now.where(blank).select("kg", F.col("root").alias("child"), F.col("leaf").alias("parent"))
     if not inner.isEmpty():  # a blank node with itself below it would unfold for ever
         circles = ancestor_distances(inner).where("node = ancestor").select("kg", F.col("node").alias("root")).unionByName(now.where("root = leaf").select("kg", "root")).distinct()
-        now = written(now.join(circles, ["kg", "root"], "left_anti"), "expressions")
+        now = written(now.join(circles.hint("merge"), ["kg", "root"], "left_anti"), "expressions")
     while not now.where(blank).isEmpty():
         closed = now.where(~blank)
-        further = now.where(blank).alias("a").join(now.alias("b"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.leaf") == F.col("b.root"))).select("a.kg", "a.root", F.concat("a.path", "b.path").alias("path"), "b.leaf")
+        further = now.where(blank).alias("a").join(now.alias("b").hint("merge"), (F.col("a.kg") == F.col("b.kg")) & (F.col("a.leaf") == F.col("b.root"))).select("a.kg", "a.root", F.concat("a.path", "b.path").alias("path"), "b.leaf")
         old, now = now, written(closed.unionByName(further), "expressions")
         discard(old)
     ordered = F.array_sort(F.collect_list(F.struct("path", local_name(F.col("leaf")).alias("m"))))
@@ -198,11 +199,11 @@ def triples(graph: DataFrame, literals: str = "cut", coded: bool = True, blank_p
         raise ValueError("literals is 'cut' or 'keep'")
     if blank_parents not in ("drop", "subclasses"):
         raise ValueError("blank_parents is 'drop' or 'subclasses'")
-    joined = graph.join(expressions(graph).withColumnRenamed("bnode", "object"), ["kg", "object"], "left")
+    joined = graph.join(expressions(graph).withColumnRenamed("bnode", "object").hint("merge"), ["kg", "object"], "left")
     predicate = local_name(F.col("predicate"))
     blank = F.when(predicate.isin("domain", "range"), F.coalesce("members", F.lit("BNode")))
     if blank_parents == "subclasses":
-        joined = joined.join(subclasses(graph), ["kg", "subject"], "left")
+        joined = joined.join(subclasses(graph).hint("merge"), ["kg", "subject"], "left")
         blank = blank.when(F.contains(F.lower(predicate), F.lit("subclass")), F.col("below"))
     blank = blank.otherwise(F.lit("BNode"))
     text = local_name(F.col("object")) if literals == "cut" else F.when(F.col("object_kind") == "literal", F.col("object")).otherwise(local_name(F.col("object")))

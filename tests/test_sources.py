@@ -187,3 +187,16 @@ def test_steps_from_files_to_measures(spark, tmp_path):
     one = context.dense(c).where("kg = 'k1'")
     tables.write_wide(one, c.meta.where("kg = 'k1'"), "v", path("w"))
     assert {(r.etype, r.property, int(r.v)) for r in tables.read_wide(spark, path("w"), "k1").collect()} == {(r.etype, r.property, r.v) for r in one.collect()}
+
+
+def test_expressions_are_joined_without_broadcasts(spark):
+    """Tables of list cells grow with the graph, however small their packed files are."""
+    rows = [("k", "_:u", "x#unionOf", "_:c0", "bnode")]
+    for i in range(40):
+        rows += [("k", f"_:c{i}", "x#first", f"x#A{i:02d}", "iri"), ("k", f"_:c{i}", "x#rest", f"_:c{i + 1}" if i < 39 else "x#nil", "bnode" if i < 39 else "iri")]
+    rows.append(("k", "x#p", "x#domain", "_:u", "bnode"))
+    graph = spark.createDataFrame(rows, "kg string, subject string, predicate string, object string, object_kind string")
+    made = ontology.triples(graph, coded=False)
+    assert [r.object_term for r in made.where("predicate_term = 'domain'").collect()] == ["|".join(f"A{i:02d}" for i in range(40))]
+    for df in (made, ontology.list_places(graph)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
