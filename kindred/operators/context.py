@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kindred.functions.terms import capital_pieces, matrix_tokens, spaced_words, without_stop_words
-from kindred.operators.blocks import product
+from kindred.operators.blocks import lookup, product
 from kindred.plans.scratch import written
 
 KEYS = ["kg", "etype"]
@@ -30,11 +30,11 @@ def property_words(properties: DataFrame, split_capitals: bool = False) -> DataF
     words = properties.select("kg", "etype", F.explode(spaced_words(F.col("property"))).alias("word"))
     if split_capitals:
         words = words.select("kg", "etype", F.explode(capital_pieces(F.col("word"))).alias("word"))
+    words = words.where("kg is not null and etype is not null")
     marked = words.withColumn("kept", F.size(without_stop_words(F.array("word", F.lit("the")))) == 1)  # beside a stop word, only a word that stays is left
-    some = marked.groupBy(KEYS).agg(F.max("kept").alias("some"))
-    both = marked.join(some, KEYS)
-    good = both.where("kept").select(*KEYS, "word").distinct()
-    return good.unionByName(both.where("not some").select(*KEYS, "word"))
+    good = marked.where("kept").select(*KEYS, "word").distinct()
+    bare = marked.where("not kept").select(*KEYS, "word").join(good.select(KEYS).distinct().hint("merge"), KEYS, "left_anti")
+    return good.unionByName(bare)
 
 
 def token_counts(words: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def build(properties: DataFrame, closure: DataFrame, layered: DataFrame, declare
     own = written(counted.select(*KEYS, "property", (F.col("cnt") * F.col("layer")).cast("int").alias("w")), "own")
     types = words.select(KEYS).distinct()
     up = closure.select("kg", F.col("node").alias("etype"), "ancestor")
-    above = up.join(own.select("kg", F.col("etype").alias("ancestor"), "property", F.col("w").alias("aw")), ["kg", "ancestor"]).groupBy(*KEYS, "property").agg(F.min("aw").alias("aw"))
+    above = lookup(up, own.select("kg", F.col("etype").alias("ancestor"), "property", F.col("w").alias("aw")), ["kg", "ancestor"]).groupBy(*KEYS, "property").agg(F.min("aw").alias("aw"))
     how = "full" if inherit_positive else "left"
     cells = own.join(above, [*KEYS, "property"], how).select(*KEYS, "property", F.least("w", "aw").cast("int").alias("v"))
     cells = written(cells.join(types, KEYS, "left_semi"), "cells")

@@ -97,7 +97,7 @@ def _parts(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _context(triples: DataFrame, **options) -> context.Context:
-    own, edges = _parts(triples)
+    own, edges = (written(df, name) for df, name in zip(_parts(triples), ("properties", "edges"), strict=True))  # both are read many times
     paths = hierarchy.ancestor_distances(edges)
     return context.build(own, paths, hierarchy.layers(own, edges, paths), hierarchy.declared_classes(triples), **options)
 

@@ -94,3 +94,12 @@ def test_impurity(spark):
     assert context.information_gain(df, "t", "f", "entropy").first().gain == pytest.approx(2 - round(math.log2(3), 3) * 0.75)
     with pytest.raises(ValueError):
         context.impurity(df, [], "t", "other")
+
+
+def test_words_that_stay_are_read_without_a_join(spark):
+    """Types with a word that stays give their words straight from the properties; only bare types are looked for by an anti-join."""
+    own = spark.createDataFrame([("k", "a", "the name"), ("k", "a", "of the"), ("k", "b", "the of"), ("k", "b", "the"), ("k", None, "name"), ("l", "a", "the")], "kg string, etype string, property string")
+    made = context.property_words(own)
+    assert sorted(map(tuple, made.collect())) == [("k", "a", "name"), ("k", "b", "of"), ("k", "b", "the"), ("k", "b", "the"), ("l", "a", "the")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == plan.count("Join LeftAnti") == 1
