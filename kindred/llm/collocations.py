@@ -20,6 +20,8 @@ STEP = 24_000_000
 SPREAD = 2
 #: Bits of a word's number in a step; a code of two numbers, the first of which may stand for a longer gram, fits into 63 bits.
 BITS = 31
+#: Rows that are spelled at once; a step's n-grams are numbers until then.
+CHUNK = 65_536
 
 _WORD, _SPACE, _BREAK = 0, 1, 2
 #: What each byte is once A to Z are lower-cased, and the lower-cased byte.
@@ -47,19 +49,79 @@ def _words_of(body: np.ndarray, starts: np.ndarray) -> tuple[pa.BinaryArray, np.
     edge[starts] = True
     begins = inner & edge[:-1]
     begins[1:] |= inner[1:] & ~inner[:-1]
+    start = np.flatnonzero(begins).astype(np.int32)
+    del begins
     stops = inner & edge[1:]
     stops[:-1] |= inner[:-1] & ~inner[1:]
     stops[-1:] |= inner[-1:]
-    start, stop = np.flatnonzero(begins), np.flatnonzero(stops)
+    places = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(np.flatnonzero(stops) - start + 1, out=places[1:])
+    del stops
     edge = edge[:-1]
     edge |= kind == _BREAK
-    piece = np.searchsorted(np.flatnonzero(edge), start, "right").astype(np.int32)
+    del kind
+    piece = np.searchsorted(np.flatnonzero(edge).astype(np.int32), start, "right").astype(np.int32)
     letters = _LOWER[body[inner]]
-    places = np.concatenate([[0], np.cumsum(stop - start + 1)]).astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(places), pa.py_buffer(letters)])
     return words, piece
 
 
+def _counted(texts: pa.StringArray, longest: int) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
+    """(grams, occurrences) of texts, CHUNK rows at most at a time: those of one word, of two words and so on, each by length, then in order of their words."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    words, piece = _words_of(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0])
+    coded = words.dictionary_encode()
+    del words
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int32)
+    rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+    word, spelled = rank[coded.indices.to_numpy()], coded.dictionary.take(order).cast(pa.string())
+    del coded
+    size = pc.binary_length(spelled).to_numpy()
+    codes: list[np.ndarray] = []  # of the distinct grams of 2 words, 3 words and so on: the number of the gram before the last word, and that word's
+
+    def spelt(length: np.ndarray, n: np.ndarray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
+        by_length = np.argsort(np.minimum(length, 0xFFFF).astype(np.uint16), kind="stable").astype(np.int32)
+        for some in np.split(by_length, range(CHUNK, len(n), CHUNK)):
+            parts, at = [], some
+            for code in reversed(codes):
+                parts.append(spelled.take(pa.array(code[at] & (1 << BITS) - 1)))
+                at = code[at] >> BITS
+            yield pc.binary_join_element_wise(spelled.take(pa.array(at)), *reversed(parts), " "), n[some]
+
+    if len(word):
+        yield from spelt(size, np.bincount(word, minlength=len(spelled)))
+    number, length = word, size  # at each place, the number of the gram that starts there; bytes of the distinct grams
+    for k in range(2, longest + 1):
+        here = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :]).astype(np.int32)
+        if not len(here):
+            return
+        code = number[here].astype(np.int64)
+        code <<= BITS
+        code |= word[here + np.int32(k - 1)]
+        place = None
+        if k < longest:
+            place = np.argsort(code)
+            code = code[place]
+        else:
+            number = None
+            code.sort()
+        new = np.ones(len(code), bool)
+        np.not_equal(code[1:], code[:-1], out=new[1:])
+        if place is not None:
+            number = np.zeros(len(word), np.int32)
+            number[here[place]] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        del here, place
+        first = np.flatnonzero(new)
+        n = np.diff(first, append=len(code))
+        code = code[first]
+        del new, first
+        codes.append(code)
+        length = length[code >> BITS] + size[code & (1 << BITS) - 1] + 1
+        yield from spelt(length, n)
+
+
 def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(gram, n) with a row for each n-gram of 1 to `longest` words in each step of texts: n occurrences of the words, one space between, in pieces of one language. That
     language and a line end, which is in no word, stand before the words, so one column says what is counted.
@@ -76,36 +138,10 @@ def grams(docs: DataFrame, longest: int, text_col: str = "text", lang_col: str =
             at = 0
             for tongue, size in zip(tongues.dictionary, np.bincount(tongues.indices.to_numpy()).tolist(), strict=True):
                 for _, texts in byte_slices(b.column(1).take(order[at : at + size]), STEP):
-                    for gram, n in counted(texts):
-                        length = np.minimum(pc.binary_length(gram).to_numpy(), 0xFFFF).astype(np.uint16)
-                        by_length = np.argsort(length, kind="stable")
-                        for some in np.split(by_length, range(65_536, len(gram), 65_536)):
-                            part = pc.binary_join_element_wise(tongue, gram.take(pa.array(some)), "\n")
-                            yield pa.RecordBatch.from_arrays([part, pa.array(n[some], pa.int64())], ["gram", "n"])
+                    for gram, n in _counted(texts, longest):
+                        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(tongue, gram, "\n"), pa.array(n, pa.int64())], ["gram", "n"])
                 at += size
 
-    def counted(texts: pa.StringArray) -> Iterator[tuple[pa.StringArray, np.ndarray]]:
-        _, offsets, data = texts.buffers()
-        ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        words, piece = _words_of(np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends[:-1] - ends[0])
-        coded = words.dictionary_encode()
-        order = pc.sort_indices(coded.dictionary)
-        rank = np.empty(len(order), np.int64)
-        rank[order.to_numpy()] = np.arange(len(order))
-        word, spelled = rank[coded.indices.to_numpy()], coded.dictionary.take(order).cast(pa.string())
-        if len(word):
-            yield spelled, np.bincount(word, minlength=len(spelled))
-        number, gram = word, spelled  # at each place, the number of the gram that starts there, and the distinct grams
-        for k in range(2, longest + 1):
-            here = np.flatnonzero(piece[: len(piece) - k + 1] == piece[k - 1 :])
-            if not len(here):
-                return
-            code, own, n = np.unique(number[here] << BITS | word[here + k - 1], return_inverse=True, return_counts=True)
-            gram = pc.binary_join_element_wise(gram.take(pa.array(code >> BITS)), spelled.take(pa.array(code & (1 << BITS) - 1)), " ")
-            yield gram, n
-            number = np.zeros(len(word), np.int64)
-            number[here] = own
-
     return mapped(rows, run, "gram string, n long")
 
 

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kindred.llm import collocations, periodic, sharding
@@ -138,6 +140,25 @@ def test_steps_cut_between_texts_only(spark):
     assert [piece[i] == piece[i + 1] for i in range(6)] == [True, False, False, True, True, False]
 
 
+def test_ngrams_of_a_step_are_numbers_until_they_go_out(spark, monkeypatch):
+    runs = []
+    monkeypatch.setattr(collocations, "mapped", lambda df, run, schema: runs.append(run))
+    collocations.grams(spark.createDataFrame([], "lang string, text string"), 3)
+    r = random.Random(7)
+    text = " ".join(str(r.randrange(100_000)) for _ in range(1_500_000))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([text])], ["lang", "body"])
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        most = max(tracemalloc.get_traced_memory()[0] + pool.bytes_allocated() for _ in runs[0](iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1] + pool.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    assert most < 12 * len(text) and peak < 20 * len(text)
+
+
 def brute_runs(words, least=24, copies=3):
     """All (start, length, period), by trying each period at each place."""
     out = {}
