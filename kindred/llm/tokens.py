@@ -7,12 +7,12 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,11 @@ from kindred.llm.common import byte_slices, chunks, discard, mapped, shared_dir,
 MAGIC = b"KDHF"
 HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a checkpoint, tokens, crc32 of the code lengths, bits
 #: Pieces, and bytes of them and their ids, that a worker remembers at most; beyond it, it keeps those that came back, half as many at most. Longer pieces than LONG bytes are not remembered.
-MEMORY, MEMORY_BYTES, LONG = 400_000, 40_000_000, 256
-#: Bytes of text cut in one step, about, or one text.
-STEP = 4_000_000
+MEMORY, MEMORY_BYTES, LONG = 800_000, 40_000_000, 256
+#: Bytes of text whose pieces are looked up in one step, about, and of those that are cut at once, or one text.
+STEP, CUT = 24_000_000, 4_000_000
+#: Pieces whose ids are gathered at once, and new ones that the library gets in one text.
+GATHER, RUN = 1_000_000, 256
 
 # Classes of bytes: letters, digits, marks and the apostrophe of ASCII; space; other white space of ASCII; what a splitter may see in another way; bytes of other characters.
 _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK, _ODD, _OTHER = range(1, 9)
@@ -35,10 +37,16 @@ _CLASS[ord("'")], _CLASS[32], _CLASS[9:14] = _QUOTE, _SPACE, _BREAK
 _IS_SPACE = np.isin(np.arange(9), (_SPACE, _BREAK))
 _MAY_BE_SPACE = _IS_SPACE | (np.arange(9) == _ODD)
 _KIND = np.array([0, 1, 2, 3, 3, 0, 0, 0, 0], np.uint8)
+#: The same as tables of bytes.translate, which takes a third of an index's time.
+_TO_CLASS, _TO_KIND, _TO_SPACE, _TO_MAYBE = (np.resize(x, 256).astype(np.uint8).tobytes() for x in (_CLASS, _KIND, _IS_SPACE, _MAY_BE_SPACE))
 #: White space beyond ASCII, in UTF-8.
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+def _translated(data: np.ndarray, table: bytes, kind: type = np.uint8) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(table), kind)
+
+
 def cuts(data: np.ndarray, starts: np.ndarray, whole: re.Pattern | None = None) -> np.ndarray:
     """Places in UTF-8 bytes, in order, where a byte-level splitter always ends a match: each text's start, changes between ASCII letters, digits and marks (but
     not from an apostrophe to a letter), and, in white space, before a run, before its last character, and after that unless it is a space, which goes with what follows.
@@ -47,14 +55,14 @@ def cuts(data: np.ndarray, starts: np.ndarray, whole: re.Pattern | None = None)
     if not n:
         return np.zeros(0, np.int64)
     c = np.empty(n + 1, np.uint8)
-    c[:n], c[n] = _CLASS[data], _ODD
+    c[:n], c[n] = _translated(data, _TO_CLASS), _ODD
     for odd in (_WIDE_SPACE, whole) if whole else (_WIDE_SPACE,):
         for m in odd.finditer(data):
             c[m.start() : m.end()] = _ODD
     first = np.zeros(n + 1, bool)
     first[starts] = True
     first[n] = True
-    kind, space, maybe = _KIND[c], _IS_SPACE[c], _MAY_BE_SPACE[c]
+    kind, space, maybe = _translated(c, _TO_KIND), _translated(c, _TO_SPACE, np.bool_), _translated(c, _TO_MAYBE, np.bool_)
     before, now = c[: n - 1], c[1:n]
     cut = (kind[: n - 1] != kind[1:n]) & (kind[: n - 1] > 0) & (kind[1:n] > 0) & ~((before == _QUOTE) & (now == _LETTER))
     cut |= space[1:n] & (~maybe[: n - 1] | (~maybe[2:] & ~first[2:]))
@@ -83,8 +91,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Encodes texts with a byte-level BPE file of the tokenizers library.
 
-    Texts are cut where the library's splitter always cuts, equal pieces are found by Arrow's dictionary encoding, the library encodes each piece that is new, and
-    ids are gathered. Texts are cut a step at a time, and what is remembered is bounded in pieces and bytes.
+    Texts are cut where the library's splitter always cuts, equal pieces are found by Arrow's dictionary encoding and looked up among those that are remembered,
+    the library encodes each piece that is new, and ids are gathered. A step looks up its distinct pieces at once, and what is remembered is bounded in pieces and bytes.
     """
 
     def __init__(self, path: str):
@@ -99,79 +107,98 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.bytes = 0
-        self.first, self.size, self.ids = array("q"), array("q"), array("H" if self.kind.itemsize == 2 else "I")  # by number of a piece: its ids' place and count; ids
+        self.pieces = pa.array([], pa.binary())  # by number; an empty one stands for a long one, which is not remembered
+        self.size, self.ids = np.zeros(0, np.int32), np.zeros(0, self.kind)  # by number: how many ids; all ids in order
         self.uses = np.zeros(0, np.int32)  # by number: steps in which it stood
 
+    @property
+    def known(self) -> list[bytes]:
+        """The pieces that are remembered."""
+        return [p for p in self.pieces.to_pylist() if p]
+
+    @property
+    def bytes(self) -> int:
+        return self.pieces.nbytes + self.ids.nbytes
+
     def _thin(self) -> None:
         """Forgets the pieces that never came back, and of the others the least used beyond half the memory."""
-        uses = self.uses[: len(self.first)]
-        often = np.sort(uses[uses > 1])[::-1]
+        often = np.sort(self.uses[self.uses > 1])[::-1]
         least = max(2, int(often[MEMORY // 2])) if len(often) > MEMORY // 2 else 2
-        kept = [(p, k) for p, k in self.known.items() if uses[k] > least or uses[k] == least == 2][: MEMORY // 2]
-        at = np.array([k for _, k in kept], np.int64)
-        first, size, ids, used = np.array(self.first)[at], np.array(self.size)[at], np.array(self.ids), uses[at] // 2
-        end = np.cumsum(size)
-        own = ids[np.repeat(first - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)]
+        stays = self.uses >= 2 if least == 2 else self.uses > least
+        at = np.flatnonzero(stays & (pc.binary_length(self.pieces).to_numpy() > 0))[: MEMORY // 2]
+        pieces, uses, size, first = self.pieces.take(pa.array(at)), self.uses[at] // 2, self.size[at], self._first()[at]
+        ids = self._gathered(first, size)
         self.forget()
-        self._keep([p for p, _ in kept], own, size)
-        self.uses = used.astype(np.int32)
+        self._keep(pieces, ids, size)
+        self.uses = uses
         if self.bytes > MEMORY_BYTES // 2:
             self.forget()
 
+    def _first(self) -> np.ndarray:
+        """By number of a piece, the place of its first id."""
+        return np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def _gathered(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after the other: `size` of them from place `first` on."""
+        end = np.cumsum(size, dtype=np.int32)
+        return self.ids[np.repeat(first - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0, dtype=np.int32)]
+
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _keep(self, pieces: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
-        end = np.cumsum(size) + len(self.ids)
-        number = range(len(self.first), len(self.first) + len(pieces))
-        self.first.frombytes((end - size).tobytes())
-        self.size.frombytes(size.tobytes())
-        self.ids.frombytes(ids.astype(self.kind).tobytes())
-        self.known.update(zip(pieces, number, strict=True))
-        self.bytes += sum(map(len, pieces)) + 2 * ids.nbytes
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        """Encodes new pieces: those of one word in runs with line breaks between them, which costs the library less than one call a word."""
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        start = np.cumsum(size) - size
+    def _keep(self, pieces: pa.BinaryArray, ids: np.ndarray, size: np.ndarray) -> None:
+        short = pc.if_else(pc.less_equal(pc.binary_length(pieces), LONG), pieces, pa.scalar(b"", pa.binary()))
+        self.pieces = pa.concat_arrays([self.pieces, short])
+        self.size, self.ids = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.ids, ids.astype(self.kind)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(pieces), np.int32)])
+
+    def _learn(self, fresh: pa.BinaryArray) -> np.ndarray:
+        """Encodes new pieces and gives their numbers: those of one word in runs with line breaks between them, which costs the library less than one call a word."""
+        _, offsets, body = fresh.buffers()
+        ends = np.frombuffer(offsets, np.int32)[fresh.offset : fresh.offset + len(fresh) + 1].astype(np.int64)
+        data = np.frombuffer(body, np.uint8)[ends[0] : ends[-1]]
+        start, size = ends[:-1] - ends[0], np.diff(ends)
         blank = _MAY_BE_SPACE[_CLASS[data]]
         blank[start[data[start] == 32]] = False
         for odd in (_WIDE_SPACE, self.added) if self.added else (_WIDE_SPACE,):
             for m in odd.finditer(data):
                 blank[m.start() : m.end()] = True
         plain = (np.add.reduceat(blank, start, dtype=np.int64) == 0) & (size > (data[start] == 32)) & (size < 64)
-        rest = [pieces[k] for k in np.flatnonzero(~plain)]
-        runs = list(chunks([pieces[k] for k in np.flatnonzero(plain)], 256))
-        for run, ids in zip(runs, self._encoded([b"\n".join(run).decode() for run in runs]), strict=True):
-            found = np.array(ids, np.int64)
-            cut = np.flatnonzero(found == self.line_break[0])
+        pieces = fresh.to_pylist()
+        rest, runs = np.flatnonzero(~plain).tolist(), list(chunks(np.flatnonzero(plain).tolist(), RUN))
+        order: list[int] = []
+        found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for run, own in zip(runs, self._encoded([b"\n".join([pieces[k] for k in run]).decode() for run in runs]), strict=True):
+            ids = np.array(own, np.int64)
+            cut = np.flatnonzero(ids == self.line_break[0])
             if len(self.line_break) == 1 and len(cut) == len(run) - 1:
-                self._keep(run, np.delete(found, cut), np.diff(np.concatenate([[-1], cut, [len(found)]])) - 1)
+                order += run
+                found.append(np.delete(ids, cut))
+                sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
             else:
                 rest += run
-        for group in chunks(rest, 256):
-            ids = self._encoded([p.decode() for p in group])
-            self._keep(group, np.array([i for own in ids for i in own], np.int64), np.array([len(own) for own in ids], np.int64))
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """Numbers of pieces, which are learnt first if they are new."""
-        get = self.known.get
-        number = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
-        fresh = np.flatnonzero(number < 0)
-        if len(fresh):
-            self._learn(own := [pieces[k] for k in fresh])
-            number[fresh] = [self.known[p] for p in own]
-            for p in own:
-                if len(p) > LONG:
-                    del self.known[p]
+        for group in chunks(rest, RUN):
+            own = self._encoded([pieces[k].decode() for k in group])
+            order += group
+            found += [np.array(ids, np.int64) for ids in own]
+            sizes.append(np.array([len(ids) for ids in own], np.int64))
+        number = np.empty(len(fresh), np.int32)
+        number[order] = np.arange(len(self.size), len(self.size) + len(fresh), dtype=np.int32)
+        self._keep(fresh.take(pa.array(order, pa.int64())), np.concatenate(found), np.concatenate(sizes))
+        return number
+
+    def numbers(self, pieces: pa.BinaryArray) -> np.ndarray:
+        """Numbers of distinct pieces, which are learnt first if they are new."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        new = found.is_null()
+        number = found.fill_null(0).to_numpy().copy()
+        if found.null_count:
+            number[np.flatnonzero(new.to_numpy(zero_copy_only=False))] = self._learn(pieces.filter(new))
         return number
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end); a null text has none."""
-        if len(self.known) > MEMORY or self.bytes > MEMORY_BYTES:
+        if len(self.pieces) > MEMORY or self.bytes > MEMORY_BYTES:
             self._thin()
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -179,19 +206,24 @@ class Encoder:
         ends -= ends[0]
         if not len(body):
             return np.zeros(0, self.kind), np.zeros(len(texts), np.int64)
-        cut = cuts(body, ends[:-1], self.added)
-        places = np.append(cut, len(body)).astype(np.int32)
+        cut = []
+        for first, rows in byte_slices(texts, CUT):
+            own = ends[first : first + len(rows) + 1]
+            cut.append((cuts(body[own[0] : own[-1]], own[:-1] - own[0], self.added) + own[0]).astype(np.int32))
+        cut = np.concatenate(cut)
+        places = np.append(cut, np.int32(len(body)))
         pieces = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(places), pa.py_buffer(body)]).dictionary_encode()
-        number = self.numbers(pieces.dictionary.to_pylist())
-        if len(self.uses) < len(self.first):
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.first) - len(self.uses), np.int32)])
+        number = self.numbers(pieces.dictionary)
         self.uses[number] += 1
-        first, size, ids = np.frombuffer(self.first, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.ids, self.kind)
         which = pieces.indices.to_numpy()
-        size, first = size[number].astype(np.int32)[which], first[number].astype(np.int32)[which]
-        end = np.cumsum(size, dtype=np.int32)
-        out = ids[np.repeat(first - (end - size), size) + np.arange(int(end[-1]), dtype=np.int32)]
-        return out, np.concatenate([[0], end])[np.searchsorted(cut, ends[1:])]
+        first, size = self._first()[number], self.size[number]
+        ends_of = np.zeros(len(cut) + 1, np.int32)
+        np.cumsum(size[which], out=ends_of[1:])
+        out = np.empty(int(ends_of[-1]), self.kind)
+        for at in range(0, len(which), GATHER):
+            some = which[at : at + GATHER]
+            out[ends_of[at] : ends_of[at + len(some)]] = self._gathered(first[some], size[some])
+        return out, ends_of[np.searchsorted(cut, ends[1:].astype(np.int32))].astype(np.int64)
 
 
 _encoders: dict[str, Encoder] = {}

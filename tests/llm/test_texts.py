@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from kindred.llm import html, licenses, pieces, quality, tokens, toxicity
+from kindred.llm.common import byte_slices
 
 from .conftest import prose
 
@@ -48,6 +49,21 @@ def test_a_small_memory_changes_nothing(monkeypatch):
     assert [x for part in got for x in part] == want and len(e.known) < 300 and (e.uses > 1).any()
 
 
+def test_pieces_of_many_texts_are_looked_up_at_once_and_learnt_once(monkeypatch):
+    e = tokens.Encoder(tokens.default_tokenizer())
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(30_000)]
+    texts = [" ".join(r.choices(words, k=40_000)) for _ in range(64)]  # 20 MB
+    looked, learnt = [], []
+    numbers, encoded_of = e.numbers, e._encoded
+    monkeypatch.setattr(e, "numbers", lambda pieces: looked.append(len(pieces)) or numbers(pieces))
+    monkeypatch.setattr(e, "_encoded", lambda runs: learnt.append(sum(map(len, runs))) or encoded_of(runs))
+    got = [e.encode(rows) for _, rows in byte_slices(pa.array(texts), tokens.STEP)]
+    assert sum(looked) < 1.2 * len(words) * 2 and sum(learnt) < 20 * len(words)
+    ids, ends = got[0]
+    assert ids[: ends[0]].tolist() == e.tokenizer.encode(texts[0], add_special_tokens=False).ids and ids[ends[-2] : ends[-1]].tolist() == e.tokenizer.encode(texts[-1], add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("longest", [4, 7, 20])
 def test_codes_are_canonical_and_round_trip(longest):
     r = random.Random(1)
