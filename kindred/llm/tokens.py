@@ -24,9 +24,9 @@ HEAD = struct.Struct("<4sBBHIIQ")  # magic, version, longest code, tokens a chec
 #: Pieces, and bytes of them and their ids, that a worker remembers at most; beyond it, it keeps those that came back, half as many at most. Longer pieces than LONG bytes are not remembered.
 MEMORY, MEMORY_BYTES, LONG = 800_000, 40_000_000, 256
 #: Bytes of text whose pieces are looked up in one step, about, and of those that are cut at once, or one text.
-STEP, CUT = 24_000_000, 4_000_000
+STEP, CUT = 24_000_000, 1_000_000
 #: Pieces whose ids are gathered at once, and new ones that the library gets in one text.
-GATHER, RUN = 1_000_000, 256
+GATHER, RUN = 200_000, 256
 
 # Classes of bytes: letters, digits, marks and the apostrophe of ASCII; space; other white space of ASCII; what a splitter may see in another way; bytes of other characters.
 _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK, _ODD, _OTHER = range(1, 9)
@@ -168,15 +168,16 @@ class Encoder:
         rest, runs = np.flatnonzero(~plain).tolist(), list(chunks(np.flatnonzero(plain).tolist(), RUN))
         order: list[int] = []
         found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for run, own in zip(runs, self._encoded([b"\n".join([pieces[k] for k in run]).decode() for run in runs]), strict=True):
-            ids = np.array(own, np.int64)
-            cut = np.flatnonzero(ids == self.line_break[0])
-            if len(self.line_break) == 1 and len(cut) == len(run) - 1:
-                order += run
-                found.append(np.delete(ids, cut))
-                sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
-            else:
-                rest += run
+        for some in chunks(runs, 16):
+            for run, own in zip(some, self._encoded([b"\n".join([pieces[k] for k in run]).decode() for run in some]), strict=True):
+                ids = np.array(own, np.int64)
+                cut = np.flatnonzero(ids == self.line_break[0])
+                if len(self.line_break) == 1 and len(cut) == len(run) - 1:
+                    order += run
+                    found.append(np.delete(ids, cut))
+                    sizes.append(np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1)
+                else:
+                    rest += run
         for group in chunks(rest, RUN):
             own = self._encoded([pieces[k].decode() for k in group])
             order += group
