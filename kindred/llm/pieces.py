@@ -6,9 +6,11 @@ import math
 import re
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain, count, islice
 
 import ahocorasick
 import numpy as np
@@ -23,6 +25,8 @@ SPACE = "▁"
 UNK_PENALTY = 10.0
 #: Words and characters of them that a worker remembers at most; beyond it, it starts anew.
 MEMORY, MEMORY_CHARS = 400_000, 16_000_000
+#: The same for sampling: words, and edges of their lattices.
+WORDS, EDGES = 600_000, 4_000_000
 #: Longer words have their lattice built one by one; shorter ones can't leave the range of a double.
 LONG = 48
 GROWTH = 64.0
@@ -171,7 +175,8 @@ class Sampler:
     a vocabulary in order of frequency. Spaces stand for the space mark and no mark is put before a text, so the mark itself, like every character
     that no piece spells, becomes its UTF-8 bytes, and decoding gives back every text. Words (cut before spaces and around line breaks,
     which no piece crosses) keep their lattice: for each end of a piece, the pieces that end there with running sums of
-    their chances as 32-bit numbers. A draw is a hash of the row's seed, the word's place in the text, and the place in the word,
+    their chances as 32-bit numbers. What ends at a place depends only on what stands before it, so words that are learnt together share the places
+    (nodes) of a common beginning. A draw is a hash of the row's seed, the word's place in the text, and the place in the word,
     so it depends neither on batches nor on other rows.
     """
 
@@ -182,77 +187,108 @@ class Sampler:
         #: by id: length, weight; the last one is for characters without a piece
         self.length, self.weight = np.ones(self.size + 1, np.int64), np.full(self.size + 1, (self.size + 1.0) ** -power)
         spelt = np.zeros(0x110000, bool)
+        ids: dict[str, int] = {}
         for rank, i in enumerate(vocab.normal):
             text = vocab.pieces[i].replace(SPACE, " ")
             if text.lstrip(" ").find(" ") >= 0 or "\n" in text:
                 raise ValueError("pieces must hold the space mark in front only, and no line break")
             self.automaton.add_word(text, i)
+            ids[text] = i
             self.length[i], self.weight[i] = len(text), (rank + 1.0) ** -power
             if len(text) == 1:
                 spelt[ord(text)] = True
         self.automaton.make_automaton()
         self.spelt = spelt
+        self.arrays(ids)
         #: a path's pieces cover a word's characters, so a factor for each character changes no chance and keeps sums near 1
         self.weight *= GROWTH**self.length
         self.bytes = np.array(vocab.byte_ids, np.int64)
         self.forget()
 
+    def arrays(self, ids: dict[str, int]) -> None:
+        """The automaton as arrays, so that many words take a step at once. A state is the longest end of what was read that begins a piece."""
+        states = {p: k for k, p in enumerate(sorted({t[:k] for t in ids for k in range(len(t) + 1)}, key=lambda p: (len(p), p)))}
+        kinds = {c: k for k, c in enumerate(sorted({c for t in ids for c in t}), 1)}
+        self.kinds = len(kinds) + 1
+        self.kind = np.zeros(0x110000, np.int32)  # by character; 0 is in no piece
+        self.kind[[ord(c) for c in kinds]] = list(kinds.values())
+        fall, ends, many = [0], [[]], [0]  # by state: the next shorter one; pieces that end there, longest first
+        for p, k in list(states.items())[1:]:
+            fall.append(next(states[p[n:]] for n in range(1, len(p) + 1) if p[n:] in states))
+            ends.append(([ids[p]] if p in ids else []) + ends[fall[k]])
+            many.append(len(ends[k]))
+        self.fall, self.many = np.array(fall, np.int32), np.array(many, np.int64)
+        self.ends, self.at_ends = np.array([i for own in ends for i in own] + [self.size], np.int32), np.cumsum(self.many) - self.many
+        links = sorted((states[p[:-1]] * self.kinds + kinds[p[-1]], k) for p, k in states.items() if p)
+        self.links, self.linked = np.array([x for x, _ in links] + [1 << 62], np.int64), np.array([k for _, k in links] + [0], np.int32)
+
+    def after(self, states: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The states after one more character each."""
+        out, left = np.zeros(len(states), np.int32), np.arange(len(states))
+        while len(left):
+            link = states.astype(np.int64) * self.kinds + kinds
+            k = np.searchsorted(self.links, link)
+            hit = self.links[k] == link
+            out[left[hit]] = self.linked[k[hit]]
+            more = np.flatnonzero(~hit & (states > 0))
+            left, states, kinds = left[more], self.fall[states[more]], kinds[more]
+        return out
+
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # word: its last node
-        self.nodes = 0
-        self.keys, self.starts, self.ids = array("q"), array("i"), array("i")  # by edge: node and running chance, node before, piece
-        self.first = array("b")  # by node: 1 at a word's start
-        self.edge = array("i")  # by node: its first edge
-
-    def learn(self, words: list[str]) -> None:
-        """Forward filtering: sums over all paths to each place of the words, place after place for all words at once."""
-        joined = "\n".join(words)
-        place = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pairs = [x for pair in self.automaton.iter(joined) for x in pair]
-        flat = np.array(pairs, np.int64)
-        bare = np.flatnonzero(~self.spelt[place] & (place != 10))
-        end = np.concatenate([flat[::2], bare])
-        piece = np.concatenate([flat[1::2], np.full(len(bare), self.size)])
-        order = np.argsort(end, kind="stable")
-        end, piece = end[order] + 1, piece[order]
-        start = end - self.length[piece]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        base = np.cumsum(sizes + 1) - sizes - 1
-        depth = end - np.repeat(base, sizes + 1)[end]
-        total = np.zeros(len(joined) + 2)
-        total[base] = 1.0
-        weight, chance = self.weight[piece], np.zeros(len(end))
-        by_depth = np.argsort(depth, kind="stable")
-        cut = np.searchsorted(depth[by_depth], np.arange(1, int(sizes.max()) + 2))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            edges = by_depth[a:b]
-            chance[edges] = p = total[start[edges]] * weight[edges]
-            at = end[edges]
-            head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            total[at[head]] = np.add.reduceat(p, head)
-        q = np.floor(chance / total[end] * 4294967295.0).astype(np.int64)
-        running = np.cumsum(q)
-        head = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        tail = np.append(head[1:], len(end)) - 1
-        running -= np.repeat((running - q)[head], tail - head + 1)
-        running[tail] = 1 << 32
-        self.edge.frombytes((np.searchsorted(end, np.arange(len(joined) + 1)) + len(self.ids)).astype(np.int32).tobytes())
-        self.keys.frombytes((((end + self.nodes) << 32) + running).tobytes())
-        self.starts.frombytes((start + self.nodes).astype(np.int32).tobytes())
-        code = np.where(piece == self.size, place[end - 1] + self.size, piece)
-        self.ids.frombytes(code.astype(np.int32).tobytes())
-        first = np.zeros(len(joined) + 1, np.int8)
-        first[base] = 1
-        self.first.frombytes(first.tobytes())
-        self.known.update(zip(words, (base + sizes + self.nodes).tolist(), strict=True))
-        self.nodes += len(joined) + 1
-
-    def learn_long(self, word: str) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)  # by word, in order of their first use
+        self.last = array("i")  # by word's number: its last node
+        self.nodes = 1  # node 0 stands before all words
+        self.keys, self.starts, self.ids = array("q"), array("i"), array("i")  # by edge: running chance, node before, piece
+        self.edge = array("i", [0])  # by node: its first edge
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Forward filtering: sums over all paths to each place of different words in order, place after place for all words at once. Their last nodes."""
+        n, sizes = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.zeros((int(sizes.max()) + 1, n), np.uint32)  # by place and word
+        inside = np.arange(len(chars)) < sizes[:, None]
+        chars.T[inside] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        differ = chars[:, 1:] != chars[:, :-1]
+        differ[sizes[:-1], np.arange(n - 1)] = True  # a word's end differs from a NUL
+        shared = np.concatenate([[0], np.argmax(differ, axis=0)])  # characters in common with the word before
+        at = np.zeros((len(chars), n), np.int32)  # by place and word: the node, from 0 for these words
+        most = int((sizes - shared).sum()) + 1
+        state, total = np.zeros(most, np.int32), np.ones(most)
+        made = 1
+        for d in range(len(chars) - 1):
+            new = (shared <= d) & (sizes > d)
+            own = np.flatnonzero(new)
+            at[d + 1] = np.cumsum(new) + (made - 1)
+            node, c = at[d + 1, own], chars[d, own]
+            state[node] = s = self.after(state[at[d, own]], self.kind[c])
+            bare = ~self.spelt[c]
+            many = self.many[s] + bare
+            tail = np.cumsum(many)
+            head, tail = tail - many, tail - 1
+            slot = np.arange(int(tail[-1]) + 1) + np.repeat(self.at_ends[s] - head, many)
+            slot[tail[bare]] = len(self.ends) - 1
+            piece, place = self.ends[slot], np.repeat(np.arange(len(own)), many)
+            start = at[d + 1 - self.length[piece], own[place]]
+            chance = total[start] * self.weight[piece]
+            total[node] = whole = np.add.reduceat(chance, head)
+            q = np.floor(chance / whole[place] * 4294967295.0).astype(np.int64)
+            running = np.cumsum(q)
+            running -= np.repeat((running - q)[head], many)
+            running[tail] = 1 << 32
+            piece[tail[bare]] = c[bare] + self.size
+            self.edge.frombytes((head + len(self.ids)).astype(np.int32).tobytes())
+            self.keys.frombytes(running.tobytes())
+            self.starts.frombytes(np.where(start > 0, start + (self.nodes - 1), 0).astype(np.int32).tobytes())
+            self.ids.frombytes(piece.tobytes())
+            made += len(own)
+        last = at[sizes, np.arange(n)] + (self.nodes - 1)
+        self.nodes += made - 1
+        return last
+
+    def learn_long(self, word: str) -> int:
         """The same for one word of any length, whose sums are scaled on the way."""
         n = len(word)
         total = [1.0] + [0.0] * n
-        base = self.nodes
-        self.edge.append(0)
+        base = self.nodes - 1  # and so many nodes to the one before the word's first
         matches = self.automaton.iter(word)
         end, piece = next(matches, (-1, 0))
         for i, c in enumerate(word):
@@ -267,20 +303,18 @@ class Sampler:
             self.edge.append(len(self.ids))
             for p, start, code in edges[:-1]:
                 running += int(p / whole * 4294967295.0)
-                self.keys.append(((base + i + 1) << 32) + running)
-                self.starts.append(base + start)
+                self.keys.append(running)
+                self.starts.append(base + start if start else 0)
                 self.ids.append(code)
-            self.keys.append((base + i + 2) << 32)
-            self.starts.append(base + edges[-1][1])
+            self.keys.append(1 << 32)
+            self.starts.append(base + edges[-1][1] if edges[-1][1] else 0)
             self.ids.append(edges[-1][2])
             total[i + 1] = whole
             if not 1e-100 < whole < 1e100:  # chances are ratios of nearby sums, so all that later pieces can reach may be scaled
                 for j in range(max(0, i - 64), i + 2):
                     total[j] /= whole
-        self.first.append(1)
-        self.first.extend([0] * n)
-        self.known[word] = base + n
-        self.nodes += n + 1
+        self.nodes += n
+        return base + n
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -294,41 +328,43 @@ class Sampler:
 
     def encode(self, texts: list[str | None], seeds: list[int]) -> list[np.ndarray]:
         """Ids of one sampled segmentation of each text."""
-        split = [self.parts(t) if t else [] for t in texts]
-        need = {w for own in split for w in own} - self.known.keys()
-        if len(self.known) + len(need) > 3 * MEMORY // 4 or self.nodes > MEMORY_CHARS // 8:
+        if len(self.numbers) > WORDS or len(self.ids) > EDGES:
             self.forget()
-            need = {w for own in split for w in own}
-        long = {w for w in need if len(w) > LONG}
-        short = list(need - long - {"\n"})
-        for k in range(0, len(short), 20_000):
-            self.learn(short[k : k + 20_000])
-        for word in long | (need & {"\n"}):
-            self.learn_long(word)
+        split = [self.parts(t) if t else [] for t in texts]
         counts = np.array([len(own) for own in split], np.int64)
         total = int(counts.sum())
         if not total:
             return [np.zeros(0, np.int64) for _ in texts]
-        get = self.known.__getitem__
-        node = np.fromiter((n for own in split for n in map(get, own)), np.int64, total)
+        old, get = len(self.numbers), self.numbers.__getitem__
+        word = np.fromiter(map(get, chain.from_iterable(split)), np.int64, total)
+        new = list(islice(self.numbers, old, None))
+        short = sorted(w for w in new if len(w) <= LONG)  # in order, for common beginnings
+        last = np.zeros(len(new), np.int32)
+        for k in range(0, len(short), 20_000):
+            run = short[k : k + 20_000]
+            last[np.fromiter(map(get, run), np.int64, len(run)) - old] = self.learn(run)
+        for w in (w for w in new if len(w) > LONG):
+            last[get(w) - old] = self.learn_long(w)
+        self.last.frombytes(last.tobytes())
+        keys, starts, ids, edges = (np.frombuffer(a, t) for a, t in ((self.keys, np.int64), (self.starts, np.int32), (self.ids, np.int32), (self.edge, np.int32)))
+        node = np.frombuffer(self.last, np.int32)[word]
         row = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        keys, starts, ids, first, edges = (np.frombuffer(a, t) for a, t in ((self.keys, np.int64), (self.starts, np.int32), (self.ids, np.int32), (self.first, np.int8), (self.edge, np.int32)))
         seed = mixed(np.array(seeds, np.int64).view(np.uint64)[row] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         at, steps, found = np.arange(total), np.zeros(total, np.int64), []
-        while len(at):
-            draw = (mixed(seed[at] + (steps[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)).astype(np.int64)
-            now = node[at]
-            key, edge = (now << 32) + draw, edges[now]
-            more = np.flatnonzero(keys[edge] <= key)
+        while len(at):  # all that are left have taken as many steps
+            draw = (mixed(seed + np.uint64((len(found) + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32)).astype(np.int64)
+            edge = edges[node]
+            more = np.flatnonzero(keys[edge] <= draw)
             while len(more):
                 edge[more] += 1
-                more = more[keys[edge[more]] <= key[more]]
+                more = more[keys[edge[more]] <= draw[more]]
             found.append((at, ids[edge]))
-            node[at] = starts[edge]
             steps[at] += 1
-            at = at[first[node[at]] == 0]
-        del keys, starts, ids, first, edges  # arrays can't grow while they are looked at
+            node = starts[edge]
+            more = np.flatnonzero(node)
+            at, node, seed = at[more], node[more], seed[more]
+        del keys, starts, ids, edges  # arrays can't grow while they are looked at
         ends = np.cumsum(steps)
         out = np.empty(int(ends[-1]), np.int64)
         for k, (at, piece) in enumerate(found):

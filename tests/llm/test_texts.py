@@ -530,6 +530,60 @@ def test_sampling_is_reproducible_lossless_and_in_proportion():
         assert abs(drawn[tuple(p)] / 20_000 - q / whole) < 0.02
 
 
+def plain_sample(v, text, seed):
+    """One text's sampled ids, word by word, with dictionaries."""
+    rank, mask, out = {v.pieces[i].replace("▁", " "): (r, i) for r, i in enumerate(v.normal)}, (1 << 64) - 1, []
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    for place, word in enumerate(pieces.Sampler.parts(text)):
+        total, into, own = [1.0], [[]], []
+        for end in range(1, len(word) + 1):
+            edges = [(total[a] / (rank[word[a:end]][0] + 1), a, rank[word[a:end]][1]) for a in range(max(0, end - 16), end) if word[a:end] in rank]
+            if word[end - 1] not in rank:
+                edges.append((total[end - 1] / (len(v.pieces) + 1), end - 1, -1))
+            total.append(sum(p for p, _, _ in edges))
+            into.append(edges)
+        start, at, step = mixed((seed + place * 0x9E3779B97F4A7C15) & mask), len(word), 1
+        while at:
+            draw, running = mixed((start + step * 0xD1B54A32D192ED03) & mask) >> 32, 0
+            for p, a, i in into[at][:-1]:
+                running += int(p / total[at] * 4294967295.0)
+                if running > draw:
+                    break
+            else:
+                _, a, i = into[at][-1]
+            own[:0] = [i] if i >= 0 else [v.byte_ids[b] for b in word[at - 1].encode()]
+            at, step = a, step + 1
+        out += own
+    return out
+
+
+def test_sampling_equals_a_plain_version_whatever_was_learnt_before(monkeypatch):
+    v, r = pieces.vocabulary(pieces.default_model()), random.Random(5)
+    parts = ["a", "ab", "the", "there", "\x00", " ", "  ", "\n", "é", "日", "🙂", "▁", "ing", "Привет", "x" * 15, "\uffff"]
+    texts = [*ODD, None, *("".join(r.choices(parts, k=r.randrange(1, 30))) for _ in range(600)), *(prose(i, 40) for i in range(10)), "ab" * 24, "ab" * 24 + "c", "\x00", "a\x00", "a", "a\x00\x00"]
+    seeds = [r.randrange(-(1 << 63), 1 << 63) for _ in texts]
+    want = [plain_sample(v, t or "", s) for t, s in zip(texts, seeds, strict=True)]
+    a = pieces.Sampler(v, 1.0)
+    assert [x.tolist() for x in a.encode(texts, seeds)] == want and [x.tolist() for x in a.encode(texts[::-1], seeds[::-1])] == want[::-1]
+    monkeypatch.setattr(pieces, "WORDS", 50)
+    b = pieces.Sampler(v, 1.0)
+    assert [b.encode([t], [s])[0].tolist() for t, s in zip(texts, seeds, strict=True)] == want and len(b.numbers) < 150
+
+
+def test_words_learnt_together_share_the_nodes_of_common_beginnings():
+    r = random.Random(8)
+    words = {"".join(r.choices("abc", k=r.randrange(1, 9))) for _ in range(5000)}
+    a = pieces.Sampler(pieces.vocabulary(pieces.default_model()), 1.0)
+    a.encode(["\n".join(sorted(words)), "\n".join(words)], [1, 2])
+    beginnings = {w[:k] for w in words for k in range(1, len(w) + 1)} | {"\n"}
+    assert a.nodes == len(beginnings) + 1 < sum(map(len, words)) // 2
+
+
 def test_encode_and_decode_frames(odd_docs):
     encoded = pieces.encode(odd_docs)
     back = pieces.decode(encoded)
